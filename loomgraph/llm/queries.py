@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomgraph.llm import exact_dedup, secrets
+from loomgraph.llm import exact_dedup, langid, quality, secrets
 from loomgraph.sources.tables import table
 
 
@@ -14,11 +14,19 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.language_id(table(spark, sf_dir, "documents"))
+
+
 def op10_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest_rows(secrets.secret_scan(table(spark, sf_dir, "documents")))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_exact_dedup, op10_secret_scans)
+    f.__name__: f for f in (op2_exact_dedup, op7_quality_classifier, op8_language_id, op10_secret_scans)
 }
 ORACLES: dict[str, str] = {"op2_exact_dedup": exact_dedup.ORACLE_SQL}
