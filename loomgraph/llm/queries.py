@@ -6,14 +6,29 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomgraph.llm import exact_dedup, langid, quality, secrets
+from loomgraph.llm import bpe, exact_dedup, langid, packing, quality, secrets
 from loomgraph.sources.tables import table
 
 
+def tokenizer_file(name: str) -> str:
+    """Place of a public tokenizer file, the same on every node; operators take it as a parameter."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.round_trip(table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"))
+
+
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"))
+
+
 def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -27,6 +42,6 @@ def op10_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_exact_dedup, op7_quality_classifier, op8_language_id, op10_secret_scans)
+    f.__name__: f for f in (op2_exact_dedup, op3_bpe, op6_packing, op7_quality_classifier, op8_language_id, op10_secret_scans)
 }
 ORACLES: dict[str, str] = {"op2_exact_dedup": exact_dedup.ORACLE_SQL}
