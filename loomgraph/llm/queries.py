@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from loomgraph.llm import bpe, exact_dedup, langid, packing, quality, secrets
+from loomgraph.llm import bpe, exact_dedup, langid, packing, quality, secrets, topk_search
 from loomgraph.sources.tables import table
 
 
@@ -25,6 +26,11 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"))
 
 
+def op4_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return topk_search.top_k(vectors, vectors.filter(F.col("vec_id") % 100 == 0))
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"))
 
@@ -42,6 +48,6 @@ def op10_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_exact_dedup, op3_bpe, op6_packing, op7_quality_classifier, op8_language_id, op10_secret_scans)
+    f.__name__: f for f in (op2_exact_dedup, op3_bpe, op4_exact_topk, op6_packing, op7_quality_classifier, op8_language_id, op10_secret_scans)
 }
-ORACLES: dict[str, str] = {"op2_exact_dedup": exact_dedup.ORACLE_SQL}
+ORACLES: dict[str, str] = {"op2_exact_dedup": exact_dedup.ORACLE_SQL, "op4_exact_topk": topk_search.ORACLE_SQL}
