@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgraph.llm import bpe, exact_dedup, langid, packing, quality, secrets, topk_search
+from loomgraph.llm import bpe, exact_dedup, langid, ngram_join, packing, quality, secrets, topk_search
 from loomgraph.sources.tables import table
 
 
@@ -18,6 +18,10 @@ def tokenizer_file(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.ngram_jaccard_join(table(spark, sf_dir, "documents"))
+
+
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
@@ -48,6 +52,6 @@ def op10_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_exact_dedup, op3_bpe, op4_exact_topk, op6_packing, op7_quality_classifier, op8_language_id, op10_secret_scans)
+    f.__name__: f for f in (op1_ngram_jaccard_join, op2_exact_dedup, op3_bpe, op4_exact_topk, op6_packing, op7_quality_classifier, op8_language_id, op10_secret_scans)
 }
 ORACLES: dict[str, str] = {"op2_exact_dedup": exact_dedup.ORACLE_SQL, "op4_exact_topk": topk_search.ORACLE_SQL}
