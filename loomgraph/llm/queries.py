@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgraph.llm import bpe, exact_dedup, langid, ngram_join, packing, quality, secrets, topk_search
+from loomgraph.llm import bpe, exact_dedup, langid, line_dedup, ngram_join, packing, quality, secrets, topk_search
 from loomgraph.sources.tables import table
 
 
@@ -35,6 +35,11 @@ def op4_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk_search.top_k(vectors, vectors.filter(F.col("vec_id") % 100 == 0))
 
 
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = line_dedup.line_dedup(table(spark, sf_dir, "documents"), counts=True)
+    return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"))
 
@@ -52,6 +57,6 @@ def op10_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_ngram_jaccard_join, op2_exact_dedup, op3_bpe, op4_exact_topk, op6_packing, op7_quality_classifier, op8_language_id, op10_secret_scans)
+    f.__name__: f for f in (op1_ngram_jaccard_join, op2_exact_dedup, op3_bpe, op4_exact_topk, op5_line_dedup, op6_packing, op7_quality_classifier, op8_language_id, op10_secret_scans)
 }
 ORACLES: dict[str, str] = {"op2_exact_dedup": exact_dedup.ORACLE_SQL, "op4_exact_topk": topk_search.ORACLE_SQL}
