@@ -156,6 +156,20 @@ def identify(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str
     return rows.mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double")
 
 
+def keep_identified(docs: DataFrame, model: dict, text_col: str = "text", least: float = 0.5) -> DataFrame:
+    """``docs`` without texts that have no letter or whose language scores below ``least``; rows pass through as they are, without a join."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = Scorer(shared.value)
+        for b in batches:
+            found = [scorer.predict(t.as_py()) for t in b.column(at)]
+            yield b.filter(pa.array([lang != "und" and score >= least for lang, score in found], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def language_id(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", max_docs: int = 20_000) -> DataFrame:
     """Learn from the labelled documents outside the held-out fold, at most about ``max_docs`` of them, and predict all documents."""
     return identify(docs, fit_on(docs, id_col, text_col, lang_col, max_docs), id_col, text_col)
