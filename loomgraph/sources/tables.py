@@ -13,3 +13,15 @@ TABLES = (
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One table; pruning and pushdown stay with the Parquet scan."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+class Tables:
+    """``Tables(spark, sf_dir).orders`` reads a table by name."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str):
+        self._spark, self._dir = spark, sf_dir
+
+    def __getattr__(self, name: str) -> DataFrame:
+        if name not in TABLES:
+            raise AttributeError(name)
+        return table(self._spark, self._dir, name)
