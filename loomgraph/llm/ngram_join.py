@@ -197,7 +197,8 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     sides = pairs.select("cluster", "i", "j", F.explode(F.array_distinct(F.array("i", "j"))).alias("block"))
     # n-gram sets of members alone, made again from the representatives' texts
     texts = docs.select(F.col(f"`{id_col}`").cast("long").alias("class_id"), F.col(f"`{text_col}`").alias("text"))
-    own = texts.join(members.select("class_id", "key", "digest", "cluster", "block", "copies"), "class_id")
+    # merged, not broadcast: members grow with the corpus, so the plan is the same at every size
+    own = texts.join(members.select("class_id", "key", "digest", "cluster", "block", "copies").hint("merge"), "class_id")
     rows_ = _with_grams(own, n).join(sides, ["cluster", "block"])
 
     def check(t: pa.Table) -> pa.Table:
@@ -249,4 +250,4 @@ def _numbered(members: DataFrame, block: int) -> DataFrame:
 def keep_one_of_each_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
     """``docs`` without near duplicates: the least id of each group stays, and all documents that are in none. Of an id with several texts all rows go where one goes."""
     gone = ngram_jaccard_join(docs, id_col, text_col, **how).filter(F.col("doc_id") != F.col("group_id")).select(F.col("doc_id").alias("__gone"))
-    return docs.join(gone, F.col(f"`{id_col}`").cast("long") == F.col("__gone"), "left_anti")
+    return docs.join(gone.hint("merge"), F.col(f"`{id_col}`").cast("long") == F.col("__gone"), "left_anti")
