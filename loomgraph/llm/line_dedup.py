@@ -123,7 +123,7 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     gone = recurring_lines(docs, id_col, text_col, depth, min_tokens, min_docs, constant).select(F.col("doc").alias("__doc"), F.col("tag").alias("__tag"), "gone")
     doc, tag, text = _keys(docs, id_col, text_col)
     names = docs.columns
-    joined = docs.join(gone.withColumnRenamed("gone", "__gone"), (doc == F.col("__doc")) & (tag == F.col("__tag")), "left")
+    joined = docs.join(gone.withColumnRenamed("gone", "__gone").hint("merge"), (doc == F.col("__doc")) & (tag == F.col("__tag")), "left")
     joined = joined.select(*[F.col(f"`{c}`") for c in names], "__gone")
     at = names.index(text_col)
 

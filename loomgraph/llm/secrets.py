@@ -149,5 +149,5 @@ def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mask
         ),
         lambda s: F.concat(s["out"], F.substr(text, s["at"].cast("int"))),
     )
-    out = docs.join(cuts, F.col(f"`{id_col}`").cast("long").eqNullSafe(F.col("__id")), "left")
+    out = docs.join(cuts.hint("merge"), F.col(f"`{id_col}`").cast("long").eqNullSafe(F.col("__id")), "left")
     return out.withColumn(text_col, F.when(F.col("__cuts").isNotNull(), done).otherwise(text)).select(*[F.col(f"`{c}`") for c in docs.columns])

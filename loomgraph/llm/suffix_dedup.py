@@ -302,7 +302,8 @@ def _fetched(wanted: DataFrame, texts: DataFrame, width: int) -> DataFrame:
                         c.append(v)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(),) * 4 + (pa.binary(),))], names=["anchor", "doc", "tag", "start", "region"])
 
-    return texts.join(by_doc, ["doc", "tag"]).select("doc", "tag", "text", "wanted").mapInArrow(run, "anchor long, doc long, tag long, start long, region binary")
+    # merged, not broadcast: what is wanted grows with the corpus
+    return texts.join(by_doc.hint("merge"), ["doc", "tag"]).select("doc", "tag", "text", "wanted").mapInArrow(run, "anchor long, doc long, tag long, start long, region binary")
 
 
 def compared(regions: DataFrame, counts: DataFrame, n: int, width: int, block: int) -> DataFrame:
@@ -367,4 +368,4 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             yield pa.RecordBatch.from_arrays(cols + ([pa.array(kept, pa.binary())] if texts_out else []), names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"] + (["kept"] if texts_out else []))
 
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", kept binary" if texts_out else "")
-    return keyed.join(by_doc, ["doc", "tag"], "left").select("doc_id", "text", "covered").mapInArrow(cut, schema)
+    return keyed.join(by_doc.hint("merge"), ["doc", "tag"], "left").select("doc_id", "text", "covered").mapInArrow(cut, schema)
