@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomgraph.plans import graph, retrieval
+from loomgraph.plans import graph, retrieval, rules, text
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
-for _m in (retrieval, graph):
+for _m in (retrieval, graph, text, rules):
     QUERIES |= _m.QUERIES
     ORACLES |= _m.ORACLES
