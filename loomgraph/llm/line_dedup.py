@@ -22,8 +22,10 @@ gives an empty result; all other columns pass through, whatever their names.
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
@@ -49,8 +51,8 @@ def masked_tokens(line: str) -> list[str]:
 def _lines(depth: int, min_tokens: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for lo in range(0, b.num_rows, 1024):
-                part = b.slice(lo, 1024)
+            for lo in range(0, b.num_rows, 256):
+                part = b.slice(lo, 256)
                 cols: list[list] = [[] for _ in range(6)]
                 for doc, tag, text in zip(*(c.to_pylist() for c in part.columns)):
                     for i, line in enumerate((text or "").split("\n")):
@@ -70,17 +72,20 @@ def _keys(docs: DataFrame, id_col: str, text_col: str) -> tuple[Column, Column,
 
 
 def _tokens_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    names = ["leaf", "form", "place", "token"]
     for b in batches:
-        leaf, form, place, token = [], [], [], []
-        for text, wanted in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-            lines = text.split("\n")
-            for w in wanted:
-                for i, t in enumerate(masked_tokens(lines[w["line"]])):
-                    leaf.append(w["leaf"])
-                    form.append(w["form"])
-                    place.append(i)
-                    token.append(_hash(t))
-        yield pa.RecordBatch.from_arrays([pa.array(leaf, pa.int64()), pa.array(form, pa.int64()), pa.array(place, pa.int32()), pa.array(token, pa.int64())], names=["leaf", "form", "place", "token"])
+        for lo in range(0, b.num_rows, 64):  # a few documents at a time bound the memory
+            part = b.slice(lo, 64)
+            leaf, form, place, token = (array("q") for _ in names)
+            for text, wanted in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
+                lines = text.split("\n")
+                for w in wanted:
+                    tokens = [_hash(t) for t in masked_tokens(lines[w["line"]])]
+                    leaf.extend([w["leaf"]] * len(tokens))
+                    form.extend([w["form"]] * len(tokens))
+                    place.extend(range(len(tokens)))
+                    token.extend(tokens)
+            yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(x, np.int64)) for x in (leaf, form, place, token)], names=names)
 
 
 def generalised(docs: DataFrame, lines: DataFrame, id_col: str, text_col: str, min_docs: int, constant: float) -> DataFrame:
@@ -92,7 +97,7 @@ def generalised(docs: DataFrame, lines: DataFrame, id_col: str, text_col: str, m
     wanted = several.groupBy("doc", "tag").agg(F.collect_list(F.struct("leaf", "form", "line")).alias("wanted"))
     doc, tag, text = _keys(docs, id_col, text_col)
     texts = docs.filter(text.isNotNull()).select(doc.alias("doc"), tag.alias("tag"), text.alias("text"))
-    tokens = texts.join(wanted, ["doc", "tag"]).select("text", "wanted").mapInArrow(_tokens_of, "leaf long, form long, place int, token long")
+    tokens = texts.join(wanted.hint("merge"), ["doc", "tag"]).select("text", "wanted").mapInArrow(_tokens_of, "leaf long, form long, place long, token long")
     tokens = written(tokens.distinct(), "tokens")
     shared = tokens.groupBy("leaf", "place", "token").agg(F.count(F.lit(1)).alias("n")).join(leaves.select("leaf", "forms"), "leaf").filter(F.col("n") * 2 > F.col("forms")).select("leaf", "place", "token", F.lit(1).alias("same"))
     kept = tokens.join(shared, ["leaf", "place", "token"]).groupBy("leaf", "form").agg(F.count("same").alias("same"))
@@ -128,7 +133,7 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     at = names.index(text_col)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (x.slice(lo, 512) for x in batches for lo in range(0, x.num_rows, 512)):
             texts, dropped = b.column(at).to_pylist(), b.column(b.num_columns - 1).to_pylist()
             lines, out = [], []
             for t, g in zip(texts, dropped):
