@@ -291,7 +291,7 @@ def _fetched(wanted: DataFrame, texts: DataFrame, width: int) -> DataFrame:
     by_doc = wanted.groupBy("doc", "tag").agg(F.collect_list(F.struct("anchor", "at")).alias("wanted"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (x.slice(lo, 128) for x in batches for lo in range(0, x.num_rows, 128)):
             cols: list[list] = [[] for _ in range(5)]
             for doc, tag, text, ranges in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), b.column(3)):
                 raw = text.as_buffer().to_pybytes()
@@ -347,7 +347,7 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     by_doc = written(ranges.groupBy("doc", "tag").agg(F.collect_set("at").alias("covered")), "covered")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (x.slice(lo, 512) for x in batches for lo in range(0, x.num_rows, 512)):
             size, removed, spans, sha, kept = [], [], [], [], []
             for text, covered in zip(b.column(1), b.column(2)):
                 raw_ = np.frombuffer(text.as_buffer(), np.uint8)
