@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomgraph.plans import graph, retrieval, rules, text
+from loomgraph.plans import evaluation, graph, ledger, relational, retrieval, rules, streams, text
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
-for _m in (retrieval, graph, text, rules):
+for _m in (retrieval, graph, text, rules, relational, ledger, evaluation, streams):
     QUERIES |= _m.QUERIES
     ORACLES |= _m.ORACLES
