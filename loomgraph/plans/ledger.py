@@ -37,7 +37,7 @@ def usage_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""WITH u AS (SELECT user_id, date_trunc('month', ts) AS m, count(*) AS qty FROM events GROUP BY 1, 2), t(lo, hi, price) AS (VALUES (0, 5, 10.0), (5, 20, 8.0), (20, 1000000000, 5.0))
-SELECT user_id, strftime(m, '%Y-%m') AS month, qty, sum(greatest(0, least(qty, hi) - lo) * price)::DOUBLE AS tiered, (qty * max(CASE WHEN qty >= lo AND qty < hi THEN price ELSE 0 END))::DOUBLE AS volume FROM u CROSS JOIN t GROUP BY ALL""")
+SELECT user_id, strftime(m, '%Y-%m') AS month, qty, sum(greatest(0, least(qty, hi) - lo) * price)::DOUBLE AS tiered, (qty * max(CASE WHEN qty >= lo AND qty < hi THEN price ELSE 0 END))::DOUBLE AS volume FROM u CROSS JOIN t GROUP BY user_id, m, qty""")
 def tiered_billing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tiered price (each tier for its part) and volume price (the tier reached, for all), per user and month."""
     u = Tables(spark, sf_dir).events.groupBy("user_id", F.date_format("ts", "yyyy-MM").alias("month")).agg(F.count(F.lit(1)).alias("qty"))
