@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 
 # Marks at the start of a file and the encodings they stand for.
 MARKS = (("EFBBBF", "UTF-8", 3), ("FFFE", "UTF-16LE", 2), ("FEFF", "UTF-16BE", 2))
-SNIFFED = 4096  # bytes looked at for marks and stray zeros
 
 # Element names of the statute service's XML.
 ARTICLE, ARTICLE_NUMBER, ARTICLE_TITLE, ARTICLE_TEXT = "조문단위", "조문번호", "조문제목", "조문내용"
