@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 
 from loomgraph.session import written
 
-WIDTH, GRAM = 100, 16  # widths up to 254
+WIDTH, GRAM = 100, 44  # widths up to 254; a short gram anchors many strings that only share a few words
 FLUSH = 400_000  # anchors that a task resolves among themselves
 BLOCK = 2048  # regions in a block
 LAST = (1 << 63) - 1
