@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 TIERS = (128, 256, 512, 1024)
 BUFFER = 2048  # documents whose remainders are packed together
 STEP = 64  # full windows in a step group
-CACHED, CACHED_LENGTH = 1_500_000, 48
+CACHED, CACHED_LENGTH = 200_000, 48
 UNEVEN_SPACE = re.compile(r"\s \s|\s \Z")
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, tier int, step_group long"
