@@ -24,9 +24,10 @@ import os
 import re
 import zlib
 from bisect import bisect_right, insort
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -35,14 +36,18 @@ from pyspark.sql import functions as F
 TIERS = (128, 256, 512, 1024)
 BUFFER = 2048  # documents whose remainders are packed together
 STEP = 64  # full windows in a step group
-CACHED, CACHED_LENGTH = 1_500_000, 48
+CACHED, CACHED_LENGTH = 300_000, 48  # words in a generation of the cache, and the longest word kept in it
+GROUP = 1 << 20  # characters of texts encoded together
 UNEVEN_SPACE = re.compile(r"\s \s|\s \Z")
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, tier int, step_group long"
 
 
 class Encoder:
-    """Ids as little-endian bytes. White-space-led words are encoded once by the library and cached; a text whose white space or special tokens could join words goes to the library whole."""
+    """Ids as little-endian bytes. White-space-led words are encoded once by the library and cached; a text whose white space or special tokens could join words goes to the library whole.
+
+    The cache has two generations: a full young one becomes the old one, from which words still in use move back. So its size is bounded and what is frequent stays.
+    """
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -52,26 +57,44 @@ class Encoder:
         self.tok.no_truncation()
         self.tok.no_padding()
         self.special = [t.content for t in self.tok.get_added_tokens_decoder().values()]
-        self.known: dict[str, bytes] = {"": b""}
+        self.young: dict[str, bytes] = {}  # by word without its space; a text's first word has a space before it instead
+        self.old: dict[str, bytes] = {}
 
     def _library(self, texts: list[str]) -> list[bytes]:
-        return [b"".join(i.to_bytes(4, "little") for i in e.ids) for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
+        return [np.array(e.ids, "<u4").tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _words(self, text: str) -> list[str] | None:
         if UNEVEN_SPACE.search(text) or any(s in text for s in self.special):
             return None
-        first, *rest = text.split(" ")
-        return [first, *[" " + w for w in rest]]
+        words = text.split(" ")
+        words[0] = " " + words[0]
+        return words
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        if len(self.known) > CACHED:
-            self.known = {"": b""}
-        known, split = self.known, [self._words(t) for t in texts]
-        new = list({w for words in split if words for w in words if w not in known})
-        made = dict(zip(new, self._library(new)))
-        known.update((w, ids) for w, ids in made.items() if len(w) <= CACHED_LENGTH)
+        if len(self.young) > CACHED:
+            self.young, self.old = {}, self.young
+        get, split = self.young.get, [self._words(t) for t in texts]
+        found = [words and list(map(get, words)) for words in split]
+        missing = {w for words, ids in zip(split, found) if words and None in ids for w, i in zip(words, ids) if i is None}
+        again = {w: self.old[w] for w in missing if w in self.old}
+        new = [w for w in missing if w not in again]
+        made = again | dict(zip(new, self._library([w[1:] if w[:1] == " " else " " + w for w in new])))
+        self.young.update((w, ids) for w, ids in made.items() if len(w) <= CACHED_LENGTH)
         whole = iter(self._library([t for t, words in zip(texts, split) if words is None]))
-        return [next(whole) if words is None else b"".join([known[w] if w in known else made[w] for w in words]) for words in split]
+        return [next(whole) if words is None else b"".join([made[w] if i is None else i for w, i in zip(words, ids)] if None in ids else ids) for words, ids in zip(split, found)]
+
+
+def in_groups(texts: Iterable[str], most: int) -> Iterator[list[str]]:
+    """Texts in order, in groups of about ``most`` characters, so that a group's words take bounded memory."""
+    group, size = [], 0
+    for t in texts:
+        group.append(t)
+        size += len(t) + 64
+        if size >= most:
+            yield group
+            group, size = [], 0
+    if group:
+        yield group
 
 
 @lru_cache(maxsize=2)
@@ -192,11 +215,11 @@ def pack_documents(docs: DataFrame, path: str, end_id: int = 0, id_col: str = "d
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packer, enc, waiting = Packer(TaskContext.get().partitionId(), tiers, step), encoder(path), 0
         for b in batches:
-            for lo in range(0, b.num_rows, 256):
-                part = b.slice(lo, 256)
-                for doc_id, ids in zip(part.column(0).to_pylist(), enc.encode([t or "" for t in part.column(1).to_pylist()])):
-                    packer.add(doc_id, ids, end)
-                waiting += part.num_rows
+            names = iter(b.column(0).to_pylist())
+            for group in in_groups((t.as_py() or "" for t in b.column(1)), GROUP):
+                for ids in enc.encode(group):
+                    packer.add(next(names), ids, end)
+                waiting += len(group)
                 if waiting >= BUFFER:
                     packer.pack()
                     waiting = 0
