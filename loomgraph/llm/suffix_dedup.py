@@ -119,10 +119,13 @@ def pack_at(begin: np.ndarray, end: np.ndarray) -> np.ndarray:
 
 
 def _resolve(rows: list) -> tuple[list[np.ndarray], np.ndarray]:
-    """Rows in order of (anchor, region, doc, tag, at), and whether an equal region comes before."""
+    """Rows in order of (anchor, region, doc, tag, at), each once, and whether an equal region comes before."""
     a, r, d, t, p = (np.concatenate([x[i] for x in rows]) for i in range(5))
     order = np.lexsort((p, t, d, r, a))
     a, r, d, t, p = a[order], r[order], d[order], t[order], p[order]
+    once = np.ones(len(a), bool)  # a repeated row brings the same regions again
+    once[1:] = np.any([x[1:] != x[:-1] for x in (a, r, d, t, p)], axis=0)
+    a, r, d, t, p = a[once], r[once], d[once], t[once], p[once]
     sure = np.zeros(len(a), bool)
     sure[1:] = (a[1:] == a[:-1]) & (r[1:] == r[:-1])
     return [a, r, d, t, p], sure
@@ -162,7 +165,7 @@ def sift(found: DataFrame) -> DataFrame:
     """One pass over each partition, sorted by anchor and region: covered ranges, and firsts of anchors with several regions."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        before: tuple | None = None  # anchor and region of the last row
+        before: tuple | None = None  # the last row
         waiting: list | None = None  # the last first, until the next one tells whether its anchor has several
 
         def out(a, d, t, p, several) -> pa.RecordBatch:
@@ -173,15 +176,16 @@ def sift(found: DataFrame) -> DataFrame:
                 continue
             a, r, d, t, p = (b.column(i).to_numpy() for i in range(5))
             sure = b.column(5).to_numpy(zero_copy_only=False)
-            pa_, pr = np.concatenate([[before[0] if before else 0], a[:-1]]), np.concatenate([[before[1] if before else 0], r[:-1]])
-            same = (a == pa_) & (r == pr)
+            like = [x == np.concatenate([[y], x[:-1]]) for x, y in zip((a, r, d, t, p), before or (0,) * 5)]
+            same = like[0] & like[1]
             if before is None:
                 same[0] = False
-            before = (a[-1], r[-1])
-            cover = same | sure
+            again = same & like[2] & like[3] & like[4]  # the same place, of a repeated row: not an earlier one
+            before = (a[-1], r[-1], d[-1], t[-1], p[-1])
+            cover = same & ~again | sure
             if cover.any():
                 yield out(a[cover], d[cover], t[cover], p[cover], False)
-            f = ~cover
+            f = ~cover & ~again
             if not f.any():
                 continue
             a, d, t, p = ([np.asarray(w)] + [x[f]] if waiting is not None else [x[f]] for w, x in zip(waiting[0] if waiting is not None else [None] * 4, (a, d, t, p)))
@@ -304,8 +308,8 @@ def _fetched(wanted: DataFrame, texts: DataFrame, width: int) -> DataFrame:
                         c.append(v)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(),) * 4 + (pa.binary(),))], names=["anchor", "doc", "tag", "start", "region"])
 
-    # merged, not broadcast: what is wanted grows with the corpus
-    return texts.join(by_doc.hint("merge"), ["doc", "tag"]).select("doc", "tag", "text", "wanted").mapInArrow(run, "anchor long, doc long, tag long, start long, region binary")
+    # merged, not broadcast: what is wanted grows with the corpus; repeated rows are fetched once
+    return texts.dropDuplicates(["doc", "tag"]).join(by_doc.hint("merge"), ["doc", "tag"]).select("doc", "tag", "text", "wanted").mapInArrow(run, "anchor long, doc long, tag long, start long, region binary")
 
 
 def compared(regions: DataFrame, counts: DataFrame, n: int, width: int, block: int) -> DataFrame:

@@ -83,3 +83,18 @@ def test_anchors():
     assert begin[0] == 0 and end[-1] == 300 and (begin[1:] == end[:-1] + 1).all()
     b, region_b, *_ = anchors(np.concatenate([raw[:7], raw]))
     assert set(region[1:-1]) <= set(region_b)
+
+
+def test_repeated_and_null_id_rows_keep_their_text(spark):
+    r = random.Random(8)
+    own = ["".join(r.choice("abcdefgh ") for _ in range(400)) for _ in range(3)]
+    shared = "".join(r.choice("abcdefgh ") for _ in range(300))
+    once = [(1, own[0]), (2, own[1] + shared), (3, shared[:-9] + own[2])]  # the last two meet in the fetched regions
+    want = brute(once)
+    for repeats in (2, 7):  # within a task and across tasks
+        for parts in (1, 5):
+            df = spark.createDataFrame([(*x, "en", "s", 1) for x in once * repeats], SCHEMA).repartition(parts)
+            assert sorted(map(tuple, suffix_dedup(df).collect())) == sorted(want * repeats)
+    nulls = [(None, own[0], "en", "s", 1)] * 2 + [(4, own[1], "en", "s", 1)]
+    for parts in (1, 3):
+        assert [x.n_removed for x in suffix_dedup(spark.createDataFrame(nulls, SCHEMA).repartition(parts)).collect()] == [0, 0, 0]
