@@ -29,8 +29,8 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates stays."""
-    return ngram_join.keep_one_of_each_group(docs)
+    """One row of each group of near duplicates stays."""
+    return ngram_join.keep_one_row_of_each_group(docs)
 
 
 def credentials(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -55,23 +55,23 @@ def _found(text: Column, kind: str) -> Column:
     )
 
 
-def candidates(docs: DataFrame, id_col: str, text_col: str, owner_col: str | None, repo_cols: tuple[str, ...]) -> DataFrame:
+def candidates(docs: DataFrame, id_col: str, text_col: str, owner_col: str | None, repo_cols: tuple[str, ...], tagged: bool = False) -> DataFrame:
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
     owner = F.coalesce(F.col(f"`{owner_col}`").cast("string"), F.lit("")) if owner_col else F.lit("")
     repo = F.concat_ws("/", *[F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")) for c in repo_cols]) if repo_cols else F.lit("")
     return docs.select(
-        F.col(f"`{id_col}`").cast("long").alias("doc_id"), owner.alias("owner"), repo.alias("repo"),
+        F.col(f"`{id_col}`").cast("long").alias("doc_id"), *([F.xxhash64(text).alias("tag")] if tagged else []), owner.alias("owner"), repo.alias("repo"),
         *[_found(text, k).alias(k) for k in KINDS],
     )
 
 
-def _placed(rows: DataFrame) -> DataFrame:
+def _placed(rows: DataFrame, keys: list[str]) -> DataFrame:
     """A row for each match, with code-point offsets from running sums over the gaps and lengths of its document."""
-    each = rows.withColumn("matches", F.array(*KINDS)).select("row_id", "doc_id", "owner", "repo", F.explode("matches").alias("of_kind"))
-    each = each.select("row_id", "doc_id", "owner", "repo", F.posexplode("of_kind").alias("i", "m")).filter(F.col("m").isNotNull())
+    each = rows.withColumn("matches", F.array(*KINDS)).select("row_id", *keys, "owner", "repo", F.explode("matches").alias("of_kind"))
+    each = each.select("row_id", *keys, "owner", "repo", F.posexplode("of_kind").alias("i", "m")).filter(F.col("m").isNotNull())
     w = Window.partitionBy("row_id", "m.kind").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
     end = F.sum(F.col("m.gap") + F.col("m.len")).over(w)
-    return each.select("row_id", "doc_id", "owner", "repo", "m.*", end.alias("end")).withColumn("start", F.col("end") - F.col("len"))
+    return each.select("row_id", *keys, "owner", "repo", "m.*", end.alias("end")).withColumn("start", F.col("end") - F.col("len"))
 
 
 def ownership(spans: DataFrame) -> DataFrame:
@@ -84,20 +84,22 @@ def ownership(spans: DataFrame) -> DataFrame:
 
 
 def secret_scan(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str | None = "source", repo_cols: tuple[str, ...] = ("source", "lang"), max_owners: int = 1, max_repos: int = 2
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str | None = "source", repo_cols: tuple[str, ...] = ("source", "lang"), max_owners: int = 1, max_repos: int = 2, tagged: bool = False
 ) -> DataFrame:
     """One row per document: ``doc_id, base, added, n_live, n_example``.
 
     ``base`` and ``added`` are arrays of ``(start, kind, end, live)`` in order
     of start, then kind. A value is live-looking where at most ``max_owners``
-    owners and ``max_repos`` repositories hold it.
+    owners and ``max_repos`` repositories hold it. With ``tagged``, ``tag`` is a
+    hash of the document's text.
     """
-    rows = candidates(docs, id_col, text_col, owner_col, repo_cols).withColumn("row_id", F.monotonically_increasing_id())
+    keys = ["doc_id", "tag"] if tagged else ["doc_id"]
+    rows = candidates(docs, id_col, text_col, owner_col, repo_cols, tagged).withColumn("row_id", F.monotonically_increasing_id())
     rows = written(rows, "secrets")
     any_match = F.coalesce(*[F.col(k).isNotNull() for k in KINDS[:1]])
     for k in KINDS[1:]:
         any_match = any_match | F.col(k).isNotNull()
-    spans = _placed(rows.filter(any_match))
+    spans = _placed(rows.filter(any_match), keys)
     ok = F.when(F.col("kind") == 0, F.col("value_len") >= LEAST_VALUE).when(F.col("kind") == 3, F.col("mixed")).otherwise(True)
     spans = spans.withColumn("ok", ok)
     owners = ownership(spans.filter("ok"))
@@ -105,15 +107,15 @@ def secret_scan(
     spans = spans.join(live, "value", "left").withColumn("live", F.coalesce("live", F.lit(False)))
     item = F.struct(F.col("start"), F.col("kind"), F.col("end"), F.col("live"))
     base_ok = F.col("ok") & (F.col("kind") < 3)
-    found = spans.groupBy("row_id", "doc_id").agg(
+    found = spans.groupBy("row_id", *keys).agg(
         F.array_sort(F.collect_list(F.when(base_ok, item))).alias("base"),
         F.array_sort(F.collect_list(F.when(F.col("ok") & (F.col("kind") == 3) & F.col("live"), item))).alias("more"),
     )
     free = F.filter("more", lambda x: ~F.exists("base", lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"])))
-    found = found.select("doc_id", "base", free.alias("added"))
-    none = rows.filter(~any_match).select("doc_id", *[F.array().cast(found.schema["base"].dataType).alias(c) for c in ("base", "added")])
+    found = found.select(*keys, "base", free.alias("added"))
+    none = rows.filter(~any_match).select(*keys, *[F.array().cast(found.schema["base"].dataType).alias(c) for c in ("base", "added")])
     return found.unionByName(none).select(
-        "doc_id", "base", "added",
+        *keys, "base", "added",
         (F.size(F.filter("base", lambda x: x["live"])) + F.size("added")).alias("n_live"), F.size(F.filter("base", lambda x: ~x["live"])).alias("n_example"),
     )
 
@@ -134,10 +136,15 @@ def digest_rows(found: DataFrame) -> DataFrame:
 
 
 def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mask: str = "[REDACTED]", **how) -> DataFrame:
-    """``docs`` with every live-looking span replaced by ``mask``; all documents and columns stay."""
-    found = secret_scan(docs, id_col, text_col, **how)
+    """``docs`` with every live-looking span replaced by ``mask``; all documents and columns stay.
+
+    Spans follow from the text and from how often values are held, so rows of
+    the same id and text have the same ones; other texts of an id, and null
+    ids, have their own.
+    """
+    found = secret_scan(docs, id_col, text_col, tagged=True, **how)
     live = F.filter(F.concat("base", "added"), lambda x: x["live"])
-    cuts = found.select(F.col("doc_id").alias("__id"), F.array_sort(live).alias("__cuts")).filter(F.size("__cuts") > 0).dropDuplicates(["__id"])
+    cuts = found.select(F.col("doc_id").alias("__id"), F.col("tag").alias("__tag"), F.array_sort(live).alias("__cuts")).filter(F.size("__cuts") > 0).dropDuplicates(["__id", "__tag"])
     text = F.col(f"`{text_col}`")
     # kept pieces between masks; overlapping spans merge as the position only moves on
     done = F.aggregate(
@@ -149,5 +156,6 @@ def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mask
         ),
         lambda s: F.concat(s["out"], F.substr(text, s["at"].cast("int"))),
     )
-    out = docs.join(cuts.hint("merge"), F.col(f"`{id_col}`").cast("long").eqNullSafe(F.col("__id")), "left")
+    mine = F.col(f"`{id_col}`").cast("long").eqNullSafe(F.col("__id")) & (F.xxhash64(F.coalesce(text, F.lit(""))) == F.col("__tag"))
+    out = docs.join(cuts.hint("merge"), mine, "left")
     return out.withColumn(text_col, F.when(F.col("__cuts").isNotNull(), done).otherwise(text)).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -82,3 +82,14 @@ def test_components(spark):
     got = dict(connected_components(spark.createDataFrame(edges, "a long, b long")).collect())
     assert got == {**{i: 1 for i in range(1, 61)}, **{i: 100 for i in range(100, 140)}, 500: 100}
     assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_one_row_of_each_group_stays(spark):
+    words = [f"word{i}" for i in range(80)]
+    near, other = " ".join(words), " ".join(f"other{i}" for i in range(80))
+    rows = [(1, near), (2, near + " more"), (2, other), (3, "a third text that stays as it is"), (3, "a third text that stays as it is"), (None, other + " more"), (None, "nobody knows this text of no id"), (None, "nobody knows this text of no id")]
+    rows += [(4, ""), (4, ""), (None, None)]
+    df = spark.createDataFrame([(*x, "en", "s", 1) for x in rows], SCHEMA).repartition(3)
+    got = ngram_join.keep_one_row_of_each_group(df)
+    assert got.columns == df.columns
+    assert sorted(((r.doc_id, r.text) for r in got.collect()), key=str) == sorted([rows[0], rows[2], rows[3], rows[6], *rows[8:]], key=str)
