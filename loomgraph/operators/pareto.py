@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from bisect import bisect_right
+from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -34,17 +37,30 @@ def front_2d(df: DataFrame, x: str, y: str, buckets: int = 64) -> DataFrame:
     return df.join(keep, x).filter(F.col(y) == F.col("__y")).select(*df.columns)
 
 
-def layers_2d(df: DataFrame, x: str, y: str, most: int) -> DataFrame:
-    """The first fronts as ``front`` 1, 2, ...: each is taken off before the next is found."""
-    out, rest = None, df
-    for n in range(1, most + 1):
-        layer = front_2d(rest, x, y)
-        named = layer.withColumn("front", F.lit(n))
-        out = named if out is None else out.unionByName(named)
-        rest = written(rest.join(layer.select(x, y).distinct(), [x, y], "left_anti"), "rest")
-        if rest.isEmpty():
-            break
-    return out
+def layers_2d(df: DataFrame, x: str, y: str) -> DataFrame:
+    """All rows with both objectives as ``front`` 1, 2, ...: what is left when the fronts before are taken off.
+
+    Only distinct points are ranked, in one sweep in the order of ``x``, then
+    ``y``: the points before are the only ones that may dominate, and one of a
+    front does where the front's least ``y`` so far isn't above the point's.
+    The sweep is one task that holds a number per front; rows get their front
+    back by a join.
+    """
+    points = df.select(x, y).dropna().distinct()
+
+    def sweep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        least: list = []  # of each front; never falls from one front to the next
+        for b in batches:
+            fronts = []
+            for v in b.column(1).to_pylist():
+                at = bisect_right(least, v)
+                least[at : at + 1] = [v]
+                fronts.append(at + 1)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(fronts, pa.int32())], names=[x, y, "front"])
+
+    kind = dict(df.dtypes)
+    ranked = points.repartition(1).sortWithinPartitions(x, y).mapInArrow(sweep, f"`{x}` {kind[x]}, `{y}` {kind[y]}, front int")
+    return df.join(written(ranked, "fronts"), [x, y]).select(*df.columns, "front")
 
 
 def crowding(front: DataFrame, key: str, objectives: tuple[str, ...], group: str | None = None) -> DataFrame:

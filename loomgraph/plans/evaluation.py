@@ -26,8 +26,8 @@ def pareto_front(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def front_layers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first three fronts, peeled one after another."""
-    return pareto.layers_2d(designs(Tables(spark, sf_dir)), "price", "size", most=3)
+    """Every design with the number of its front."""
+    return pareto.layers_2d(designs(Tables(spark, sf_dir)), "price", "size")
 
 
 @query(f"""WITH {FRONT}, g AS (SELECT *, max(price) OVER () - min(price) OVER () AS rp, max(size) OVER () - min(size) OVER () AS rs FROM front),
