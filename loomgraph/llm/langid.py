@@ -3,33 +3,42 @@
 Known words score by their per-language log frequency. An unseen word falls
 back to the longest character n-grams of it that are known, then to shorter
 ones. Word and n-gram counts are taken by Spark over a bounded sample of
-labelled documents (``max_docs``), and the model is bounded too (``max_words``
-and ``max_grams`` entries), so its broadcast has a fixed size.
+labelled documents: of each language at most ``max_docs`` documents and
+``max_chars`` characters, so that a rare language learns from as many rows as a
+common one. All counts of the sample are kept, but for a guard of
+``max_entries`` words and as many n-grams a language (most frequent first),
+which bounds the model and its broadcast whatever the sample holds.
+
+Words and n-grams are known by 64-bit hashes; the model is three arrays.
 
 Defined results: null texts and texts without a letter give ``und`` with score
 0; a text with letters always gets a learned language, ties going to the first
 in order of name; with nothing to learn from, every row is ``und``; repeated
-rows each give a row; null ids are never learned from and count as not held
-out; other columns are ignored, whatever their names.
+rows each give a row, and repeated labelled rows are learned from each; null ids
+are never learned from and count as not held out; very long texts are scored
+whole; an empty table gives an empty result; other columns are ignored, whatever
+their names.
 """
 
 from __future__ import annotations
 
-import math
 import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import xxhash
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import bounded_sample, fold
+from loomgraph.llm.common import fold
+from loomgraph.session import written
 
 WORD = re.compile(r"[^\W\d_]+")
 LONGEST_GRAM = 4
 KEPT_WORDS = 300_000  # entries of a task's cache of scored words
+COUNTS = "lang string, is_word boolean, h long, n long"
 
 
 def words_of(text: str | None) -> list[str]:
@@ -45,11 +54,16 @@ def grams_of(word: str, n: int) -> list[str]:
     return [marked[i : i + n] for i in range(len(marked) - n + 1)]
 
 
+def hashed(texts: list[str]) -> np.ndarray:
+    """Hashes of words or n-grams, as signed longs."""
+    digest = xxhash.xxh3_64_intdigest
+    return np.fromiter((digest(t.encode("utf-8", "replace")) for t in texts), np.uint64, len(texts)).view(np.int64)
+
+
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     words: dict[str, Counter] = defaultdict(Counter)
 
-    def flush() -> pa.RecordBatch:
-        lang, gram, kind, n = [], [], [], []
+    def flush() -> Iterator[pa.RecordBatch]:
         for key, counts in words.items():
             grams: Counter = Counter()
             for w, c in counts.items():
@@ -57,47 +71,52 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     for g in grams_of(w, size):
                         grams[g] += c
             for is_word, found in ((True, counts), (False, grams)):
-                lang += [key] * len(found)
-                kind += [is_word] * len(found)
-                gram += found.keys()
-                n += found.values()
+                n = len(found)
+                cols = [pa.array([key] * n, pa.string()), pa.array([is_word] * n, pa.bool_()), pa.array(hashed(list(found))), pa.array(list(found.values()), pa.int64())]
+                yield pa.RecordBatch.from_arrays(cols, names=["lang", "is_word", "h", "n"])
         words.clear()
-        return pa.RecordBatch.from_arrays([pa.array(lang, pa.string()), pa.array(gram, pa.string()), pa.array(kind, pa.bool_()), pa.array(n, pa.int64())], names=["lang", "gram", "is_word", "n"])
 
     for batch in batches:
         for text, lang in zip(batch.column(0), batch.column(1)):
             words[lang.as_py()].update(words_of(text.as_py()))
-        if sum(map(len, words.values())) > 500_000:
-            yield flush()
-    if words:
-        yield flush()
-
-
-def fit(labelled: DataFrame, max_words: int = 60_000, max_grams: int = 60_000) -> dict:
-    """A model from the columns ``text`` and ``lang``: names of languages, and tables of log frequencies for words and n-grams."""
-    counts = labelled.select("text", "lang").mapInArrow(_count, "lang string, gram string, is_word boolean, n long")
-    total = counts.groupBy("is_word", "gram", "lang").agg(F.sum("n").alias("n"))
-    wide = total.groupBy("is_word", "gram").agg(F.sum("n").alias("n"), F.map_from_entries(F.collect_list(F.struct("lang", "n"))).alias("by"))
-    # orderBy + limit is a distributed top-n: each task keeps its best, and no more than the limit reaches the driver
-    rows = {
-        kind: wide.filter(F.col("is_word") == kind).orderBy(F.desc("n"), "gram").limit(most).select("gram", "by").collect() for kind, most in ((True, max_words), (False, max_grams))
-    }
-    langs = sorted({lang for found in rows.values() for r in found for lang in r.by})
-    at = {lang: i for i, lang in enumerate(langs)}
-    model: dict = {"langs": langs}
+            if sum(map(len, words.values())) > 200_000:
+                yield from flush()
+    yield from flush()
+
+
+def fit(labelled: DataFrame, max_entries: int = 150_000) -> dict:
+    """A model from the columns ``text`` and ``lang``: names of languages, and for words and n-grams their sorted hashes with a row of log frequencies each."""
+    counts = labelled.select("text", "lang").mapInArrow(_count, COUNTS)
+    total = written(counts.groupBy("is_word", "h", "lang").agg(F.sum("n").alias("n")), "counts")
+    place = F.row_number().over(Window.partitionBy("lang", "is_word").orderBy(F.desc("n"), "h"))
+    found = total.withColumn("place", place).filter(F.col("place") <= max_entries).select("lang", "is_word", "h", "n").toArrow()
+    lang, is_word = found["lang"].combine_chunks().dictionary_encode(), found["is_word"].to_numpy()
+    langs = lang.dictionary.to_pylist() if len(lang) else []
+    order = sorted(range(len(langs)), key=langs.__getitem__)
+    at = np.argsort(order)[lang.indices.to_numpy()] if langs else np.zeros(0, np.int64)
+    h, n = found["h"].to_numpy(), found["n"].to_numpy()
+    model: dict = {"langs": [langs[i] for i in order]}
     for kind, name in ((True, "words"), (False, "grams")):
-        table = np.zeros((len(rows[kind]), len(langs)))
-        for i, r in enumerate(rows[kind]):
-            for lang, n in r.by.items():
-                table[i, at[lang]] = n
-        logs = np.log((table + 0.5) / (table.sum(0) + 0.5 * max(1, len(table))))
+        mine = is_word == kind
+        known, row = np.unique(h[mine], return_inverse=True)
+        table = np.zeros((len(known), len(langs)), np.float32)
+        table[row, at[mine]] = n[mine]
+        logs = np.log((table + 0.5) / (table.sum(0, dtype=np.float64) + 0.5 * max(1, len(table))))
         logs -= logs.mean(1, keepdims=True) if len(langs) else 0  # only differences between languages count
-        model[name] = ({r.gram: i for i, r in enumerate(rows[kind])}, logs.astype(np.float32))
+        model[name] = (known, logs.astype(np.float32))
     return model
 
 
+def rows_in(known: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """The row of each wanted hash, -1 where it isn't known."""
+    if not len(known):
+        return np.full(len(wanted), -1)
+    at = np.minimum(np.searchsorted(known, wanted), len(known) - 1)
+    return np.where(known[at] == wanted, at, -1)
+
+
 class Scorer:
-    """Scores texts against a model; each distinct word is looked up once and cached."""
+    """Scores texts against a model; the distinct words of a batch are looked up together, and cached."""
 
     def __init__(self, model: dict):
         self.langs = model["langs"]
@@ -106,39 +125,62 @@ class Scorer:
         self._reset()
 
     def _reset(self) -> None:
-        self.seen = dict(self.words)
-        self.table = np.zeros((max(1024, 2 * len(self.logs)), len(self.langs)), np.float32)
-        self.table[: len(self.logs)] = self.logs
-        self.used = len(self.logs)
-
-    def _backoff(self, word: str) -> np.ndarray:
-        for n in range(min(LONGEST_GRAM, len(word) + 2), 0, -1):
-            known = [i for g in grams_of(word, n) if (i := self.grams.get(g)) is not None]
-            if known:
-                return self.gram_logs[known].mean(0)
-        return np.zeros(len(self.langs), np.float32)
-
-    def _row(self, word: str) -> int:
-        if self.used == len(self.table):
+        self.seen: dict[str, int] = {}
+        self.table = np.zeros((4096, len(self.langs)), np.float32)
+
+    def rows(self, words: list[str]) -> np.ndarray:
+        """Log frequencies of words: their own, or the mean over their longest known n-grams."""
+        out = np.zeros((len(words), len(self.langs)), np.float32)
+        at = rows_in(self.words, hashed(words))
+        out[at >= 0] = self.logs[at[at >= 0]]
+        left = np.flatnonzero(at < 0)
+        for n in range(LONGEST_GRAM, 0, -1):
+            grams = [grams_of(words[i], n) for i in left]
+            sizes = np.fromiter(map(len, grams), np.int64, len(left))
+            at = rows_in(self.grams, hashed([g for found in grams for g in found]))
+            owner = np.repeat(np.arange(len(left)), sizes)[at >= 0]
+            hits = np.bincount(owner, minlength=len(left))
+            for k in range(len(self.langs)):
+                out[left, k] = np.bincount(owner, self.gram_logs[at[at >= 0], k], len(left)) / np.maximum(hits, 1)
+            left = left[hits == 0]
+            if not len(left):
+                break
+        return out
+
+    def _learn(self, new: list[str]) -> None:
+        rows, used = self.rows(new), len(self.seen)
+        while used + len(new) > len(self.table):
             self.table = np.concatenate([self.table, np.zeros_like(self.table)])
-        self.table[self.used] = self._backoff(word)
-        self.seen[word] = self.used
-        self.used += 1
-        return self.used - 1
+        self.table[used : used + len(new)] = rows
+        self.seen.update(zip(new, range(used, used + len(new))))
+
+    def predict_all(self, texts: list[str | None]) -> list[tuple[str, float]]:
+        found = [words_of(t) for t in texts]
+        if not self.langs:
+            return [("und", 0.0)] * len(texts)
+        if len(self.seen) > KEPT_WORDS:
+            self._reset()
+        seen = self.seen
+        new = list({w for words in found for w in words if w not in seen})
+        if new:
+            self._learn(new)
+        out = []
+        for words in found:
+            if not words:
+                out.append(("und", 0.0))
+                continue
+            total = self.table[list(map(seen.__getitem__, words))].sum(0, dtype=np.float64) / np.sqrt(len(words))
+            best = int(total.argmax())
+            out.append((self.langs[best], float(1 / np.exp(total - total[best]).sum())))
+        return out
 
     def predict(self, text: str | None) -> tuple[str, float]:
-        found = words_of(text)
-        if not found or not self.langs:
-            return "und", 0.0
-        if len(self.seen) > KEPT_WORDS + len(self.words):
-            self._reset()
-        seen, rows = self.seen, []
-        for w in found:
-            i = seen.get(w)
-            rows.append(self._row(w) if i is None else i)
-        total = self.table[rows].sum(0, dtype=np.float64) / math.sqrt(len(rows))
-        best = int(total.argmax())
-        return self.langs[best], float(1 / np.exp(total - total[best]).sum())
+        return self.predict_all([text])[0]
+
+
+def _scored(scorer: Scorer, column: pa.Array) -> list[tuple[str, float]]:
+    """Predictions of a column, some documents at a time, so that their words take bounded memory."""
+    return [x for lo in range(0, len(column), 256) for x in scorer.predict_all(column.slice(lo, 256).to_pylist())]
 
 
 def identify(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -148,7 +190,7 @@ def identify(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(shared.value)
         for b in batches:
-            found = [scorer.predict(t.as_py()) for t in b.column(2)]
+            found = _scored(scorer, b.column(2))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())], names=["doc_id", "held_out", "lang_pred", "score"])
 
     held = F.coalesce(fold(id_col, 4) == 2, F.lit(False))
@@ -157,25 +199,48 @@ def identify(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str
 
 
 def keep_identified(docs: DataFrame, model: dict, text_col: str = "text", least: float = 0.5) -> DataFrame:
-    """``docs`` without texts that have no letter or whose language scores below ``least``; rows pass through as they are, without a join."""
+    """``docs`` without texts that have no letter (null and empty ones, too) or whose language scores below ``least``.
+
+    Rows pass through as they are, without a join: ids may repeat or be null, and
+    columns may have any names.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(shared.value)
         for b in batches:
-            found = [scorer.predict(t.as_py()) for t in b.column(at)]
-            yield b.filter(pa.array([lang != "und" and score >= least for lang, score in found], pa.bool_()))
+            yield b.filter(pa.array([lang != "und" and score >= least for lang, score in _scored(scorer, b.column(at))], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
 
 
-def language_id(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", max_docs: int = 20_000) -> DataFrame:
-    """Learn from the labelled documents outside the held-out fold, at most about ``max_docs`` of them, and predict all documents."""
+def language_id(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", max_docs: int = 8_000) -> DataFrame:
+    """Learn from the labelled documents outside the held-out fold, at most ``max_docs`` of each language, and predict all documents."""
     return identify(docs, fit_on(docs, id_col, text_col, lang_col, max_docs), id_col, text_col)
 
 
-def fit_on(docs: DataFrame, id_col: str, text_col: str, lang_col: str, max_docs: int) -> dict:
-    labelled = docs.filter((fold(id_col, 4) != 2) & F.col(f"`{lang_col}`").isNotNull())
-    sample = bounded_sample(labelled, id_col, max_docs)
-    return fit(sample.select(F.col(f"`{text_col}`").alias("text"), F.col(f"`{lang_col}`").cast("string").alias("lang")))
+def sample_by_language(labelled: DataFrame, max_docs: int, max_chars: int) -> DataFrame:
+    """Of each language of ``id, text, lang`` the rows of the least id hashes, each once: at most ``max_docs``, and no more once there are ``max_chars`` characters.
+
+    Which rows these are is found on hashes and lengths alone. A share of the
+    hash range that surely holds them is cut off first, so that no task gets more
+    of a language than a few times the bound.
+    """
+    place, order = F.pmod(F.xxhash64("id"), F.lit(1 << 30)), F.xxhash64("id", F.xxhash64("text"))
+    rows = labelled.withColumns({"at": F.struct(place.alias("place"), order.alias("order")), "chars": F.coalesce(F.length("text"), F.lit(0)).cast("long")})
+    keys = rows.select("lang", "at", "chars")
+    sizes = written(keys.groupBy("lang").agg(F.count(F.lit(1)).alias("rows"), F.sum("chars").alias("chars")), "langs")
+    share = F.lit(4.0) * F.greatest(F.least(F.lit(max_docs) / F.col("rows"), F.lit(max_chars) / F.greatest(F.col("chars"), F.lit(1))), F.lit(100.0) / F.col("rows"))
+    near = keys.join(sizes.select("lang", share.alias("share")), "lang").filter(F.col("at.place") < F.col("share") * (1 << 30)).groupBy("lang", "at").agg(F.max("chars").alias("chars"))
+    w = Window.partitionBy("lang").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
+    near = near.withColumns({"nth": F.count(F.lit(1)).over(w), "before": F.sum("chars").over(w) - F.col("chars")})
+    last = written(near.filter((F.col("nth") <= max_docs) & (F.col("before") < max_chars)).groupBy("lang").agg(F.max("at").alias("last")), "sample")  # one row a language
+    return rows.join(last, "lang").filter(F.col("at") <= F.col("last")).groupBy("lang", "at").agg(F.first("text").alias("text")).select("text", "lang")
+
+
+def fit_on(docs: DataFrame, id_col: str, text_col: str, lang_col: str, max_docs: int = 8_000, max_chars: int = 40_000_000) -> dict:
+    """A model from the labelled documents outside the held-out fold; ``max_docs`` and ``max_chars`` bound the sample of each language."""
+    named: dict[str, Column] = {"id": F.col(f"`{id_col}`"), "text": F.col(f"`{text_col}`"), "lang": F.col(f"`{lang_col}`").cast("string")}
+    labelled = docs.filter((fold(id_col, 4) != 2) & F.col(f"`{lang_col}`").isNotNull()).select(*[c.alias(k) for k, c in named.items()])
+    return fit(sample_by_language(labelled, max_docs, max_chars))
