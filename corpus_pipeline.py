@@ -18,7 +18,7 @@ from loomgraph.sources.tables import table
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language can't be told (no letters, or a score below one half) go."""
-    return langid.keep_identified(docs, langid.fit_on(docs, "doc_id", "text", "lang", 20_000))
+    return langid.keep_identified(docs, langid.fit_on(docs, "doc_id", "text", "lang"))
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
