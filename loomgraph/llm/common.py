@@ -11,9 +11,12 @@ def fold(id_col: str, n: int) -> Column:
     return F.crc32(F.col(f"`{id_col}`").cast("string").cast("binary")) % n
 
 
-def bounded_sample(labelled: DataFrame, id_col: str, most: int) -> DataFrame:
-    """About ``most`` rows at most, chosen by a hash of the id alone; all rows where there are no more than that."""
-    n = labelled.count()
-    if n <= most:
-        return labelled
-    return labelled.filter(F.pmod(F.xxhash64(F.col(f"`{id_col}`")), F.lit(1 << 30)) < int(most / n * (1 << 30)))
+def free_names(df: DataFrame, *wanted: str) -> tuple[str, ...]:
+    """The wanted names, with underscores before those that ``df`` has already, in whatever case."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in wanted:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return tuple(out)

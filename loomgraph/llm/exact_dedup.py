@@ -20,6 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomgraph.llm.common import free_names
 from loomgraph.session import written
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -68,9 +69,16 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def drop_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` without the rows that ``exact_dedup`` doesn't keep."""
-    gone = exact_dedup(docs, id_col, text_col).filter(~F.col("kept")).select(F.col("doc_id").alias("__gone"))
-    return docs.join(gone, F.col(f"`{id_col}`").cast("long").eqNullSafe(F.col("__gone")), "left_anti")
+    """One row of each group of equal texts: of the largest id, a null id only where the group has no other.
+
+    Rows are told apart by id and text, so other texts under an id of the group
+    stay; of rows that repeat both, one stays. Columns may have any names.
+    """
+    name, sha = free_names(docs, "id", "sha")
+    gone = exact_dedup(docs, id_col, text_col).filter(~F.col("kept")).select(F.col("doc_id").alias("gone_id"), F.col("text_sha256").alias("gone_sha")).distinct()
+    keyed = docs.withColumns({name: F.col(f"`{id_col}`").cast("long"), sha: F.sha2(lower_ascii(F.coalesce(F.col(f"`{text_col}`"), F.lit(""))), 256)})
+    left = keyed.alias("d").join(gone.alias("g"), F.col(f"d.{name}").eqNullSafe(F.col("g.gone_id")) & (F.col(f"d.{sha}") == F.col("g.gone_sha")), "left_anti")
+    return left.dropDuplicates([name, sha]).drop(name, sha)
 
 
 ORACLE_SQL = """

@@ -38,6 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomgraph.llm.common import free_names
 from loomgraph.llm.components import connected_components
 from loomgraph.session import written
 
@@ -247,22 +248,18 @@ def _numbered(members: DataFrame, block: int) -> DataFrame:
     return members.join(sizes, ["cluster", "size"]).withColumn("block", F.floor(place)).drop("n", "before")
 
 
-def keep_one_of_each_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
-    """``docs`` without near duplicates: the least id of each group stays, and all documents that are in none. Of an id with several texts all rows go where one goes."""
-    gone = ngram_jaccard_join(docs, id_col, text_col, **how).filter(F.col("doc_id") != F.col("group_id")).select(F.col("doc_id").alias("__gone"))
-    return docs.join(gone.hint("merge"), F.col(f"`{id_col}`").cast("long") == F.col("__gone"), "left_anti")
-
-
 def keep_one_row_of_each_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
     """``docs`` without near duplicates: one row of each group stays, and all rows that are in none.
 
     Groups are of rows, each for itself: repeated rows, other texts of an id and
     null ids, too. The least id of a group stays, null ids come last, and texts
-    under one id are taken in the order of their hash.
+    under one id are taken in the order of their hash. Null, empty and blank
+    texts are in no group and stay. Columns may have any names.
     """
+    row, group, key = free_names(docs, "row", "group", "key")
     id_, text = F.col(f"`{id_col}`").cast("long"), F.col(f"`{text_col}`")
-    rows = written(docs.withColumn("__row", F.monotonically_increasing_id()), "rows")  # numbered once, as a second scan may be split otherwise
-    groups = ngram_jaccard_join(rows, "__row", text_col, **how).select(F.col("doc_id").alias("__row"), F.col("group_id").alias("__group"))
-    keys = rows.select("__row", F.struct(id_.isNull().alias("last"), id_.alias("id"), F.xxhash64(text).alias("tag"), F.col("__row").alias("row")).alias("__key"))
-    first = groups.join(keys.hint("merge"), "__row").groupBy("__group").agg(F.min("__key").alias("__key")).select(F.col("__key.row").alias("__row"))
-    return rows.join(first.hint("merge"), "__row", "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
+    rows = written(docs.withColumn(row, F.monotonically_increasing_id()), "rows")  # numbered once, as a second scan may be split otherwise
+    groups = ngram_jaccard_join(rows, row, text_col, **how).select(F.col("doc_id").alias(row), F.col("group_id").alias(group))
+    keys = rows.select(row, F.struct(id_.isNull().alias("last"), id_.alias("id"), F.xxhash64(text).alias("tag"), F.col(row).alias("row")).alias(key))
+    first = groups.join(keys.hint("merge"), row).groupBy(group).agg(F.min(key).alias(key)).select(F.col(f"{key}.row").alias(row))
+    return rows.join(first.hint("merge"), row, "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])

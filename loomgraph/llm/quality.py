@@ -7,8 +7,9 @@ batch of documents descends level by level without a Python loop over rows.
 
 Defined results: null texts score as empty ones; with no label, or labels of
 one class only, every score is the share of label 1 (0.5 without labels);
-rows with a null id or a null label are never learned from; repeated rows each
-give a row; an empty table gives an empty result; other columns are ignored,
+rows with a null id or a null label are never learned from; an id with several
+labels is learned with their mean, and one with several texts with that of the
+least statistics; repeated rows each give a row, and equal texts score alike; an empty table gives an empty result; other columns are ignored,
 whatever their names.
 """
 
@@ -23,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import bounded_sample, fold
+from loomgraph.llm.common import fold
 from loomgraph.session import written
 
 BINS = 128
@@ -123,11 +124,13 @@ def traverse(model: dict, x: np.ndarray) -> np.ndarray:
 def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", max_rows: int = 20_000, threshold: float = 0.3) -> DataFrame:
     """One row per document: ``doc_id, held_out, score, predicted``.
 
-    Learns from labels outside the held-out fold (crc32 of the id as text, modulo 5, is 0), at most about ``max_rows`` of them.
+    Learns from labels outside the held-out fold (crc32 of the id as text, modulo 5, is 0): at most ``max_rows`` documents, those of the least id hashes.
     """
     stats = written(document_statistics(docs, id_col, text_col), "stats")
-    known = labels.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{label_col}`").cast("int").alias("y")).filter((fold("doc_id", 5) != 0) & F.col("y").isNotNull())
-    rows = stats.join(bounded_sample(known, "doc_id", max_rows), "doc_id").toPandas().sort_values("doc_id", kind="stable")
+    known = labels.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{label_col}`").cast("double").alias("y")).filter((fold("doc_id", 5) != 0) & F.col("y").isNotNull())
+    # one row a document on both sides, so that repeated ids bring no more rows to the driver
+    known = known.groupBy("doc_id").agg(F.avg("y").alias("y")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
+    rows = stats.join(known, "doc_id").groupBy("doc_id").agg(F.min("stats").alias("stats"), F.first("y").alias("y")).toPandas().sort_values("doc_id", kind="stable")
     x = np.array(rows["stats"].tolist()).reshape(len(rows), len(FEATURES))
     shared = docs.sparkSession.sparkContext.broadcast(grow(x, rows["y"].to_numpy(np.float64)))
 

@@ -22,6 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomgraph.llm.common import free_names
 from loomgraph.session import written
 
 # The kinds in the order in which equal starts are listed, and their patterns (pattern, group of the value).
@@ -140,15 +141,17 @@ def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mask
 
     Spans follow from the text and from how often values are held, so rows of
     the same id and text have the same ones; other texts of an id, and null
-    ids, have their own.
+    ids, have their own. Null and empty texts stay as they are; columns may have
+    any names.
     """
     found = secret_scan(docs, id_col, text_col, tagged=True, **how)
+    id_, tag, cuts_ = free_names(docs, "id", "tag", "cuts")
     live = F.filter(F.concat("base", "added"), lambda x: x["live"])
-    cuts = found.select(F.col("doc_id").alias("__id"), F.col("tag").alias("__tag"), F.array_sort(live).alias("__cuts")).filter(F.size("__cuts") > 0).dropDuplicates(["__id", "__tag"])
+    cuts = found.select(F.col("doc_id").alias(id_), F.col("tag").alias(tag), F.array_sort(live).alias(cuts_)).filter(F.size(cuts_) > 0).dropDuplicates([id_, tag])
     text = F.col(f"`{text_col}`")
     # kept pieces between masks; overlapping spans merge as the position only moves on
     done = F.aggregate(
-        "__cuts",
+        cuts_,
         F.struct(F.lit("").alias("out"), F.lit(1).cast("long").alias("at")),
         lambda s, x: F.struct(
             F.when(x["start"] + 1 >= s["at"], F.concat(s["out"], F.substr(text, s["at"].cast("int"), (x["start"] + 1 - s["at"]).cast("int")), F.lit(mask))).otherwise(s["out"]).alias("out"),
@@ -156,6 +159,6 @@ def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mask
         ),
         lambda s: F.concat(s["out"], F.substr(text, s["at"].cast("int"))),
     )
-    mine = F.col(f"`{id_col}`").cast("long").eqNullSafe(F.col("__id")) & (F.xxhash64(F.coalesce(text, F.lit(""))) == F.col("__tag"))
+    mine = F.col(f"`{id_col}`").cast("long").eqNullSafe(F.col(id_)) & (F.xxhash64(F.coalesce(text, F.lit(""))) == F.col(tag))
     out = docs.join(cuts.hint("merge"), mine, "left")
-    return out.withColumn(text_col, F.when(F.col("__cuts").isNotNull(), done).otherwise(text)).select(*[F.col(f"`{c}`") for c in docs.columns])
+    return out.withColumn(text_col, F.when(F.col(cuts_).isNotNull(), done).otherwise(text)).select(*[F.col(f"`{c}`") for c in docs.columns])

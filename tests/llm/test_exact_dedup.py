@@ -32,3 +32,13 @@ def test_drop_and_empty(spark):
     df = spark.createDataFrame(prose(), SCHEMA)
     assert drop_duplicates(df).select("text").distinct().count() == drop_duplicates(df).count() == df.select("text").distinct().count()
     assert exact_dedup(df.limit(0)).count() == 0
+
+
+def test_drop_tells_rows_apart_by_id_and_text(spark):
+    rows = [(5, "A"), (9, "a"), (5, "B"), (5, "B"), (None, "B"), (None, None), (None, ""), (None, "c"), (None, "C")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 as id", "2 as SHA", "3 as gone_id", "true as kept")
+    got = drop_duplicates(df)
+    assert got.columns == df.columns
+    out = got.collect()
+    assert len(out) == 4 and {(r.doc_id, (r.text or "").lower()) for r in out} == {(9, "a"), (5, "b"), (None, ""), (None, "c")}
+    assert drop_duplicates(df.limit(0)).count() == 0

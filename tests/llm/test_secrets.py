@@ -65,5 +65,7 @@ def test_redact_null_and_repeated_ids(spark):
     keys = ["f33e61083db5dbdf4bd2369d2f80176e57f7fda2", "0badc0de83db5dbdf4bd2369d2f80176e57f7fd9"]
     for doc_id in (None, 7):
         data = [(doc_id, f"token = {keys[0]} end", "en", "s1", 1), (doc_id, f"a longer text before token = {keys[1]} end", "en", "s1", 1), (doc_id, "clean words that nobody may cut anywhere", "en", "s1", 1)]
-        out = sorted(r.text for r in redact(spark.createDataFrame(data + data[:1], SCHEMA)).collect())
+        df = spark.createDataFrame(data + data[:1], SCHEMA).selectExpr("*", "1 as id", "2 as Tag", "3 as cuts", "4 as __cuts")
+        assert redact(df).columns == df.columns and redact(df.limit(0)).count() == 0
+        out = sorted(r.text for r in redact(df).collect())
         assert out == sorted(["[REDACTED] end"] * 2 + ["a longer text before [REDACTED] end", data[2][1]])
