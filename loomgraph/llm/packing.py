@@ -2,29 +2,33 @@
 
 Documents are tokenised (ids of the tokenizer file, then one end id). Whole
 windows of the longest tier are cut off first; what remains of each document is
-routed to the shortest tier that holds it. Tiers are then packed together: the
-longest piece opens a window, the gap takes the largest pieces of shorter tiers
-that fit, and the last gap is closed by cutting a piece. So every window of the
-longest tier is full. What a partition has left at its end goes into windows of
-the powers of two that add up to it, so nothing is padded at all. Full windows
-are dealt to step groups of equal size in order of their attention cost (the
-sum of squared piece lengths), back and forth, which balances the groups.
+routed to the shortest tier that holds it. Each tier is then packed by itself,
+the longest first: its longest piece opens a window, the gap takes the largest
+pieces of shorter tiers that fit, and the last gap is closed by cutting a piece,
+whose rest is routed anew. So every window of a tier is full, and short
+documents that no long window has room for meet in short windows. What a
+partition has left at its end, less than one long window, goes into windows of
+the powers of two that add up to it, so nothing is padded at all. The full
+windows of a tier are dealt to step groups of equal tokens in order of their
+attention cost (the sum of squared piece lengths), back and forth, which
+balances the groups.
 
 A partition packs its own documents as they stream by, with a bounded buffer:
 there is no shuffle, and a recomputed partition gives the same windows.
 
 Defined results: a null text packs as an empty one (its end id only); repeated
-rows are packed each for itself; null ids stay null; an empty table gives an
-empty result; other columns are ignored, whatever their names.
+rows are packed each for itself, and equal lengths in the order of arrival; null
+ids stay null; very long texts give as many whole windows as they fill; an empty
+table gives an empty result; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
+import json
 import os
-import re
 import zlib
 from bisect import bisect_right, insort
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -35,66 +39,68 @@ from pyspark.sql import functions as F
 
 TIERS = (128, 256, 512, 1024)
 BUFFER = 2048  # documents whose remainders are packed together
-STEP = 64  # full windows in a step group
-CACHED, CACHED_LENGTH = 300_000, 48  # words in a generation of the cache, and the longest word kept in it
-GROUP = 1 << 20  # characters of texts encoded together
-UNEVEN_SPACE = re.compile(r"\s \s|\s \Z")
+STEP = 64  # windows of the longest tier in a step group; other tiers have as many tokens in theirs
+ROWS = 20_000  # pieces handed over together
+
+# Fixed value: the piece pattern of byte-level BPE files.
+PIECES = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, tier int, step_group long"
 
 
+def byte_characters() -> dict[str, int]:
+    """The byte of each character of a byte-level vocabulary: printable bytes stand for themselves, others for characters from 256 on."""
+    own = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = [b for b in range(256) if b not in own]
+    return {chr(b): b for b in own} | {chr(256 + i): b for i, b in enumerate(others)}
+
+
+def merge_ranks(spec: dict) -> dict[bytes, int] | None:
+    """Ranks by token of a tokenizer file whose ids are its merges in order, over bytes and without normalising; None for any other."""
+    model, split = spec["model"], spec.get("pre_tokenizer") or {}
+    plain = model["type"] == "BPE" and split.get("type") == "ByteLevel" and split.get("use_regex") and not split.get("add_prefix_space") and not spec.get("normalizer") and not spec.get("post_processor")
+    if not plain or any(model.get(k) for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "ignore_merges", "byte_fallback")):
+        return None
+    back, vocab = byte_characters(), model["vocab"]
+    merged = ["".join(m) if isinstance(m, list) else m.replace(" ", "") for m in model["merges"]]
+    if any(vocab.get(t) != 256 + i for i, t in enumerate(merged)) or {vocab.get(c) for c in back} != set(range(256)):
+        return None
+    return {bytes(back[c] for c in t): vocab[t] for t in [*back, *merged]}
+
+
 class Encoder:
-    """Ids as little-endian bytes. White-space-led words are encoded once by the library and cached; a text whose white space or special tokens could join words goes to the library whole.
+    """Ids as little-endian bytes.
 
-    The cache has two generations: a full young one becomes the old one, from which words still in use move back. So its size is bounded and what is frequent stays.
+    Texts go whole through ranked merges over bytes where the file is of that
+    kind; texts that name a special token, or that its splitter gives up on, and
+    files of other kinds go through the tokenizers library. Ids are the same.
     """
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+        from tiktoken import Encoding
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
         self.tok.no_truncation()
         self.tok.no_padding()
         self.special = [t.content for t in self.tok.get_added_tokens_decoder().values()]
-        self.young: dict[str, bytes] = {}  # by word without its space; a text's first word has a space before it instead
-        self.old: dict[str, bytes] = {}
+        with open(path, encoding="utf-8") as f:
+            ranks = merge_ranks(json.load(f))
+        self.ranked = Encoding("ranked", pat_str=PIECES, mergeable_ranks=ranks, special_tokens={}) if ranks else None
 
-    def _library(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
+    def _library(self, text: str) -> bytes:
+        return np.array(self.tok.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4").tobytes()
 
-    def _words(self, text: str) -> list[str] | None:
-        if UNEVEN_SPACE.search(text) or any(s in text for s in self.special):
-            return None
-        words = text.split(" ")
-        words[0] = " " + words[0]
-        return words
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        if len(self.young) > CACHED:
-            self.young, self.old = {}, self.young
-        get, split = self.young.get, [self._words(t) for t in texts]
-        found = [words and list(map(get, words)) for words in split]
-        missing = {w for words, ids in zip(split, found) if words and None in ids for w, i in zip(words, ids) if i is None}
-        again = {w: self.old[w] for w in missing if w in self.old}
-        new = [w for w in missing if w not in again]
-        made = again | dict(zip(new, self._library([w[1:] if w[:1] == " " else " " + w for w in new])))
-        self.young.update((w, ids) for w, ids in made.items() if len(w) <= CACHED_LENGTH)
-        whole = iter(self._library([t for t, words in zip(texts, split) if words is None]))
-        return [next(whole) if words is None else b"".join([made[w] if i is None else i for w, i in zip(words, ids)] if None in ids else ids) for words, ids in zip(split, found)]
-
-
-def in_groups(texts: Iterable[str], most: int) -> Iterator[list[str]]:
-    """Texts in order, in groups of about ``most`` characters, so that a group's words take bounded memory."""
-    group, size = [], 0
-    for t in texts:
-        group.append(t)
-        size += len(t) + 64
-        if size >= most:
-            yield group
-            group, size = [], 0
-    if group:
-        yield group
+    def encode(self, text: str) -> bytes:
+        if self.ranked is None or any(s in text for s in self.special):
+            return self._library(text)
+        try:
+            return self.ranked.encode_to_numpy(text, disallowed_special=()).astype("<u4", copy=False).tobytes()
+        except BaseException as e:  # the splitter's own limit on a very long run comes as a panic
+            if isinstance(e, (KeyboardInterrupt, SystemExit, GeneratorExit, MemoryError)):
+                raise
+            return self._library(text)
 
 
 @lru_cache(maxsize=2)
@@ -109,7 +115,7 @@ class Packer:
         self.tiers, self.longest, self.step = tiers, tiers[-1], step
         self.next_id = self.next_group = part << 32
         self.open: list[list] = []  # pieces that wait for a window
-        self.full: list[list[tuple]] = []  # windows that wait for a step group
+        self.full: dict[int, list[list[tuple]]] = {t: [] for t in tiers}  # windows that wait for a step group
         self.rows: list[tuple] = []
 
     def add(self, doc_id: int | None, ids: bytes, end: bytes) -> None:
@@ -117,24 +123,28 @@ class Packer:
         n = len(ids) // 4
         whole = n - n % self.longest
         for s in range(0, whole, self.longest):
-            self._window([(doc_id, s, ids[4 * s : 4 * (s + self.longest)], n)])
+            self._window(self.longest, [(doc_id, s, ids[4 * s : 4 * (s + self.longest)], n)])
         if n > whole:
             self.open.append([doc_id, whole, ids[4 * whole :], n])
 
-    def _window(self, pieces: list[tuple]) -> None:
-        self.full.append(pieces)
-        if len(self.full) == self.step * 16:
-            self._groups()
+    def _window(self, tier: int, pieces: list[tuple]) -> None:
+        self.full[tier].append(pieces)
+        if len(self.full[tier]) == self._in_step(tier) * 16:
+            self._groups(tier)
+
+    def _in_step(self, tier: int) -> int:
+        return self.step * self.longest // tier
 
-    def _groups(self) -> None:
+    def _groups(self, tier: int) -> None:
         """Deal windows, dearest first, back and forth over as many groups as they fill."""
-        n = -(-len(self.full) // self.step)
-        self.full.sort(key=lambda pieces: -sum(len(p[2]) ** 2 for p in pieces))
-        for i, pieces in enumerate(self.full):
+        full = self.full[tier]
+        n = -(-len(full) // self._in_step(tier))
+        full.sort(key=lambda pieces: -sum(len(p[2]) ** 2 for p in pieces))
+        for i, pieces in enumerate(full):
             turn, at = divmod(i, n)
             self._emit(pieces, self.next_group + (at if turn % 2 == 0 else n - 1 - at))
         self.next_group += n
-        self.full = []
+        self.full[tier] = []
 
     def _emit(self, pieces: list[tuple], group: int) -> None:
         offset, tier = 0, sum(len(p[2]) for p in pieces) // 4
@@ -143,13 +153,18 @@ class Packer:
             offset += len(ids) // 4
         self.next_id += 1
 
+    def _tier(self, n: int) -> int:
+        return next(t for t in self.tiers if n <= t)
+
     def pack(self) -> None:
-        """Fill windows of the longest tier while the waiting pieces can; the rest goes on waiting."""
+        """Fill the windows of each tier, longest first; pieces too few to fill a window of their tier go on waiting."""
         left = sum(len(p[2]) for p in self.open) // 4
         shelf: dict[int, list[tuple[int, int]]] = {t: [] for t in self.tiers}  # of each tier: (length, piece) in order
         for i, p in enumerate(self.open):
             n = len(p[2]) // 4
-            insort(shelf[next(t for t in self.tiers if n <= t)], (n, i))
+            shelf[self._tier(n)].append((n, i))
+        for waiting in shelf.values():
+            waiting.sort()
 
         def take(most: int) -> int | None:
             """The largest waiting piece of at most so many tokens, from the longest tier that has one."""
@@ -158,36 +173,37 @@ class Packer:
                     return shelf[t].pop(k - 1)[1]
             return None
 
-        while left >= self.longest:
-            window, gap = [], self.longest
-            while gap:
-                i = take(gap)
-                if i is None:  # nothing fits: cut the shortest piece
-                    tier = next(t for t in self.tiers if shelf[t])
-                    _, i = shelf[tier].pop(0)
-                    doc_id, start, ids, n = self.open[i]
-                    window.append((doc_id, start, ids[: 4 * gap], n))
-                    self.open[i] = [doc_id, start + gap, ids[4 * gap :], n]
-                    rest = len(ids) // 4 - gap
-                    insort(shelf[next(t for t in self.tiers if rest <= t)], (rest, i))
-                    gap = 0
-                else:
-                    window.append(tuple(self.open[i]))
-                    gap -= len(self.open[i][2]) // 4
-            self._window(window)
-            left -= self.longest
+        def cut(gap: int) -> tuple:
+            """The first tokens of the shortest waiting piece, whose rest is routed anew."""
+            _, i = shelf[next(t for t in self.tiers if shelf[t])].pop(0)
+            doc_id, start, ids, n = self.open[i]
+            self.open[i] = [doc_id, start + gap, ids[4 * gap :], n]
+            rest = len(ids) // 4 - gap
+            insort(shelf[self._tier(rest)], (rest, i))
+            return doc_id, start, ids[: 4 * gap], n
+
+        for tier in reversed(self.tiers):
+            while shelf[tier] and left >= tier:
+                window, gap = [], tier
+                while gap:
+                    i = take(gap)  # the tier's own longest piece first, as longer tiers are done
+                    window.append(cut(gap) if i is None else tuple(self.open[i]))
+                    gap -= len(window[-1][2]) // 4
+                self._window(tier, window)
+                left -= tier
         self.open = [self.open[i] for t in reversed(self.tiers) for _, i in reversed(shelf[t])]
 
     def finish(self) -> None:
-        """Less than one window waits: cut it at the powers of two that add up to it."""
+        """What waits is cut at the powers of two that add up to it."""
         self.pack()
-        if self.full:
-            self._groups()
+        for tier in self.tiers:
+            if self.full[tier]:
+                self._groups(tier)
         left = sum(len(p[2]) for p in self.open) // 4
         waiting = iter(self.open)
         piece = next(waiting, None)
         while left:
-            size = gap = 1 << (left.bit_length() - 1)
+            size = gap = min(1 << (left.bit_length() - 1), self.longest)
             window = []
             while gap:
                 doc_id, start, ids, n = piece
@@ -215,16 +231,14 @@ def pack_documents(docs: DataFrame, path: str, end_id: int = 0, id_col: str = "d
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packer, enc, waiting = Packer(TaskContext.get().partitionId(), tiers, step), encoder(path), 0
         for b in batches:
-            names = iter(b.column(0).to_pylist())
-            for group in in_groups((t.as_py() or "" for t in b.column(1)), GROUP):
-                for ids in enc.encode(group):
-                    packer.add(next(names), ids, end)
-                waiting += len(group)
+            for doc_id, text in zip(b.column(0).to_pylist(), b.column(1)):
+                packer.add(doc_id, enc.encode(text.as_py() or ""), end)
+                waiting += 1
                 if waiting >= BUFFER:
                     packer.pack()
                     waiting = 0
-                if (rows := packer.take()) is not None:
-                    yield rows
+                if len(packer.rows) >= ROWS:
+                    yield packer.take()
         packer.finish()
         if (rows := packer.take()) is not None:
             yield rows
