@@ -1,28 +1,42 @@
 """Line dedup with a log-template tree of fixed depth.
 
-A line's leaf in the tree is its token count and its leading tokens, variable
-ones (those with a digit) masked. Lines of a leaf whose masked forms differ are
-generalised: a token that more than half of the leaf's forms share at its place
-is constant, others become fields, and the form is merged into the template
-where enough of it is constant. A template that recurs in ``min_docs`` documents
-or more is dropped from all of them but the first (the least id), so that what a
-passage says stays in the corpus once.
-
-Lines travel as hashes; only lines of leaves with several forms are looked at
-again by token. Everything is grouped sums and equi-joins; a template or leaf
-that a third of all lines share meets no single task.
+A line goes down the tree by its token count and its leading tokens, variable
+ones (those with a digit) masked. Each of the leading levels also has a field
+branch, which holds the lines of whatever token at that place. A line goes down
+every path that takes one leading token as it is and the field branch at the
+other levels, and the leaf is told further by one of four parts of the rest of
+the line; so fields at any three places leave some leaf common to all lines of a
+template, unless they are just the leading ones. In a leaf the tokens are counted by place. The
+places of a line whose tokens are as frequent there as the ``constant`` share of
+its most frequent ones are constants, the others become fields: lines with the
+same constants are one template. So a leaf has any number of templates, and
+other lines in it, however many, don't hide one.
+
+A template (or a line as it stands) that recurs in ``min_docs`` documents or
+more is dropped from all of them but the first (the least id), so that what a
+passage says stays in the corpus once. A long line (``long_tokens``) is dropped
+as soon as a second document holds it, but not from a document that shares more
+than half of its lines with one earlier document: that is a copy, which dedup of
+documents is to judge as a whole.
+
+Lines travel as hashes; only lines of leaves that several forms and enough
+documents share are looked at again by token. Everything is grouped counts and
+equi-joins: a scan marks the first of each form it meets, so that a form, leaf or
+template that a third of all lines share meets no single task.
 
 Defined results: null texts have no lines and stay null; blank lines and lines
 of fewer than ``min_tokens`` tokens have no template and stay; rows that repeat
 an id and text get the same result, rows of one id with other texts count as
-one document; null ids count as one document that comes last; an empty table
-gives an empty result; all other columns pass through, whatever their names.
+one document; null ids count as one document that comes last; very long texts
+are cut whole; an empty table gives an empty result; all other columns pass
+through, whatever their names.
 """
 
 from __future__ import annotations
 
 import re
 from array import array
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,12 +45,16 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loomgraph.llm.common import free_names
 from loomgraph.session import written
 
 DIGIT = re.compile(r"\d")
 FIELD = "<*>"
-LINES = "doc long, tag long, line int, tokens int, leaf long, form long"
+PARTS = 4  # of the tokens after the leading ones
+ALIKE = 0.75  # share of the count that a line's constants have at least, which a token needs to be one
+LINES = "doc long, tag long, line int, tokens int, form long, fresh boolean, lead array<long>, parts array<long>"
 LAST = (1 << 63) - 1
+SEEN = 400_000  # forms that a task remembers to mark the first of each
 
 
 def _hash(text: str) -> int:
@@ -48,20 +66,45 @@ def masked_tokens(line: str) -> list[str]:
     return [FIELD if DIGIT.search(t) else t for t in tokens] if DIGIT.search(line) else tokens
 
 
+def part_texts(tokens: list[str], depth: int) -> list[str]:
+    """The parts of the tokens after the leading ones, each with its place and the token count; none that is empty."""
+    n = len(tokens) - depth
+    cuts = [depth + n * i // PARTS for i in range(PARTS + 1)]
+    return [f"{len(tokens)} {i} " + " ".join(tokens[a:b]) for i, (a, b) in enumerate(zip(cuts, cuts[1:])) if a < b]
+
+
+def _lists(values: array, sizes: list[int]) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes, dtype=np.int32)]).astype(np.int32)), pa.array(np.frombuffer(values, np.int64)))
+
+
 def _lines(depth: int, min_tokens: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
         for b in batches:
             for lo in range(0, b.num_rows, 256):
                 part = b.slice(lo, 256)
                 cols: list[list] = [[] for _ in range(6)]
+                lead, parts, n_lead, n_parts = array("q"), array("q"), [], []
+                if len(seen) > SEEN:
+                    seen.clear()
                 for doc, tag, text in zip(*(c.to_pylist() for c in part.columns)):
                     for i, line in enumerate((text or "").split("\n")):
                         tokens = masked_tokens(line)
-                        if len(tokens) >= min_tokens:
-                            lead = _hash(f"{len(tokens)} " + " ".join(tokens[:depth]))
-                            for c, v in zip(cols, (doc, tag, i, len(tokens), lead, _hash(" ".join(tokens)))):
-                                c.append(v)
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64()))], names=[x.split()[0] for x in LINES.split(", ")])
+                        if len(tokens) < min_tokens:
+                            continue
+                        form = _hash(" ".join(tokens))
+                        fresh = form not in seen
+                        found = part_texts(tokens, depth) if len(tokens) > depth else []
+                        for c, v in zip(cols, (doc, tag, i, len(tokens), form, fresh)):
+                            c.append(v)
+                        if fresh:
+                            seen.add(form)
+                            lead.extend([_hash(t) for t in tokens[:depth]] if found else [])
+                        parts.extend([_hash(x) for x in found])
+                        n_lead.append(depth if fresh and found else 0)
+                        n_parts.append(len(found))
+                types = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.bool_())
+                yield pa.RecordBatch.from_arrays([*(pa.array(c, t) for c, t in zip(cols, types)), _lists(lead, n_lead), _lists(parts, n_parts)], names=[x.split()[0] for x in LINES.split(", ")])
 
     return run
 
@@ -72,82 +115,114 @@ def _keys(docs: DataFrame, id_col: str, text_col: str) -> tuple[Column, Column,
 
 
 def _tokens_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    names = ["leaf", "form", "place", "token"]
     for b in batches:
         for lo in range(0, b.num_rows, 64):  # a few documents at a time bound the memory
             part = b.slice(lo, 64)
-            leaf, form, place, token = (array("q") for _ in names)
+            form, hashes, sizes = [], array("q"), []
             for text, wanted in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
                 lines = text.split("\n")
                 for w in wanted:
-                    tokens = [_hash(t) for t in masked_tokens(lines[w["line"]])]
-                    leaf.extend([w["leaf"]] * len(tokens))
-                    form.extend([w["form"]] * len(tokens))
-                    place.extend(range(len(tokens)))
-                    token.extend(tokens)
-            yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(x, np.int64)) for x in (leaf, form, place, token)], names=names)
-
-
-def generalised(docs: DataFrame, lines: DataFrame, id_col: str, text_col: str, min_docs: int, constant: float) -> DataFrame:
-    """``leaf, form, template`` for the forms that a template of their leaf covers; only leaves of several forms and enough lines take part."""
-    forms = written(lines.groupBy("leaf", "form").agg(F.min(F.struct("doc", "tag", "line")).alias("at"), F.first("tokens").alias("tokens"), F.count(F.lit(1)).alias("n")), "forms")
-    leaves = forms.groupBy("leaf").agg(F.count(F.lit(1)).alias("forms"), F.sum("n").alias("n")).filter((F.col("forms") > 1) & (F.col("n") >= min_docs))
-    several = forms.join(leaves.select("leaf", "forms"), "leaf").select("leaf", "form", "forms", "tokens", "at.doc", "at.tag", "at.line")
-    several = written(several, "several")
-    wanted = several.groupBy("doc", "tag").agg(F.collect_list(F.struct("leaf", "form", "line")).alias("wanted"))
+                    tokens = masked_tokens(lines[w["line"]])
+                    form.append(w["form"])
+                    hashes.extend([_hash(t) for t in tokens])
+                    sizes.append(len(tokens))
+            yield pa.RecordBatch.from_arrays([pa.array(form, pa.int64()), _lists(hashes, sizes)], names=["form", "hashes"])
+
+
+def leaves(lines: DataFrame, holders: DataFrame, depth: int, min_docs: int) -> DataFrame:
+    """``key, form, doc, tag, line`` of the forms of each leaf that several forms and ``min_docs`` documents share; of each part a form takes its fullest leaf."""
+    part = lines.select("form", "fresh", F.explode("parts").alias("part"))
+    often = part.groupBy("part").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= min_docs)
+    forms = part.filter("fresh").select("form", "part").join(often, "part", "left_semi").select("form").distinct()
+    # the least marked line of each such form, at most one row a task came here
+    forms = lines.filter("fresh").join(forms, "form", "left_semi").groupBy("form").agg(F.min(F.struct("doc", "tag", "line", "lead", "parts")).alias("at"))
+    forms = written(forms.join(holders.select("form", "docs"), "form", "left").select("form", F.coalesce("docs", F.lit(1)).alias("docs"), "at"), "forms")
+    key = F.array(*[F.xxhash64(F.lit(i), F.col("at.lead")[i], F.col("part")) for i in range(depth)])
+    keys = forms.select("form", "docs", "at", F.explode("at.parts").alias("part")).select("form", "docs", "part", F.explode(key).alias("key"))
+    full = keys.groupBy("key").agg(F.count(F.lit(1)).alias("forms"), F.sum("docs").alias("docs")).filter((F.col("forms") > 1) & (F.col("docs") >= min_docs)).select("key", "forms")
+    taken = keys.join(full, "key").groupBy("form", "part").agg(F.max(F.struct("forms", "key")).alias("leaf")).select("form", "leaf.key").distinct()
+    return taken.join(forms.select("form", "at.doc", "at.tag", "at.line"), "form")
+
+
+def templates(docs: DataFrame, lines: DataFrame, holders: DataFrame, id_col: str, text_col: str, depth: int, min_docs: int, constant: float) -> DataFrame:
+    """``form, template`` for the forms that share the constants of a template; a form may be in several."""
+    taken = written(leaves(lines, holders, depth, min_docs), "leaves")
+    wanted = taken.select("form", "doc", "tag", "line").distinct().groupBy("doc", "tag").agg(F.collect_list(F.struct("form", "line")).alias("wanted"))
     doc, tag, text = _keys(docs, id_col, text_col)
     texts = docs.filter(text.isNotNull()).select(doc.alias("doc"), tag.alias("tag"), text.alias("text"))
-    tokens = texts.join(wanted.hint("merge"), ["doc", "tag"]).select("text", "wanted").mapInArrow(_tokens_of, "leaf long, form long, place long, token long")
-    tokens = written(tokens.distinct(), "tokens")
-    shared = tokens.groupBy("leaf", "place", "token").agg(F.count(F.lit(1)).alias("n")).join(leaves.select("leaf", "forms"), "leaf").filter(F.col("n") * 2 > F.col("forms")).select("leaf", "place", "token", F.lit(1).alias("same"))
-    kept = tokens.join(shared, ["leaf", "place", "token"]).groupBy("leaf", "form").agg(F.count("same").alias("same"))
-    # the constants of a leaf are one set, so which of them a form holds names its template: all of them, or the form stands alone
-    whole = shared.groupBy("leaf").agg(F.count(F.lit(1)).alias("constants"))
-    return (
-        several.join(kept, ["leaf", "form"]).join(whole, "leaf")
-        .filter((F.col("same") == F.col("constants")) & (F.col("same") >= constant * F.col("tokens")))
-        .select("leaf", "form", F.xxhash64(F.col("leaf"), F.lit("template")).alias("template"))
-    )
-
-
-def recurring_lines(docs: DataFrame, id_col: str, text_col: str, depth: int, min_tokens: int, min_docs: int, constant: float) -> DataFrame:
-    """``doc, tag, gone``: the lines to drop of each document."""
+    tokens = texts.join(wanted.hint("merge"), ["doc", "tag"]).select("text", "wanted").mapInArrow(_tokens_of, "form long, hashes array<long>")
+    tokens = tokens.groupBy("form").agg(F.first("hashes").alias("hashes"))  # repeated rows bring a form again
+    placed = written(taken.select("key", "form").join(tokens, "form").select("key", "form", F.posexplode("hashes").alias("place", "token")), "tokens")
+    counts = placed.groupBy("key", "place", "token").agg(F.count(F.lit(1)).alias("n"))
+    rows = placed.join(counts, ["key", "place", "token"]).groupBy("key", "form").agg(F.sort_array(F.collect_list(F.struct("n", "place", "token")), asc=False).alias("items"))
+    enough = F.ceil(F.size("items") * F.lit(constant))
+    least = F.greatest(F.lit(2.0), F.element_at("items", enough.cast("int"))["n"] * F.lit(ALIKE))
+    same = F.array_sort(F.transform(F.filter("items", lambda x: x["n"] >= F.col("least")), lambda x: F.struct(x["place"], x["token"])))
+    rows = rows.withColumn("least", least).select("form", F.size("items").alias("tokens"), same.alias("same"), enough.alias("enough"))
+    return rows.filter(F.size("same") >= F.col("enough")).select("form", F.xxhash64("tokens", "same").alias("template")).distinct()
+
+
+def recurring(docs: DataFrame, lines: DataFrame, id_col: str, text_col: str, depth: int, min_docs: int, constant: float, long_tokens: int) -> DataFrame:
+    """``form, first, pair``: forms to drop behind the first document that holds them; ``pair`` for long ones of too few documents to be dropped otherwise."""
+    held = lines.select("form", "doc", "tokens").distinct()
+    holders = held.groupBy("form").agg(F.count(F.lit(1)).alias("docs"), F.min("doc").alias("first"), F.first("tokens").alias("tokens")).filter("docs > 1")
+    holders = written(holders, "holders")
+    named = written(templates(docs, lines, holders, id_col, text_col, depth, min_docs, constant), "templates")
+    often = lines.select("form", "doc").join(named, "form").select("template", "doc").distinct().groupBy("template").agg(F.count(F.lit(1)).alias("docs"), F.min("doc").alias("first")).filter(F.col("docs") >= min_docs)
+    by_template = named.join(often, "template").select("form", "first", F.lit(False).alias("pair"))
+    as_is = holders.filter((F.col("docs") >= min_docs) | (F.col("tokens") >= long_tokens)).select("form", "first", (F.col("docs") < min_docs).alias("pair"))
+    both = as_is.unionByName(by_template).groupBy("form").agg(F.min(F.when(~F.col("pair"), F.col("first"))).alias("firm"), F.min("first").alias("first"))
+    return both.select("form", F.coalesce("firm", "first").alias("first"), F.col("firm").isNull().alias("pair"))
+
+
+def recurring_lines(docs: DataFrame, id_col: str, text_col: str, depth: int, min_tokens: int, min_docs: int, constant: float, long_tokens: int) -> DataFrame:
+    """``doc, tag, gone``: of each document the lines to drop, with the earlier document where it is a long line of few documents."""
     doc, tag, text = _keys(docs, id_col, text_col)
     rows = docs.filter(text.isNotNull()).select(doc.alias("doc"), tag.alias("tag"), text.alias("text"))
     lines = written(rows.mapInArrow(_lines(depth, min_tokens), LINES), "lines")
-    templates = generalised(docs, lines, id_col, text_col, min_docs, constant)
-    named = lines.join(templates, ["leaf", "form"], "left").select("doc", "tag", "line", F.coalesce("template", F.col("leaf").bitwiseXOR(F.col("form"))).alias("template"))
-    named = written(named, "named")
-    often = named.groupBy("template", "doc").agg(F.lit(1).alias("one")).groupBy("template").agg(F.count("one").alias("docs"), F.min("doc").alias("first")).filter(F.col("docs") >= min_docs)
-    gone = named.join(often, "template").filter(F.col("doc") != F.col("first"))
-    return gone.groupBy("doc", "tag").agg(F.collect_set("line").alias("gone"))
-
-
-def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth: int = 3, min_tokens: int = 3, min_docs: int = 3, constant: float = 0.7, counts: bool = False) -> DataFrame:
-    """``docs`` with recurring lines taken out of their texts; with ``counts``, also ``n_lines`` and ``n_dropped``."""
-    gone = recurring_lines(docs, id_col, text_col, depth, min_tokens, min_docs, constant).select(F.col("doc").alias("__doc"), F.col("tag").alias("__tag"), "gone")
+    known = written(recurring(docs, lines, id_col, text_col, depth, min_docs, constant, long_tokens), "recurring")
+    gone = lines.select("doc", "tag", "line", "form").join(known, "form").filter(F.col("doc") > F.col("first"))
+    return gone.groupBy("doc", "tag").agg(F.collect_set(F.struct("line", F.when(F.col("pair"), F.col("first")).alias("pair"))).alias("gone"))
+
+
+def dropped_lines(lines: list[str], gone: list[dict] | None, min_tokens: int) -> set[int]:
+    """Places of the lines to drop; long lines shared with one earlier document stay where they are more than half of what has tokens enough."""
+    if not gone:
+        return set()
+    shared = Counter(g["pair"] for g in gone if g["pair"] is not None)
+    n = sum(len(x.split()) >= min_tokens for x in lines) if shared else 0
+    return {g["line"] for g in gone if g["pair"] is None or 2 * shared[g["pair"]] <= n}
+
+
+def line_dedup(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth: int = 3, min_tokens: int = 3, min_docs: int = 3, constant: float = 0.7, long_tokens: int = 40, counts: tuple[str, str] | None = None
+) -> DataFrame:
+    """``docs`` with recurring lines taken out of their texts; with two names as ``counts``, also the numbers of lines and of dropped ones."""
+    doc_, tag_, gone_ = free_names(docs, "doc", "tag", "gone")
+    gone = recurring_lines(docs, id_col, text_col, depth, min_tokens, min_docs, constant, long_tokens)
+    gone = gone.select(F.col("doc").alias(doc_), F.col("tag").alias(tag_), F.col("gone").alias(gone_))
     doc, tag, text = _keys(docs, id_col, text_col)
     names = docs.columns
-    joined = docs.join(gone.withColumnRenamed("gone", "__gone").hint("merge"), (doc == F.col("__doc")) & (tag == F.col("__tag")), "left")
-    joined = joined.select(*[F.col(f"`{c}`") for c in names], "__gone")
+    joined = docs.join(gone.hint("merge"), (doc == F.col(doc_)) & (tag == F.col(tag_)), "left")
+    joined = joined.select(*[F.col(f"`{c}`") for c in names], gone_)
     at = names.index(text_col)
+    added = list(counts or ())
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in (x.slice(lo, 512) for x in batches for lo in range(0, x.num_rows, 512)):
             texts, dropped = b.column(at).to_pylist(), b.column(b.num_columns - 1).to_pylist()
-            lines, out = [], []
+            lines, n_gone, out = [], [], []
             for t, g in zip(texts, dropped):
                 parts = t.split("\n") if t is not None else []
+                g = dropped_lines(parts, g, min_tokens)
                 lines.append(len(parts))
-                if g:
-                    g = set(g)
-                    t = "\n".join([x for i, x in enumerate(parts) if i not in g])
-                out.append(t)
+                n_gone.append(len(g))
+                out.append("\n".join([x for i, x in enumerate(parts) if i not in g]) if g else t)
             cols = list(b.columns[:-1])
             cols[at] = pa.array(out, pa.string())
-            if counts:
-                cols += [pa.array(lines, pa.int64()), pa.array([len(g or ()) for g in dropped], pa.int64())]
-            yield pa.RecordBatch.from_arrays(cols, names=[*names, *(["n_lines", "n_dropped"] if counts else [])])
+            if added:
+                cols += [pa.array(lines, pa.int64()), pa.array(n_gone, pa.int64())]
+            yield pa.RecordBatch.from_arrays(cols, names=[*names, *added])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return joined.mapInArrow(cut, schema + (", n_lines long, n_dropped long" if counts else ""))
+    return joined.mapInArrow(cut, schema + "".join(f", `{c}` long" for c in added))
