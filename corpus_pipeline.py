@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomgraph.llm import langid, line_dedup, ngram_join, packing, secrets
+from loomgraph.llm.common import free_names
 from loomgraph.llm.queries import tokenizer_file
 from loomgraph.session import written
 from loomgraph.sources.tables import table
@@ -22,10 +23,11 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Recurring lines go from all documents but the first; a document of which nothing else is left goes with them."""
-    cleaned = line_dedup.line_dedup(docs, counts=True)
-    left = cleaned.filter((F.col("n_dropped") == 0) | (F.trim(F.translate("text", "\n\t", "  ")) != ""))
-    return left.select(*docs.columns).withColumn("n_chars", F.length("text").cast("long"))
+    """Recurring lines go from all documents but the first; a document of which nothing else is left goes with them. Null and empty texts stay."""
+    counts = free_names(docs, "n_lines", "n_dropped")
+    cleaned = line_dedup.line_dedup(docs, counts=counts)
+    left = cleaned.filter((F.col(counts[1]) == 0) | (F.trim(F.translate("text", "\n\t", "  ")) != ""))
+    return left.select(*[F.col(f"`{c}`") for c in docs.columns]).withColumn("n_chars", F.length("text").cast("long"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
