@@ -42,10 +42,12 @@ from loomgraph.session import written
 WIDTH, GRAM = 100, 44  # widths up to 254; a short gram anchors many strings that only share a few words
 FLUSH = 400_000  # anchors that a task resolves among themselves
 BLOCK = 2048  # regions in a block
+TASK_BLOCKS = 8  # blocks in a task
 LAST = (1 << 63) - 1
-ANCHORS = "anchor long, region long, doc long, tag long, at long, sure boolean"
+ANCHORS = "anchor long, region long, check long, doc long, tag long, at long, sure boolean"
 RANGES = "anchor long, doc long, tag long, at long, several boolean"
-_BASE = np.uint64(0x9E3779B97F4A7C15)
+_BASES = (0x9E3779B97F4A7C15, 0xD1342543DE82EF95)
+_BASE = np.uint64(_BASES[0])
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -85,10 +87,13 @@ def leftmost_min(x: np.ndarray, w: int) -> np.ndarray:
     return better(place[:n], place[w - size : w - size + n])
 
 
-def prefix_hash(raw: np.ndarray) -> np.ndarray:
+_BYTES = [_mix(np.arange(256, dtype=np.uint64) + np.uint64(first)) for first in (77, 5077)]  # two independent values of each byte
+
+
+def prefix_hash(raw: np.ndarray, powers: np.ndarray, which: int) -> np.ndarray:
     """Hashes of all prefixes, so that any region's hash is one difference."""
     sums = np.zeros(len(raw) + 1, np.uint64)
-    np.cumsum(_mix(raw.astype(np.uint64) + np.uint64(77)) * _powers(int(_BASE), len(raw))[:-1], out=sums[1:])
+    np.cumsum(_BYTES[which][raw] * powers[:-1], out=sums[1:])
     return sums
 
 
@@ -98,8 +103,8 @@ def _powers(base: int, n: int) -> np.ndarray:
     return np.cumprod(out, out=out)
 
 
-def anchors(raw: np.ndarray, width: int = WIDTH, k: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of a text of at least ``width`` bytes: anchor hashes, region hashes, first starts and last starts."""
+def anchors(raw: np.ndarray, width: int = WIDTH, k: int = GRAM) -> tuple[np.ndarray, ...]:
+    """Of a text of at least ``width`` bytes: anchor hashes, two region hashes (128 bits together), first starts and last starts."""
     h = gram_hashes(raw, k)
     where = leftmost_min(h, width - k + 1)  # of each start
     n = len(where)
@@ -107,10 +112,12 @@ def anchors(raw: np.ndarray, width: int = WIDTH, k: int = GRAM) -> tuple[np.ndar
     begin = np.concatenate([[0], cut])
     end = np.concatenate([cut - 1, [n - 1]])
     place = where[begin]
-    sums, inverse = prefix_hash(raw), _powers(pow(int(_BASE), -1, 1 << 64), len(raw))
-    region = (sums[end + width] - sums[begin]) * inverse[begin]
-    region = _mix(region ^ _mix(((place - begin).astype(np.uint64) << np.uint64(32)) + (end - begin).astype(np.uint64)))
-    return h[place], region, begin, end
+    shape = _mix(((place - begin).astype(np.uint64) << np.uint64(32)) + (end - begin).astype(np.uint64))
+    regions = []
+    for which, base in enumerate(_BASES):
+        sums, inverse = prefix_hash(raw, _powers(base, len(raw)), which), _powers(pow(base, -1, 1 << 64), len(raw))
+        regions.append(_mix((sums[end + width] - sums[begin]) * inverse[begin] ^ shape))
+    return h[place], *regions, begin, end
 
 
 def pack_at(begin: np.ndarray, end: np.ndarray) -> np.ndarray:
@@ -119,16 +126,18 @@ def pack_at(begin: np.ndarray, end: np.ndarray) -> np.ndarray:
 
 
 def _resolve(rows: list) -> tuple[list[np.ndarray], np.ndarray]:
-    """Rows in order of (anchor, region, doc, tag, at), each once, and whether an equal region comes before."""
-    a, r, d, t, p = (np.concatenate([x[i] for x in rows]) for i in range(5))
-    order = np.lexsort((p, t, d, r, a))
-    a, r, d, t, p = a[order], r[order], d[order], t[order], p[order]
+    """Rows in order of (anchor, region, doc, tag, at), each once, and whether an equal region comes before; such repeats need their hashes no more."""
+    a, r, c, d, t, p = (np.concatenate([x[i] for x in rows]) for i in range(6))
+    order = np.lexsort((p, t, d, c, r, a))
+    a, r, c, d, t, p = (x[order] for x in (a, r, c, d, t, p))
     once = np.ones(len(a), bool)  # a repeated row brings the same regions again
-    once[1:] = np.any([x[1:] != x[:-1] for x in (a, r, d, t, p)], axis=0)
-    a, r, d, t, p = a[once], r[once], d[once], t[once], p[once]
+    once[1:] = np.any([x[1:] != x[:-1] for x in (a, r, c, d, t, p)], axis=0)
+    a, r, c, d, t, p = (x[once] for x in (a, r, c, d, t, p))
     sure = np.zeros(len(a), bool)
-    sure[1:] = (a[1:] == a[:-1]) & (r[1:] == r[:-1])
-    return [a, r, d, t, p], sure
+    sure[1:] = (a[1:] == a[:-1]) & (r[1:] == r[:-1]) & (c[1:] == c[:-1])
+    for x in (a, r, c):
+        x[sure] = 0
+    return [a, r, c, d, t, p], sure
 
 
 def scan(texts: DataFrame, width: int = WIDTH, k: int = GRAM) -> DataFrame:
@@ -139,9 +148,9 @@ def scan(texts: DataFrame, width: int = WIDTH, k: int = GRAM) -> DataFrame:
         held = 0
 
         def flush() -> pa.RecordBatch:
-            (a, r, d, t, p), sure = _resolve(rows)
+            found, sure = _resolve(rows)
             rows.clear()
-            return pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in (a, r, d, t, p)] + [pa.array(sure)], names=[x.split()[0] for x in ANCHORS.split(", ")])
+            return pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in found] + [pa.array(sure)], names=[x.split()[0] for x in ANCHORS.split(", ")])
 
         for b in batches:
             docs, tags = b.column(0).to_numpy(), b.column(1).to_numpy()
@@ -149,8 +158,8 @@ def scan(texts: DataFrame, width: int = WIDTH, k: int = GRAM) -> DataFrame:
                 raw = np.frombuffer(text.as_buffer(), np.uint8)
                 if len(raw) < width:
                     continue
-                a, r, begin, end = anchors(raw, width, k)
-                rows.append((a, r, np.full(len(a), docs[i]), np.full(len(a), tags[i]), pack_at(begin, end)))
+                a, r, c, begin, end = anchors(raw, width, k)
+                rows.append((a, r, c, np.full(len(a), docs[i]), np.full(len(a), tags[i]), pack_at(begin, end)))
                 held += len(a)
                 if held >= FLUSH:
                     yield flush()
@@ -174,15 +183,20 @@ def sift(found: DataFrame) -> DataFrame:
         for b in batches:
             if not b.num_rows:
                 continue
-            a, r, d, t, p = (b.column(i).to_numpy() for i in range(5))
-            sure = b.column(5).to_numpy(zero_copy_only=False)
-            like = [x == np.concatenate([[y], x[:-1]]) for x, y in zip((a, r, d, t, p), before or (0,) * 5)]
-            same = like[0] & like[1]
+            sure = b.column(6).to_numpy(zero_copy_only=False)
+            own = [b.column(i).to_numpy() for i in range(6)]
+            if sure.any():
+                yield out(*(own[i][sure] for i in (0, 3, 4, 5)), False)
+            a, r, c, d, t, p = (x[~sure] for x in own)
+            if not len(a):
+                continue
+            like = [x == np.concatenate([[y], x[:-1]]) for x, y in zip((a, r, c, d, t, p), before or (0,) * 6)]
+            same = like[0] & like[1] & like[2]
             if before is None:
                 same[0] = False
-            again = same & like[2] & like[3] & like[4]  # the same place, of a repeated row: not an earlier one
-            before = (a[-1], r[-1], d[-1], t[-1], p[-1])
-            cover = same & ~again | sure
+            again = same & like[3] & like[4] & like[5]  # the same place, of a repeated row: not an earlier one
+            before = (a[-1], r[-1], c[-1], d[-1], t[-1], p[-1])
+            cover = same & ~again
             if cover.any():
                 yield out(a[cover], d[cover], t[cover], p[cover], False)
             f = ~cover & ~again
@@ -206,7 +220,7 @@ def sift(found: DataFrame) -> DataFrame:
     n = found.sparkSession.conf.get("spark.sql.shuffle.partitions")
     # certain repeats need not meet their first, so they are dealt by document: a frequent region brings its anchor a row per task
     key = F.when(F.col("sure"), F.xxhash64("doc", "tag", "at")).otherwise(F.col("anchor"))
-    return found.repartition(int(n), key).sortWithinPartitions("anchor", "region", "doc", "tag", "at").mapInArrow(run, RANGES)
+    return found.repartition(int(n), key).sortWithinPartitions("anchor", "region", "check", "doc", "tag", "at").mapInArrow(run, RANGES)
 
 
 def column_wise(regions: list[np.ndarray], width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -316,7 +330,7 @@ def compared(regions: DataFrame, counts: DataFrame, n: int, width: int, block: i
     """``doc, tag, at`` of starts whose string starts earlier, over all regions of an anchor."""
     blocks = max(1, -(-n // (block // 2)))
     heavy = counts.filter(F.col("n") > block // 2).select("anchor", F.ceil(F.col("n") / (block // 2)).alias("parts"))
-    dealt = regions.join(heavy, "anchor", "left").withColumn("salt", F.when(F.col("parts").isNotNull(), F.pmod(F.xxhash64("doc", "tag"), F.col("parts"))).otherwise(F.lit(0)))
+    dealt = regions.join(heavy, "anchor", "left").withColumn("salt", F.when(F.col("parts").isNotNull(), F.pmod(F.xxhash64("doc", "tag", "start"), F.col("parts"))).otherwise(F.lit(0)))
     dealt = dealt.withColumn("block", F.pmod(F.xxhash64("anchor", "salt"), F.lit(blocks))).withColumn("split", F.col("parts").isNotNull())
 
     def run(t: pa.Table) -> pa.Table:
@@ -329,7 +343,9 @@ def compared(regions: DataFrame, counts: DataFrame, n: int, width: int, block: i
         digest = [None] * int(later.sum()) + [hashlib.blake2b(found[r][o : o + width], digest_size=16).digest() for r, o in where[:, firsts].T]
         return pa.table({"doc": doc[keep], "tag": tag[keep], "start": start[keep], "digest": pa.array(digest, pa.binary())})
 
-    starts = dealt.groupBy("block").applyInArrow(run, "doc long, tag long, start long, digest binary")
+    # a block takes about the same time whatever its bytes, so tasks are counted in blocks and not by size
+    tasks = max(int(regions.sparkSession.conf.get("spark.sql.shuffle.partitions")), blocks // TASK_BLOCKS)
+    starts = dealt.repartition(tasks, "block").groupBy("block").applyInArrow(run, "doc long, tag long, start long, digest binary")
     starts = written(starts, "starts")
     w = Window.partitionBy("digest").orderBy("doc", "tag", "start")
     merged = starts.filter("digest is not null").withColumn("nth", F.row_number().over(w)).filter("nth > 1")

@@ -79,10 +79,10 @@ def test_anchors():
     assert len(h) == 385 and len(np.unique(h)) == 385 and gram_hashes(np.concatenate([raw, raw]), 16)[400] == h[0]
     x = r.integers(0, 5, 300).astype(np.uint64)
     assert leftmost_min(x, 37).tolist() == [s + int(x[s : s + 37].argmin()) for s in range(264)]
-    a, region, begin, end = anchors(raw)
+    a, region, check, begin, end = anchors(raw)
     assert begin[0] == 0 and end[-1] == 300 and (begin[1:] == end[:-1] + 1).all()
-    b, region_b, *_ = anchors(np.concatenate([raw[:7], raw]))
-    assert set(region[1:-1]) <= set(region_b)
+    b, region_b, check_b, *_ = anchors(np.concatenate([raw[:7], raw]))
+    assert set(region[1:-1]) <= set(region_b) and set(check[1:-1]) <= set(check_b) and not set(region) & set(check)
 
 
 def test_repeated_and_null_id_rows_keep_their_text(spark):
@@ -98,3 +98,26 @@ def test_repeated_and_null_id_rows_keep_their_text(spark):
     nulls = [(None, own[0], "en", "s", 1)] * 2 + [(4, own[1], "en", "s", 1)]
     for parts in (1, 3):
         assert [x.n_removed for x in suffix_dedup(spark.createDataFrame(nulls, SCHEMA).repartition(parts)).collect()] == [0, 0, 0]
+
+
+def test_one_long_text_with_a_separator(spark):
+    """Thousands of different regions of one document under one anchor are dealt over several blocks."""
+    r = random.Random(11)
+    line = "=" * 20 + "".join(r.choice("abcdefgh") for _ in range(60)) + "=" * 20
+    text = line.join("".join(r.choice("abcdefgh ") for _ in range(r.randint(3, 40))) for _ in range(900))
+    rows = [(1, text), (2, "before it " + line + " after it"), (3, text[5000:9000])]
+    assert run(spark, rows, block=64) == run(spark, rows) == brute(rows)
+
+
+def test_other_texts_of_an_id_and_null_ids(spark):
+    """Such texts have an order of their own: what they share goes from all but one of them."""
+    r = random.Random(12)
+    words = lambda n: "".join(r.choice("abcdefgh ") for _ in range(n))
+    passage = words(250)
+    for ids in ((7, 7, 7), (None, None, None), (7, None, None), (7, 7, None)):
+        texts = [words(120) + passage + words(130), passage + words(140), words(110) + passage]
+        df = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in zip(ids, texts)], SCHEMA).repartition(2)
+        got = suffix_dedup(df, texts_out=True).collect()
+        assert sorted(x.n_removed for x in got) == [0, 250, 250] and sum(passage.encode() in x.kept for x in got) == 1
+        if ids[0] == 7 and ids[1] is None:
+            assert [x.n_removed for x in got if x.doc_id == 7] == [0]  # null ids come last
