@@ -27,7 +27,8 @@ def first_class(text: Column, classes: Iterable[tuple[str, str]], default: str)
 
 
 def strip_tags(html: Column) -> Column:
-    no_code = F.regexp_replace(html, "<(script|style)[^>]*>[^<]*(<[^/][^<]*)*</(script|style)>", " ")
+    """Text of a page: scripts and styles dropped whole, tags to spaces, runs of space to one. The patterns hold no repeated group, so pages of any length are safe."""
+    no_code = F.regexp_replace(html, "(?is)<script\\b.*?</script\\s*>|<style\\b.*?</style\\s*>", " ")
     return F.trim(F.regexp_replace(F.regexp_replace(no_code, "<[^>]*>", " "), "\\s+", " "))
 
 

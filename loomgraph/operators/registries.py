@@ -85,8 +85,75 @@ def mode(name: str | None) -> Mode:
     return MODES.get(name or DEFAULT_MODE, MODES[DEFAULT_MODE])
 
 
-def read_only(spark: SparkSession, sql: str) -> DataFrame:
-    """Run one SELECT; anything else is refused before Spark sees it."""
-    if not re.match(r"\s*select\b", sql or "", re.IGNORECASE) or ";" in sql.rstrip().rstrip(";"):
-        raise ValueError("only one SELECT statement is allowed")
-    return spark.sql(sql.rstrip().rstrip(";"))
+# Nodes that a parsed question may have, and the functions it may call.
+PLAN_NODES = frozenset(
+    "Project Filter Aggregate Sort GlobalLimit LocalLimit Offset Distinct Join SubqueryAlias UnresolvedSubqueryColumnAliases UnresolvedRelation UnresolvedWith UnresolvedHaving Union Except Intersect OneRowRelation UnresolvedInlineTable WithWindowDefinition Tail".split()
+)
+FUNCTIONS = frozenset(
+    """abs array array_contains array_distinct array_join avg between cast ceil ceiling coalesce collect_list collect_set concat concat_ws contains count count_if date date_format date_trunc datediff day
+    dense_rank element_at endswith explode first floor greatest hour if ifnull in instr isnotnull isnull lag last lead least left length like ln locate log lower lpad ltrim max max_by mean median min min_by
+    minute mod month nullif nvl percentile percentile_approx position power quarter rank regexp_extract regexp_like regexp_replace replace right rlike round row_number rpad rtrim second size sort_array split
+    sqrt startswith std stddev substr substring sum to_date to_timestamp trim upper variance weekofyear when year""".split()
+)
+MARKED = frozenset("UnresolvedGenerator UnresolvedTableValuedFunction UnresolvedTVFAliases ScriptTransformation CallFunction UnresolvedTableSpec".split())
+
+
+def _seq(items) -> list:
+    return [items.apply(i) for i in range(items.size())]
+
+
+def _check_plan(plan, tables: frozenset[str], named: frozenset[str]) -> None:
+    """Refuses whatever isn't known to read only; ``named`` are the names of common tables in scope."""
+    kind = plan.getClass().getSimpleName()
+    if kind not in PLAN_NODES:
+        raise ValueError(f"not allowed here: {kind}")
+    if kind == "UnresolvedRelation":
+        name = _seq(plan.multipartIdentifier())
+        if len(name) != 1 or name[0].lower() not in tables | named:
+            raise ValueError(f"unknown table: {'.'.join(name)}")
+    if kind == "UnresolvedWith":
+        for pair in _seq(plan.cteRelations()):
+            _check_plan(pair._2().child(), tables, named)
+            named = named | {pair._1().lower()}
+    for x in _seq(plan.expressions()):
+        _check_expression(x, tables, named)
+    for child in _seq(plan.children()):
+        _check_plan(child, tables, named)
+
+
+def _check_expression(x, tables: frozenset[str], named: frozenset[str]) -> None:
+    kind = x.getClass().getSimpleName()
+    if kind in MARKED:
+        raise ValueError(f"not allowed here: {kind}")
+    if kind == "UnresolvedFunction":
+        name = ".".join(_seq(x.nameParts())).lower()
+        if name not in FUNCTIONS:
+            raise ValueError(f"function not allowed: {name}")
+    if kind == "InSubquery":
+        _check_expression(x.query(), tables, named)
+    elif kind in ("ScalarSubquery", "Exists", "ListQuery"):
+        _check_plan(x.plan(), tables, named)
+    elif "Subquery" in kind:
+        raise ValueError(f"not allowed here: {kind}")
+    for child in _seq(x.children()):
+        _check_expression(child, tables, named)
+
+
+def read_only(spark: SparkSession, sql: str, tables: tuple[str, ...] | None = None) -> DataFrame:
+    """Run one question over named views; anything else is refused before it runs.
+
+    Spark's parser reads the text, and of its tree only known node kinds, the
+    functions in ``FUNCTIONS`` and the tables of ``tables`` (by default the
+    session's temporary views) may take part: no commands, no files by path, no
+    reflection, no table functions.
+    """
+    known = frozenset(t.lower() for t in (tables if tables is not None else [t.name for t in spark.catalog.listTables() if t.isTemporary]))
+    text = re.sub(r"[;\s]+\Z", "", sql or "")
+    if not text:
+        raise ValueError("a SELECT statement is needed")
+    try:
+        plan = spark._jsparkSession.sessionState().sqlParser().parsePlan(text)
+    except Exception as e:
+        raise ValueError(f"only one SELECT statement is allowed: {str(e)[:200]}") from None
+    _check_plan(plan, known, frozenset())
+    return spark.sql(text)

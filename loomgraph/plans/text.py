@@ -100,7 +100,7 @@ def metadata_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query(r"""SELECT page_id, trim(regexp_replace(regexp_replace(regexp_replace(html, '<(script|style)[^>]*>[^<]*(<[^/][^<]*)*</(script|style)>', ' ', 'g'), '<[^>]*>', ' ', 'g'), '\s+', ' ', 'g')) AS body FROM pages""")
+@query(r"""SELECT page_id, trim(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script\b.*?</script\s*>|<style\b.*?</style\s*>', ' ', 'g'), '<[^>]*>', ' ', 'g'), '\s+', ' ', 'g')) AS body FROM pages""")
 def html_to_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Page text: scripts and styles dropped, tags to spaces, runs of space to one."""
     return Tables(spark, sf_dir).pages.select("page_id", X.strip_tags(F.col("html")).alias("body"))

@@ -31,14 +31,19 @@ def shared_dir(spark: SparkSession) -> str:
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not named:
         named = spark.sparkContext.getCheckpointDir()
-    if not named:  # tests on one machine only
-        named = tempfile.mkdtemp(prefix="loomgraph-")
+    if not named:
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        named = tempfile.mkdtemp(prefix="loomgraph-")  # one machine only, as in tests
         spark.sparkContext.setCheckpointDir(named)
     return named
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` once to the shared folder and return a scan of it: later readers don't recompute it, and a lost executor loses nothing."""
+    """Write ``df`` once to the shared folder and return a scan of it: later readers don't recompute it, and a lost executor loses nothing.
+
+    Results are lazy, so these tables stay as long as the folder does; a cluster clears it with the application.
+    """
     path = f"{shared_dir(df.sparkSession)}/loom-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

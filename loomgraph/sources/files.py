@@ -6,7 +6,11 @@ a folder in any store that Spark reads.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import logging
+
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 # Marks at the start of a file and the encodings they stand for.
@@ -44,14 +48,17 @@ def web_pages(pages: DataFrame, url_col: str = "url", html_col: str = "html") ->
 
 
 def statute_xml(spark: SparkSession, path: str) -> DataFrame:
-    """``law, seq, number, title, content`` of the article elements of statute files, in the order of the file; headings of chapters are rows like articles, without a title."""
+    """``law, seq, number, title, content`` of the article elements of statute files; ``seq`` counts a file's elements in their order, and headings of chapters are rows like articles, without a title."""
     fields = ", ".join(f"`{x}` string" for x in (ARTICLE_NUMBER, ARTICLE_TITLE, ARTICLE_TEXT))
     rows = spark.read.format("xml").option("rowTag", ARTICLE).schema(fields).load(path)
     clean = [F.trim(F.regexp_replace(F.col(f"`{x}`"), "<[^>]*>", "")) for x in (ARTICLE_NUMBER, ARTICLE_TITLE, ARTICLE_TEXT)]
-    named = rows.select(F.regexp_extract(F.col("_metadata.file_name"), "^(.*?)(\\.[^.]*)?$", 1).alias("law"), F.monotonically_increasing_id().alias("seq"), *[c.alias(a) for c, a in zip(clean, ("number", "title", "content"))])
+    named = rows.select(F.regexp_extract(F.col("_metadata.file_name"), "^(.*?)(\\.[^.]*)?$", 1).alias("law"), F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row")).alias("at"), *[c.alias(a) for c, a in zip(clean, ("number", "title", "content"))])
     # the article's own text holds the full number; the element holds only its first part
     full = F.regexp_extract(F.coalesce("content", F.lit("")), "^제(\\d+조(?:의\\d+)?)", 1)
-    return named.filter(F.coalesce("number", F.lit("")) != "").withColumn("number", F.when(full != "", full).otherwise(F.concat("number", F.lit("조"))))
+    named = named.filter(F.coalesce("number", F.lit("")) != "").withColumn("number", F.when(full != "", full).otherwise(F.concat("number", F.lit("조"))))
+    # a file may be read in several blocks; rows are numbered upwards within each
+    place = F.row_number().over(Window.partitionBy("at.file").orderBy("at.block", "at.row"))
+    return named.select("law", place.alias("seq"), "number", "title", "content")
 
 
 UNITS = "unit_type string, unit_number string, title string, content string, unit_path string, full_id string, parent_id string, `order` int, revision_dates array<string>"
@@ -100,9 +107,14 @@ def write_report(metrics: DataFrame, path: str) -> None:
 
 
 def append_results(rows: DataFrame, path: str) -> int:
-    """Append to a Parquet table; the number of rows that came with it."""
-    rows.write.mode("append").parquet(path)
-    return rows.count()
+    """Append to a Parquet table; the number of rows that were written, counted as they went. A write that fails isn't fatal: it is logged and gives 0."""
+    seen = Observation()
+    try:
+        rows.observe(seen, F.count(F.lit(1)).alias("n")).write.mode("append").parquet(path)
+    except (PySparkException, Py4JJavaError) as e:
+        logging.getLogger(__name__).warning("append to %s failed: %s", path, str(e)[:200])
+        return 0
+    return seen.get["n"]
 
 
 def save_corpus(corpus: DataFrame, path: str) -> None:

@@ -54,6 +54,7 @@ def test_sinks(spark, tmp_path):
     assert spark.read.option("header", "true").csv(str(tmp_path / "r/csv")).columns == ["q", "a"]
     assert files.append_results(qa, str(tmp_path / "t")) == 1 and files.append_results(qa, str(tmp_path / "t")) == 1
     assert files.load_corpus(spark, str(tmp_path / "t")).count() == 2
+    assert files.append_results(qa.withColumn("q", F.raise_error(F.lit("no")).cast("string")), str(tmp_path / "t")) == 0
     assert files.web_pages(spark.createDataFrame([("https://x.org/a?b", "<p>hi <b>you</b></p>")], "url string, html string")).first()[1:] == ("x.org", "hi you")
 
 
@@ -79,7 +80,25 @@ def test_registries(spark):
 
 
 def test_read_only(spark):
+    spark.createDataFrame([(1, "a;b"), (2, "c")], "id int, name string").createOrReplaceTempView("notes")
     assert R.read_only(spark, " select 1 AS x; ").first().x == 1
-    for bad in ("DROP TABLE t", "select 1; drop table t", "", "selection"):
+    assert R.read_only(spark, "select count(*) as n from notes where name = 'a;b'").first().n == 1
+    good = "with t as (select id, upper(name) as u from notes), v as (select * from t) select u, row_number() over (order by id) as r from v where id in (select max(id) from notes) group by u, id having count(*) > 0 order by u limit 3"
+    assert R.read_only(spark, good).first().u == "C"
+    bad = [
+        "DROP TABLE t", "select 1; drop table t", "", "selection", None, "select java_method('java.lang.System', 'getProperty', 'user.name')", "select reflect('java.lang.System', 'getProperty', 'user.name')",
+        "select * from parquet.`/root/testdata/sf0.001/orders.parquet`", "select * from text.`/etc/passwd`", "with t as (select * from csv.`/etc/passwd`) select * from t", "select (select max(value) from text.`/etc/passwd`)",
+        "select * from range(10)", "insert into notes select 1, 'x'", "select transform(id) using 'cat' from notes", "select * from other", "show tables", "create table x as select 1", "set a=b", "explain select 1",
+        "select * from notes where exists (select java_method('java.lang.System', 'exit', 0))", "select id from notes lateral view explode(array(1)) t as x", "select * from read_files('/etc/passwd')", "select version()",
+        "select * from notes, lateral (select try_reflect('java.lang.System', 'getProperty', 'user.name'))", "select * from identifier('notes')", "select call_function('java_method', 'a', 'b')",
+    ]
+    for sql in bad:
         with pytest.raises(ValueError):
-            R.read_only(spark, bad)
+            R.read_only(spark, sql)
+    assert pytest.raises(ValueError, R.read_only, spark, "select * from notes", ("orders",))
+
+
+def test_pages_of_any_length(spark):
+    page = "<html><style>p { x: 1 }</style><SCRIPT type='a'>" + "if(a<b)x;" * 20_000 + "</script ><p>kept &amp; <b>bold</b></p>" + "<i>x</i>" * 20_000 + "<script>open"
+    out = files.web_pages(spark.createDataFrame([("https://x.org/", page), ("https://y.org/", None)], "url string, html string")).collect()
+    assert out[0].text.startswith("kept &amp; bold x x") and "if(a" not in out[0].text and out[1].text is None
