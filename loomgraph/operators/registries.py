@@ -1,4 +1,4 @@
-"""Registries a user extends: evaluators, regulations and retrieval modes; and the guard for SQL that comes from outside."""
+"""Registries a user extends: evaluators, regulations and retrieval modes (run by ``operators.retrieval.answer``); and the guard for SQL that comes from outside."""
 
 from __future__ import annotations
 
@@ -77,9 +77,6 @@ MODES = {
     "graph": Mode("graph", 0, ""),
 }
 DEFAULT_MODE = "graph_vector_fulltext"
-# The catalogue query that carries out each kind of search.
-SEARCHES = {"vector": "vector_topk", "local_community": "local_community_context", "graph_vector": "graph_vector_context", "global": "hybrid_search", "graph": "star_neighbors"}
-
 
 def mode(name: str | None) -> Mode:
     return MODES.get(name or DEFAULT_MODE, MODES[DEFAULT_MODE])

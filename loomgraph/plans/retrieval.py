@@ -5,28 +5,20 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from loomgraph.functions import vector as V
+from loomgraph.operators import retrieval as R
 from loomgraph.plans.registry import registry
+from loomgraph.session import written
 from loomgraph.sources.tables import Tables
 
 QUERIES, ORACLES, query = registry()
 
-BLOCKS = 8
+def asked(t: Tables) -> DataFrame:
+    """The query set: ids divisible by 20, asked against all rows."""
+    return t.embeddings.filter(F.col("vec_id") % 20 == 0).select(F.col("vec_id").alias("query_id"), F.col("label").alias("query_label"), F.col("embedding").alias("qe"))
 
 
-def pairs(queries: DataFrame, rows: DataFrame, blocks: int = BLOCKS) -> DataFrame:
-    """The stated query set against all rows, in blocks: an equi-join on the block, so neither side is broadcast or held whole."""
-    q = queries.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)))
-    r = rows.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
-    return q.join(r, "block").drop("block").filter(F.col("query_id") != F.col("vec_id"))
-
-
-def scored(t: Tables) -> DataFrame:
-    """Every vector against the query set (ids divisible by 20), with norms computed once per row."""
-    e = t.embeddings.withColumn("norm", V.norm("embedding"))
-    q = e.filter(F.col("vec_id") % 20 == 0).select(F.col("vec_id").alias("query_id"), F.col("label").alias("query_label"), F.col("embedding").alias("qe"), F.col("norm").alias("qn"))
-    score = F.round(V.cosine(F.col("embedding"), F.col("qe"), F.col("norm"), F.col("qn")), 6)
-    return pairs(q, e).select("query_id", "query_label", "vec_id", "label", score.alias("score"))
+def near(t: Tables, k: int, **how) -> DataFrame:
+    return R.nearest(asked(t), t.embeddings.select("vec_id", "label", "embedding"), k, **how)
 
 
 SCORED = """scored AS (
@@ -40,27 +32,26 @@ def best_first():
     return Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
 
 
-def ranked(df: DataFrame, k: int) -> DataFrame:
-    return df.withColumn("rank", F.row_number().over(best_first())).filter(F.col("rank") <= k)
-
-
 @query(f"WITH {SCORED} SELECT query_id, vec_id, score, rank FROM ranked WHERE rank <= 5")
 def vector_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ranked(scored(Tables(spark, sf_dir)), 5).select("query_id", "vec_id", "score", "rank")
+    return near(Tables(spark, sf_dir), 5).select("query_id", "vec_id", "score", "rank")
 
 
 @query(f"WITH {SCORED} SELECT query_id, vec_id, label, score FROM ranked WHERE rank <= 20 AND score >= 0.25 AND label <> 0")
 def vector_threshold_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Over-fetch, then keep what passes the threshold and the label filter."""
-    return ranked(scored(Tables(spark, sf_dir)), 20).filter((F.col("score") >= 0.25) & (F.col("label") != 0)).select("query_id", "vec_id", "label", "score")
+    return near(Tables(spark, sf_dir), 20).filter((F.col("score") >= 0.25) & (F.col("label") != 0)).select("query_id", "vec_id", "label", "score")
 
 
-@query(f"""WITH {SCORED}, n AS (SELECT least(query_id, vec_id) AS a, greatest(query_id, vec_id) AS b, max(score) AS score FROM ranked WHERE rank <= 6 AND score >= 0.2 GROUP BY 1, 2)
-SELECT a, b, score FROM n""")
+@query("""WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings),
+s AS (SELECT q.vec_id AS query_id, e.vec_id, round(greatest(0.0, least(1.0, list_cosine_similarity(e.v, q.v))), 6) AS score FROM e JOIN e q ON e.vec_id <> q.vec_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
+SELECT least(query_id, vec_id) AS a, greatest(query_id, vec_id) AS b, max(score) AS score FROM r WHERE rank <= 6 AND score >= 0.2 GROUP BY 1, 2""")
 def knn_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Undirected neighbour edges: six nearest, at least 0.2, one row per pair."""
-    near = ranked(scored(Tables(spark, sf_dir)), 6).filter(F.col("score") >= 0.2)
-    return near.groupBy(F.least("query_id", "vec_id").alias("a"), F.greatest("query_id", "vec_id").alias("b")).agg(F.max("score").alias("score"))
+    """Undirected neighbour edges: each vector's six nearest, at least 0.2, one row per pair."""
+    e = Tables(spark, sf_dir).embeddings
+    found = R.nearest(e.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("qe")), e.select("vec_id", "embedding"), 6).filter(F.col("score") >= 0.2)
+    return found.groupBy(F.least("query_id", "vec_id").alias("a"), F.greatest("query_id", "vec_id").alias("b")).agg(F.max("score").alias("score"))
 
 
 @query(f"""WITH {SCORED} SELECT query_id, label AS doc, count(*) AS hits, round(sum(score), 6) AS sum_score, string_agg(vec_id::VARCHAR, ',' ORDER BY rank) AS chunks
@@ -68,7 +59,7 @@ FROM ranked WHERE rank <= 10 GROUP BY query_id, label""")
 def doc_rollup_of_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chunk hits rolled up to their document: total score (over hits: the mean) and chunk ids in rank order."""
     ordered = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "vec_id"))), lambda x: x["vec_id"].cast("string")), ",")
-    return ranked(scored(Tables(spark, sf_dir)), 10).groupBy("query_id", F.col("label").alias("doc")).agg(F.count(F.lit(1)).alias("hits"), F.round(F.sum("score"), 6).alias("sum_score"), ordered.alias("chunks"))
+    return near(Tables(spark, sf_dir), 10).groupBy("query_id", F.col("label").alias("doc")).agg(F.count(F.lit(1)).alias("hits"), F.round(F.sum("score"), 6).alias("sum_score"), ordered.alias("chunks"))
 
 
 def centroids(t: Tables) -> DataFrame:
@@ -82,12 +73,11 @@ m AS (SELECT label, i, avg(x) AS m FROM f GROUP BY label, i), c AS (SELECT label
 d AS (SELECT e.vec_id, c.label AS nearest, round(list_distance(e.embedding::DOUBLE[], c.c), 6) AS distance FROM embeddings e CROSS JOIN c)
 SELECT vec_id, nearest, distance FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY distance, nearest) AS r FROM d) WHERE r = 1""")
 def nearest_prototype(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each vector's nearest label mean by Euclidean distance. The means are a row per label; all of them ride along as one array."""
+    """Each vector's nearest label mean by Euclidean distance."""
     t = Tables(spark, sf_dir)
-    protos = centroids(t).agg(F.collect_list(F.struct("label", "c")).alias("protos"))
-    d = F.transform("protos", lambda p: F.struct(F.round(V.l2(F.col("embedding"), p["c"]), 6).alias("distance"), p["label"].alias("nearest")))
-    best = t.embeddings.withColumn("k", F.lit(1)).join(F.broadcast(protos.withColumn("k", F.lit(1))), "k").select("vec_id", F.array_min(d).alias("b"))
-    return best.select("vec_id", "b.nearest", "b.distance")
+    each = t.embeddings.select("vec_id", F.col("embedding").alias("qe"))
+    found = R.nearest(each, centroids(t), 1, query_id="vec_id", row_id="label", vector="c", metric="l2", others=False)
+    return found.select("vec_id", F.col("label").alias("nearest"), F.col("score").alias("distance"))
 
 
 @query(f"""WITH {SCORED}, f AS (SELECT * FROM ranked WHERE rank <= 5),
@@ -95,9 +85,7 @@ d AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY query_id, rank)
 SELECT vec_id, query_id AS first_query, rank AS first_rank, score FROM d WHERE nth = 1""")
 def batched_fanout_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Many queries at once, five hits each; a hit counts for the first query that brought it."""
-    w = Window.partitionBy("vec_id").orderBy("query_id", "rank")
-    hits = ranked(scored(Tables(spark, sf_dir)), 5).withColumn("nth", F.row_number().over(w)).filter("nth = 1")
-    return hits.select("vec_id", F.col("query_id").alias("first_query"), F.col("rank").alias("first_rank"), "score")
+    return R.fan_out(near(Tables(spark, sf_dir), 5)).select("vec_id", F.col("query_id").alias("first_query"), F.col("rank").alias("first_rank"), "score")
 
 
 KEYWORDS = ("license", "token", "the", "und", "les")  # a fixed query
@@ -118,7 +106,7 @@ def keyword_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc_id", F.round(score, 4).alias("score"))
 
 
-WORDS = r"[^a-z]+"
+WORDS = r"[^\p{L}]+"
 TFIDF = f"""tok AS (SELECT doc_id, unnest(string_split_regex(lower(text), '{WORDS}')) AS term FROM documents),
 tf AS (SELECT doc_id, term, count(*) AS tf FROM tok WHERE length(term) > 3 GROUP BY 1, 2),
 df AS (SELECT term, count(*) AS df FROM tf GROUP BY 1), n AS (SELECT count(*) AS n FROM documents),
@@ -146,7 +134,7 @@ def hybrid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Keyword and vector scores, each divided by its maximum; a document takes the larger."""
     t = Tables(spark, sf_dir)
     kw = t.documents.select("doc_id", matches(F.col("text")).cast("double").alias("kw"))
-    vs = ranked(scored(t), 50).groupBy(F.col("vec_id").alias("doc_id")).agg(F.max("score").alias("vs"))
+    vs = near(t, 50).groupBy(F.col("vec_id").alias("doc_id")).agg(F.max("score").alias("vs"))
     peak = kw.agg(F.max("kw").alias("mk")).withColumn("k", F.lit(1)).join(vs.agg(F.max("vs").alias("mv")).withColumn("k", F.lit(1)), "k")  # one row
     both = kw.join(vs, "doc_id", "full").withColumn("k", F.lit(1)).join(F.broadcast(peak), "k")
     score = F.greatest(F.coalesce(F.col("kw") / F.col("mk"), F.lit(0.0)), F.coalesce(F.col("vs") / F.col("mv"), F.lit(0.0)))
@@ -168,7 +156,8 @@ k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, ve
 SELECT query_id, vec_id, label, score, pos FROM k WHERE pos <= 10""")
 def diverse_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A new label always, the same label only within 0.05 of the best; ten at most."""
-    s = scored(Tables(spark, sf_dir)).withColumn("best", F.max("score").over(Window.partitionBy("query_id")))
+    # a row within 0.05 of the best has at most nine such rows above it, so the ten nearest and the best of each label are all candidates
+    s = near(Tables(spark, sf_dir), 10, best_per="label").withColumn("best", F.max("score").over(Window.partitionBy("query_id")))
     s = s.withColumn("nth", F.row_number().over(Window.partitionBy("query_id", "label").orderBy(F.desc("score"), "vec_id"))).filter((F.col("nth") == 1) | (F.col("score") >= F.col("best") - 0.05))
     return s.withColumn("pos", F.row_number().over(best_first())).filter("pos <= 10").select("query_id", "vec_id", "label", "score", "pos")
 
@@ -181,9 +170,9 @@ SELECT m.query_id, label, round(p, 5) AS precision_at_10, round(CASE WHEN total
 FROM m JOIN tot USING (query_id) LEFT JOIN i USING (query_id)""")
 def ir_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Precision, recall, NDCG at 10 and reciprocal rank; a hit is relevant if it has the query's label."""
-    s = scored(Tables(spark, sf_dir)).withColumn("rel", (F.col("label") == F.col("query_label")).cast("int"))
-    s = s.withColumn("total", F.sum("rel").over(Window.partitionBy("query_id")))
-    top = ranked(s, 10)
+    t = Tables(spark, sf_dir)
+    sizes = t.embeddings.groupBy(F.col("label").alias("query_label")).agg((F.count(F.lit(1)) - 1).alias("total"))  # all of the label but the query itself
+    top = near(t, 10).withColumn("rel", (F.col("label") == F.col("query_label")).cast("int")).join(sizes, "query_label")
     gain = F.col("rel") / F.log2(F.col("rank") + 1)
     m = top.groupBy("query_id").agg(
         F.first("query_label").alias("label"), F.first("total").alias("total"), F.sum("rel").alias("found"), F.sum(gain).alias("dcg"), F.min(F.when(F.col("rel") == 1, F.col("rank"))).alias("hit"),
@@ -204,6 +193,9 @@ def ir_macro_average(spark: SparkSession, sf_dir: str) -> DataFrame:
     return m.groupBy("label", "metric").agg(F.round(F.avg("v"), 4).alias("macro"))
 
 
+BUDGET = 0.9000001
+
+
 @query(f"""WITH {SCORED}, seeds AS (SELECT query_id, vec_id, label, 1 - score AS cost FROM ranked WHERE rank <= 10 AND score >= 0.2),
 sib AS (SELECT s.query_id, e.vec_id, s.cost + 1 - round(greatest(0.0, least(1.0, list_cosine_similarity(p.embedding::DOUBLE[], e.embedding::DOUBLE[]))), 6) AS cost
   FROM seeds s JOIN embeddings p ON p.vec_id = s.vec_id JOIN embeddings e ON e.label = s.label AND e.vec_id <> s.vec_id),
@@ -212,14 +204,13 @@ SELECT query_id, vec_id, round(min(cost), 6) AS cost FROM a GROUP BY query_id, v
 def semantic_expansion(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Seeds at 1 - similarity, then siblings (same label) at the further cost of 1 - cosine, within a budget."""
     t = Tables(spark, sf_dir)
-    seeds = ranked(scored(t), 10).filter("score >= 0.2").select("query_id", "vec_id", "label", (1 - F.col("score")).alias("cost"))
-    e = t.embeddings.withColumn("norm", V.norm("embedding"))
-    own = e.select("vec_id", F.col("embedding").alias("pe"), F.col("norm").alias("pn"))
-    near = e.select(F.col("vec_id").alias("to"), "label", "embedding", "norm")
-    step = seeds.join(own, "vec_id").join(near, "label").filter(F.col("to") != F.col("vec_id"))
-    cost = F.col("cost") + 1 - F.round(V.cosine(F.col("pe"), F.col("embedding"), F.col("pn"), F.col("norm")), 6)
-    reached = seeds.select("query_id", "vec_id", "cost").unionByName(step.select("query_id", F.col("to").alias("vec_id"), cost.alias("cost")))
-    return reached.groupBy("query_id", "vec_id").agg(F.min("cost").alias("c")).filter("c <= 0.9000001").select("query_id", "vec_id", F.round("c", 6).alias("cost"))
+    seeds = near(t, 10).filter("score >= 0.2").select("query_id", F.col("vec_id").alias("seed"), F.col("label").alias("seed_label"), (1 - F.col("score")).alias("cost"))
+    seeds = written(seeds, "seeds")
+    # only siblings that the rest of the budget reaches leave their block
+    from_seed = seeds.join(t.embeddings.select(F.col("vec_id").alias("seed"), F.col("embedding").alias("qe")), "seed").withColumn("needed", F.col("cost") + 1 - BUDGET)
+    step = R.nearest(from_seed, t.embeddings.select("vec_id", "label", "embedding"), 0, query_id="seed", same=("seed_label", "label"), least="needed")
+    reached = seeds.select("query_id", F.col("seed").alias("vec_id"), "cost").unionByName(step.select("query_id", "vec_id", (F.col("cost") + 1 - F.col("score")).alias("cost")))
+    return reached.groupBy("query_id", "vec_id").agg(F.min("cost").alias("c")).filter(F.col("c") <= BUDGET).select("query_id", "vec_id", F.round("c", 6).alias("cost"))
 
 
 @query(f"""WITH {SCORED}, h AS (SELECT query_id, vec_id, label, score, CASE WHEN score > 0.9 THEN 2 WHEN score >= 0.3 THEN 1 ELSE 0 END AS hops FROM ranked WHERE rank <= 40),
@@ -229,7 +220,7 @@ def graph_vector_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The similarity band of a hit sets its hop budget, and the budget the number of neighbours."""
     t = Tables(spark, sf_dir)
     hops = F.when(F.col("score") > 0.9, 2).when(F.col("score") >= 0.3, 1).otherwise(0)
-    h = ranked(scored(t), 40).select("query_id", "vec_id", "label", hops.alias("hops"))
+    h = near(t, 40).select("query_id", "vec_id", "label", hops.alias("hops"))
     sizes = t.embeddings.groupBy("label").agg(F.count(F.lit(1)).alias("n"))  # neighbours are counted, not listed: label size less itself, up to the limit
     n = F.when(F.col("hops") > 0, F.least(F.col("n") - 1, 20 * F.col("hops"))).otherwise(0)
     return h.join(sizes, "label").select("query_id", "vec_id", "hops", n.cast("long").alias("neighbours"))
@@ -240,7 +231,7 @@ c AS (SELECT query_id, label, count(*) AS freq, max(score) AS best FROM h GROUP
 SELECT * FROM (SELECT query_id, label AS community, freq, best, row_number() OVER (PARTITION BY query_id ORDER BY freq DESC, best DESC, label) AS r FROM c) WHERE r <= 3""")
 def local_community_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The three communities (labels) most frequent among the ten nearest entities."""
-    c = ranked(scored(Tables(spark, sf_dir)), 10).groupBy("query_id", F.col("label").alias("community")).agg(F.count(F.lit(1)).alias("freq"), F.max("score").alias("best"))
+    c = near(Tables(spark, sf_dir), 10).groupBy("query_id", F.col("label").alias("community")).agg(F.count(F.lit(1)).alias("freq"), F.max("score").alias("best"))
     w = Window.partitionBy("query_id").orderBy(F.desc("freq"), F.desc("best"), "community")
     return c.withColumn("r", F.row_number().over(w)).filter("r <= 3")
 
@@ -255,10 +246,9 @@ def edge_vector_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = Tables(spark, sf_dir).embeddings
     nxt = e.select((F.col("vec_id") - 1).alias("vec_id"), F.col("embedding").alias("other"))
     mean = F.zip_with("embedding", "other", lambda x, y: (x.cast("double") + y.cast("double")) / 2)
-    edges = e.join(nxt, "vec_id").select((-1 - F.col("vec_id")).alias("vec_id"), mean.alias("v")).withColumn("norm", V.norm("v"))
-    q = e.filter(F.col("vec_id") % 20 == 0).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("qe"), V.norm("embedding").alias("qn"))
-    s = pairs(q, edges).select("query_id", (-1 - F.col("vec_id")).alias("vec_id"), F.round(V.cosine(F.col("v"), F.col("qe"), F.col("norm"), F.col("qn")), 6).alias("score"))
-    return ranked(s, 5).select("query_id", F.col("vec_id").alias("edge_id"), "score", "rank")
+    edges = e.join(nxt, "vec_id").select(F.col("vec_id").alias("edge_id"), mean.alias("v"))
+    q = e.filter(F.col("vec_id") % 20 == 0).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("qe"))
+    return R.nearest(q, edges, 5, row_id="edge_id", vector="v", others=False).select("query_id", "edge_id", "score", "rank")
 
 
 @query("SELECT vec_id, label, len(embedding) AS dims, [label::VARCHAR, 'vector'] AS labels FROM embeddings")
