@@ -51,14 +51,15 @@ from loomgraph.session import written
 DIGIT = re.compile(r"\d")
 FIELD = "<*>"
 PARTS = 4  # of the tokens after the leading ones
+TAKEN = 2  # leaves in which the tokens of a form are counted
 ALIKE = 0.75  # share of the count that a line's constants have at least, which a token needs to be one
 LINES = "doc long, tag long, line int, tokens int, form long, fresh boolean, lead array<long>, parts array<long>"
 LAST = (1 << 63) - 1
 SEEN = 400_000  # forms that a task remembers to mark the first of each
 
 
-def _hash(text: str) -> int:
-    return xxhash.xxh3_64_intdigest(text.encode("utf-8", "replace")) - (1 << 63)
+def _hash(text: str, seed: int = 0) -> int:
+    return xxhash.xxh3_64_intdigest(text.encode("utf-8", "replace"), seed) - (1 << 63)
 
 
 def masked_tokens(line: str) -> list[str]:
@@ -66,11 +67,11 @@ def masked_tokens(line: str) -> list[str]:
     return [FIELD if DIGIT.search(t) else t for t in tokens] if DIGIT.search(line) else tokens
 
 
-def part_texts(tokens: list[str], depth: int) -> list[str]:
-    """The parts of the tokens after the leading ones, each with its place and the token count; none that is empty."""
-    n = len(tokens) - depth
-    cuts = [depth + n * i // PARTS for i in range(PARTS + 1)]
-    return [f"{len(tokens)} {i} " + " ".join(tokens[a:b]) for i, (a, b) in enumerate(zip(cuts, cuts[1:])) if a < b]
+def part_hashes(tokens: list[str], depth: int) -> list[int]:
+    """Hashes of the parts of the tokens after the leading ones, each with its place and the token count; none that is empty."""
+    size = len(tokens)
+    cuts = [depth + (size - depth) * i // PARTS for i in range(PARTS + 1)]
+    return [_hash(" ".join(tokens[cuts[i] : cuts[i + 1]]), size * PARTS + i) for i in range(PARTS) if cuts[i] < cuts[i + 1]]
 
 
 def _lists(values: array, sizes: list[int]) -> pa.Array:
@@ -83,26 +84,28 @@ def _lines(depth: int, min_tokens: int):
         for b in batches:
             for lo in range(0, b.num_rows, 256):
                 part = b.slice(lo, 256)
-                cols: list[list] = [[] for _ in range(6)]
-                lead, parts, n_lead, n_parts = array("q"), array("q"), [], []
+                rows, lead, parts, n_lead, n_parts = [], array("q"), array("q"), [], []
                 if len(seen) > SEEN:
                     seen.clear()
                 for doc, tag, text in zip(*(c.to_pylist() for c in part.columns)):
                     for i, line in enumerate((text or "").split("\n")):
                         tokens = masked_tokens(line)
-                        if len(tokens) < min_tokens:
+                        size = len(tokens)
+                        if size < min_tokens:
                             continue
                         form = _hash(" ".join(tokens))
                         fresh = form not in seen
-                        found = part_texts(tokens, depth) if len(tokens) > depth else []
-                        for c, v in zip(cols, (doc, tag, i, len(tokens), form, fresh)):
-                            c.append(v)
+                        rows.append((doc, tag, i, size, form, fresh))
+                        deep = size > depth
+                        if deep:
+                            parts.extend(found := part_hashes(tokens, depth))
+                        n_parts.append(len(found) if deep else 0)
+                        n_lead.append(depth if fresh and deep else 0)
                         if fresh:
                             seen.add(form)
-                            lead.extend([_hash(t) for t in tokens[:depth]] if found else [])
-                        parts.extend([_hash(x) for x in found])
-                        n_lead.append(depth if fresh and found else 0)
-                        n_parts.append(len(found))
+                            if deep:
+                                lead.extend(map(_hash, tokens[:depth]))
+                cols = list(zip(*rows)) or [()] * 6
                 types = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.bool_())
                 yield pa.RecordBatch.from_arrays([*(pa.array(c, t) for c, t in zip(cols, types)), _lists(lead, n_lead), _lists(parts, n_parts)], names=[x.split()[0] for x in LINES.split(", ")])
 
@@ -130,7 +133,7 @@ def _tokens_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def leaves(lines: DataFrame, holders: DataFrame, depth: int, min_docs: int) -> DataFrame:
-    """``key, form, doc, tag, line`` of the forms of each leaf that several forms and ``min_docs`` documents share; of each part a form takes its fullest leaf."""
+    """``key, form, doc, tag, line`` of the forms of each leaf that several forms and ``min_docs`` documents share; of the fullest leaf of each part a form takes the two fullest."""
     part = lines.select("form", "fresh", F.explode("parts").alias("part"))
     often = part.groupBy("part").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= min_docs)
     forms = part.filter("fresh").select("form", "part").join(often, "part", "left_semi").select("form").distinct()
@@ -140,7 +143,8 @@ def leaves(lines: DataFrame, holders: DataFrame, depth: int, min_docs: int) -> D
     key = F.array(*[F.xxhash64(F.lit(i), F.col("at.lead")[i], F.col("part")) for i in range(depth)])
     keys = forms.select("form", "docs", "at", F.explode("at.parts").alias("part")).select("form", "docs", "part", F.explode(key).alias("key"))
     full = keys.groupBy("key").agg(F.count(F.lit(1)).alias("forms"), F.sum("docs").alias("docs")).filter((F.col("forms") > 1) & (F.col("docs") >= min_docs)).select("key", "forms")
-    taken = keys.join(full, "key").groupBy("form", "part").agg(F.max(F.struct("forms", "key")).alias("leaf")).select("form", "leaf.key").distinct()
+    taken = keys.join(full, "key").groupBy("form", "part").agg(F.max(F.struct("forms", "key")).alias("leaf"))  # a part has one leaf for each leading token
+    taken = taken.groupBy("form").agg(F.slice(F.sort_array(F.collect_list("leaf"), asc=False), 1, TAKEN).alias("leaf")).select("form", F.explode("leaf.key").alias("key")).distinct()
     return taken.join(forms.select("form", "at.doc", "at.tag", "at.line"), "form")
 
 

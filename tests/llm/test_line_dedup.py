@@ -17,7 +17,7 @@ def masked(line):
 
 
 def brute(rows, depth=3, min_tokens=3, min_docs=3, constant=0.7, long_tokens=40):
-    """The texts after the same rules, by plain loops over tokens."""
+    """The texts after the same rules, by plain loops over tokens in every leaf, not the fullest ones alone."""
     seen = [(LAST if r[0] is None else r[0], r[1]) for r in rows]
     holders = defaultdict(set)
     for doc, text in seen:
@@ -31,11 +31,9 @@ def brute(rows, depth=3, min_tokens=3, min_docs=3, constant=0.7, long_tokens=40)
             if chunk := tail[n * part // 4 : n * (part + 1) // 4]:
                 for i, lead in enumerate(t[:depth]):
                     leaves[len(t), i, lead, part, chunk].add(t)
+    leaves = {leaf: forms for leaf, forms in leaves.items() if len(forms) > 1 and sum(len(holders[t]) for t in forms) >= min_docs}
     found = defaultdict(set)
-    for leaf, forms in leaves.items():
-        docs = sum(len(holders[t]) for t in forms)
-        if len(forms) < 2 or docs < min_docs:
-            continue
+    for forms in leaves.values():
         counts = Counter((i, x) for t in forms for i, x in enumerate(t))
         for t in forms:
             n = sorted((counts[i, x] for i, x in enumerate(t)), reverse=True)
