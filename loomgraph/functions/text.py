@@ -52,3 +52,16 @@ def parcel_code(code: Column) -> Column:
 def half_up_spaces(x: Column) -> Column:
     """Below one counts as none; otherwise halves round up."""
     return F.when(x < 1, 0).otherwise(F.floor(x + 0.5)).cast("long")
+
+
+def found_in_context(text: Column, pattern: str, before: int, after: int) -> Column:
+    """Array of ``found, start, context`` for the matches of a pattern: where each starts (from 1) and the text around it, trimmed."""
+    hits, gaps = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
+    length = lambda parts, n: F.aggregate(F.slice(parts, 1, n), F.lit(0), lambda s, x: s + F.length(x))
+
+    def told(hit: Column, i: Column) -> Column:
+        start = length(gaps, i + 1) + length(hits, i) + 1
+        lead = F.least(F.lit(before), start - 1)
+        return F.struct(hit.alias("found"), start.alias("start"), F.trim(F.substr(text, start - lead, lead + F.length(hit) + after)).alias("context"))
+
+    return F.transform(hits, told)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomgraph.functions.text import found_in_context
+
 # Unit types from the highest level to the lowest, and the patterns of their lines.
 LEVELS = ("PYEON", "JANG", "JEOL", "GWAN", "JO", "HANG", "HO", "MOK")
 PATTERNS = {
@@ -20,6 +22,12 @@ PATTERNS = {
 ORDER = ("PYEON", "JANG", "JEOL", "GWAN", "HANG", "HO", "MOK", "JO")  # of precedence
 DATE_PART = r"^\d+\.\s*\d+\.\s*,?\s*\d{4}\."
 REVISION = r"<(?:개정|신설)\s*([^>]*)>"
+# Phrases that hand a matter down, with the kind of text it goes to, and the form of a citation.
+DELEGATIONS = (
+    (r"대통령령으로\s+정한다", "시행령"), (r"대통령령으로\s+정하는", "시행령"), (r"대통령령이\s+정하는", "시행령"), (r"국토교통부령으로\s+정한다", "시행규칙"),
+    (r"국토교통부령으로\s+정하는", "시행규칙"), (r"총리령으로\s+정한다", "시행규칙"), (r"부령으로\s+정한다", "시행규칙"), (r"조례로\s+정한다", "조례"),
+)
+CITATION = r"「([^」]+)」\s*제(\d+)조"
 
 
 def _inside(level: str, w) -> Column:
@@ -84,3 +92,28 @@ def unit_edges(units_: DataFrame) -> DataFrame:
     w = Window.partitionBy("doc", "parent_id", "unit_type").orderBy("ord")
     nxt = units_.select(F.col("full_id").alias("src"), F.lead("full_id").over(w).alias("dst"), F.lit("NEXT").alias("type"), "ord").filter("dst IS NOT NULL")
     return contains.unionByName(nxt)
+
+
+def delegations(units_: DataFrame) -> DataFrame:
+    """``from_id, delegation_type, pattern_found, context`` for each phrase of ``units_(full_id, content)`` that hands a matter down, 50 characters around it; a phrase within another counts too."""
+
+    def told(pattern: str, kind: str) -> Column:
+        return F.transform(found_in_context(F.col("content"), pattern, 50, 50), lambda x: F.struct(F.lit(kind).alias("delegation_type"), x["found"].alias("pattern_found"), x["context"].alias("context")))
+
+    each = [told(*d) for d in DELEGATIONS]
+    return units_.select(F.col("full_id").alias("from_id"), F.inline(F.concat(*each)))
+
+
+def references(units_: DataFrame) -> DataFrame:
+    """``from_id, referenced_law, referenced_article, context`` for each citation of an article of a law by name, 30 characters around it."""
+    hits = F.transform(
+        found_in_context(F.col("content"), CITATION, 30, 30),
+        lambda x: F.struct(F.regexp_extract(x["found"], CITATION, 1).alias("referenced_law"), F.concat(F.lit("제"), F.regexp_extract(x["found"], CITATION, 2), F.lit("조")).alias("referenced_article"), x["context"].alias("context")),
+    )
+    return units_.select(F.col("full_id").alias("from_id"), F.inline(hits))
+
+
+def citation_edges(units_: DataFrame) -> DataFrame:
+    """CITES edges to the cited articles, once each, with how often: ``src, dst, type, times``; whether the article is a known unit is for a join to tell."""
+    dst = F.concat("referenced_law", F.lit("::"), "referenced_article")
+    return references(units_).groupBy(F.col("from_id").alias("src"), dst.alias("dst")).agg(F.count(F.lit(1)).alias("times")).withColumn("type", F.lit("CITES"))

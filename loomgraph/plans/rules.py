@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from loomgraph.functions import site
 from loomgraph.functions.text import half_up_spaces
 from loomgraph.plans.registry import registry
 from loomgraph.sources.tables import Tables
@@ -126,17 +127,51 @@ def extended_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Tables(spark, sf_dir).part.select("p_partkey", kind.alias("use_class"), items.alias("items"))
 
 
-@query("""WITH a AS (SELECT user_id, min(value) AS lo, max(value) AS hi, avg(value) AS m FROM events GROUP BY 1)
-SELECT user_id, round(greatest(hi - lo - 0.5 * (m - lo), 0), 4) AS height, round(least(50, greatest(10, 2 * (hi - m))), 4) AS setback,
-CASE WHEN hi - lo < 0.5 THEN 'level' WHEN hi - lo > 100 AND m > 50 THEN 'steep_high' WHEN hi - lo > 3 THEN 'stepped' ELSE 'mean' END AS datum_case FROM a""")
+_SITES = """s AS (SELECT user_id, min(value) AS lo, max(value) AS hi, avg(value) AS m FROM events GROUP BY 1),
+x AS (SELECT *, CASE WHEN user_id % 3 = 0 THEN 3.0 END AS pilotis, CASE WHEN user_id % 4 > 0 THEN (m - 50) / 10 END AS above, (hi - lo) / (1 + user_id % 60) AS span,
+  CASE WHEN user_id % 3 > 0 THEN lo + user_id % 7 * 10 END AS road, (hi - m) / 100 AS road_span, CASE WHEN user_id % 5 = 0 THEN hi END AS neighbour FROM s)"""
+
+
+@query(f"""WITH {_SITES}, h AS (SELECT *, greatest(0, (hi - lo) / 4 - coalesce(pilotis, 0) - coalesce(above, 0) * CASE WHEN user_id % 2 = 0 THEN 0.5 ELSE 1 END) AS height FROM x),
+d AS (SELECT *, CASE WHEN user_id % 10 = 0 AND neighbour IS NOT NULL THEN 'neighbor_avg_86' WHEN user_id % 2 = 0 AND road IS NOT NULL AND m > road + 0.1 THEN 'site_above_road'
+  WHEN user_id % 2 = 0 AND road IS NOT NULL AND road_span >= 0.5 THEN 'road_sloped' WHEN user_id % 2 = 0 AND road IS NOT NULL THEN 'road_flat' WHEN span < 0.5 THEN 'flat' WHEN span <= 3 THEN 'slope_le3m' ELSE 'slope_gt3m' END AS datum_case FROM h)
+SELECT user_id, round(height, 4) AS height, round(CASE WHEN height <= 10 THEN 1.5 ELSE height * 0.5 END, 4) AS setback, datum_case,
+round(CASE datum_case WHEN 'neighbor_avg_86' THEN (m + neighbour) / 2 WHEN 'site_above_road' THEN (m + road) / 2 WHEN 'road_sloped' THEN road WHEN 'road_flat' THEN road ELSE m END, 4) AS elevation FROM d""")
 def height_and_datum_case(spark: SparkSession, sf_dir: str) -> DataFrame:
-    a = Tables(spark, sf_dir).events.groupBy("user_id").agg(F.min("value").alias("lo"), F.max("value").alias("hi"), F.avg("value").alias("m"))
+    """Effective height with its sunlight setback, and the datum by seven cases in order, over sites made from the values of a user."""
+    u = F.col("user_id")
+    x = Tables(spark, sf_dir).events.groupBy("user_id").agg(F.min("value").alias("lo"), F.max("value").alias("hi"), F.avg("value").alias("m"))
     span = F.col("hi") - F.col("lo")
-    case = F.when(span < 0.5, "level").when((span > 100) & (F.col("m") > 50), "steep_high").when(span > 3, "stepped").otherwise("mean")
-    return a.select(
-        "user_id", F.round(F.greatest(span - 0.5 * (F.col("m") - F.col("lo")), F.lit(0.0)), 4).alias("height"),
-        F.round(F.least(F.lit(50.0), F.greatest(F.lit(10.0), 2 * (F.col("hi") - F.col("m")))), 4).alias("setback"), case.alias("datum_case"),
-    )
+    height = site.effective_height(span / 4, F.when(u % 3 == 0, 3.0), F.when(u % 4 > 0, (F.col("m") - 50) / 10), u % 2 == 0)
+    road, neighbour = F.when(u % 3 > 0, F.col("lo") + u % 7 * 10), F.when(u % 5 == 0, F.col("hi"))
+    found = site.datum(F.col("m"), span / (1 + u % 60), road, (F.col("hi") - F.col("m")) / 100, neighbour, u % 10 == 0, u % 2 == 0)
+    x = x.withColumns({"h": height, "d": found})
+    return x.select("user_id", F.round("h", 4).alias("height"), F.round(site.sunlight_setback(F.col("h")), 4).alias("setback"), F.col("d.case").alias("datum_case"), F.round("d.elevation", 4).alias("elevation"))
+
+
+#: Building types by part key, for the rules that read them.
+BUILDINGS = ("단독주택", "다세대주택", "제1종근린생활시설", "업무시설", "위락시설", "창고시설", "공장", "숙박시설", "오피스텔", "제2종 무엇", "교정시설", "", "판매 및 위락", "운동시설")
+_BUILDING = "[" + ", ".join(f"'{x}'" for x in BUILDINGS) + f"][p_partkey % {len(BUILDINGS)} + 1]"
+
+
+@query(f"""WITH b AS (SELECT p_partkey, {_BUILDING} AS kind FROM part)
+SELECT p_partkey, CASE WHEN kind = '' THEN NULL WHEN kind LIKE '%위락%' THEN 1 WHEN regexp_matches(kind, '근린생활|생활시설|숙박') THEN 3 WHEN regexp_matches(kind, '단독|다가구') THEN 4
+WHEN regexp_matches(kind, '공동주택|아파트|연립|다세대|오피스텔') THEN 5 WHEN kind LIKE '%창고%' THEN 8 WHEN regexp_matches(kind, '공장|수련') THEN 7
+WHEN regexp_matches(kind, '판매|업무|의료|문화|종교|운동|운수|방송|장례') THEN 2 WHEN regexp_matches(kind, '제1종|제2종') THEN 3 ELSE 11 END AS parking_row FROM b""")
+def use_class_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Row of the parking table for each building type; the first word met in order wins."""
+    kind = F.element_at(F.array(*[F.lit(x) for x in BUILDINGS]), (F.col("p_partkey") % len(BUILDINGS) + 1).cast("int"))
+    return Tables(spark, sf_dir).part.select("p_partkey", site.use_class(kind).alias("parking_row"))
+
+
+@query("""WITH x AS (SELECT p_partkey, CASE WHEN p_partkey % 10 > 0 THEN p_size % 12 END AS n, CASE WHEN p_partkey % 9 > 0 THEN p_retailprice % 20 END AS w, CASE p_partkey % 3 WHEN 0 THEN true WHEN 1 THEN false END AS sep FROM part)
+SELECT p_partkey, CASE WHEN n IS NULL THEN 'needs_required_count' ELSE 'evaluated' END AS status, coalesce(w < 12 AND NOT sep AND coalesce(n <= 8, true), false) AS road_as_aisle,
+coalesce(w >= 12 AND coalesce(sep, true) AND coalesce(n <= 5, true), false) AS perpendicular, coalesce(n <= 5, true) AS tandem FROM x""")
+def small_lot_relief(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a small attached lot may do: count the road as its aisle, park across it, or park in tandem."""
+    k = F.col("p_partkey")
+    found = site.small_lot_relief(F.when(k % 10 > 0, F.col("p_size") % 12), F.when(k % 9 > 0, F.col("p_retailprice") % 20), F.when(k % 3 == 0, True).when(k % 3 == 1, False))
+    return Tables(spark, sf_dir).part.select("p_partkey", found.alias("x")).select("p_partkey", "x.*")
 
 
 @query("""WITH w AS (SELECT p_brand, max(p_size) AS worst FROM part GROUP BY 1) SELECT p_partkey, round(CASE WHEN worst > 45 THEN p_retailprice * 0.95 ELSE p_retailprice * 1.05 END, 4) AS limit_after FROM part JOIN w USING (p_brand)""")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomgraph.functions import text as X
+from loomgraph.operators import statute
 from loomgraph.plans.registry import registry
 from loomgraph.sources.tables import Tables
 
@@ -193,13 +194,50 @@ def resume_unprocessed(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def statute_units(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A statute-like document per order, parsed into its units."""
-    from loomgraph.operators import statute
-
     t = Tables(spark, sf_dir)
     o = t.orders.select(F.col("o_orderkey").alias("k"), F.lit(0).alias("line_number"), F.format_string("제%d조(주문) 금액 %s <개정 2020.1.2.>", F.col("o_orderkey"), F.col("o_orderpriority")).alias("text"))
     li = t.lineitem.select(F.col("l_orderkey").alias("k"), F.col("l_linenumber").alias("line_number"), F.format_string("%d. 품목 %d", F.col("l_linenumber"), F.col("l_partkey")).alias("text"))
     lines = o.unionByName(li.withColumn("text", F.when(F.col("line_number") == 1, F.concat(F.lit("① "), F.col("text"))).otherwise(F.col("text"))))
-    return statute.units(lines.select(F.concat(F.lit("doc"), F.col("k")).alias("doc"), "line_number", "text")).drop("revision_dates")
+    return statute.units(lines.select(F.concat(F.lit("doc"), F.col("k")).alias("doc"), "line_number", "text"))
+
+
+#: A unit per order that hands a matter down and cites an article.
+_CLAUSE = """u AS (SELECT 'doc' || o_orderkey AS full_id, o_orderpriority || ' 필요한 사항은 ' || CASE o_orderkey % 6 WHEN 0 THEN '대통령령으로 정한다' WHEN 1 THEN '국토교통부령으로  정하는 바에 따른다' WHEN 2 THEN '총리령으로 정한다' WHEN 3 THEN '국토교통부령으로 정한다' WHEN 4 THEN '조례로 정한다' ELSE '따로 정한다' END
+|| '. 이 경우 「' || CASE WHEN o_orderkey % 4 = 0 THEN '건축법' ELSE '주차장법 시행령' END || '」 ' || CASE WHEN o_orderkey % 5 > 0 THEN '제' || (o_orderkey % 90 + 1) || '조를 따르며 그 밖의 것은 이 조에서 정하는 바에 따라 처리하여야 한다' ELSE '전부를 따른다' END AS content FROM orders)"""
+
+
+def _clauses(t: Tables) -> DataFrame:
+    k = F.col("o_orderkey")
+    words = ("대통령령으로 정한다", "국토교통부령으로  정하는 바에 따른다", "총리령으로 정한다", "국토교통부령으로 정한다", "조례로 정한다", "따로 정한다")
+    matter = F.element_at(F.array(*[F.lit(w) for w in words]), (k % 6 + 1).cast("int"))
+    law = F.when(k % 4 == 0, "건축법").otherwise("주차장법 시행령")
+    rest = F.when(k % 5 > 0, F.concat(F.lit("제"), (k % 90 + 1).cast("string"), F.lit("조를 따르며 그 밖의 것은 이 조에서 정하는 바에 따라 처리하여야 한다"))).otherwise("전부를 따른다")
+    return t.orders.select(F.concat(F.lit("doc"), k).alias("full_id"), F.concat("o_orderpriority", F.lit(" 필요한 사항은 "), matter, F.lit(". 이 경우 「"), law, F.lit("」 "), rest).alias("content"))
+
+
+_PHRASES = ", ".join(f"('{p}', '{to}')" for p, to in statute.DELEGATIONS)
+
+
+@query(f"""WITH {_CLAUSE}, p(pattern, delegation_type) AS (VALUES {_PHRASES}), f AS (SELECT full_id, content, delegation_type, regexp_extract(content, pattern) AS found FROM u JOIN p ON regexp_matches(content, pattern))
+SELECT full_id AS from_id, delegation_type, found AS pattern_found, trim(substr(content, greatest(1, strpos(content, found) - 50), least(50, strpos(content, found) - 1) + length(found) + 50)) AS context FROM f""")
+def statute_delegations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Phrases that hand a matter down to a decree, rule or ordinance, with their context."""
+    return statute.delegations(_clauses(Tables(spark, sf_dir)))
+
+
+@query(f"""WITH {_CLAUSE}, f AS (SELECT full_id, content, regexp_extract(content, '「([^」]+)」\\s*제(\\d+)조') AS found FROM u)
+SELECT full_id AS from_id, regexp_extract(found, '「([^」]+)」', 1) AS referenced_law, regexp_extract(found, '제\\d+조') AS referenced_article,
+trim(substr(content, greatest(1, strpos(content, found) - 30), least(30, strpos(content, found) - 1) + length(found) + 30)) AS context FROM f WHERE found <> ''""")
+def statute_references(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Citations of articles of other laws, with their context."""
+    return statute.references(_clauses(Tables(spark, sf_dir)))
+
+
+@query(f"""WITH {_CLAUSE} SELECT full_id AS src, regexp_extract(content, '「([^」]+)」', 1) || '::' || regexp_extract(content, '」\\s*(제\\d+조)', 1) AS dst, 'CITES' AS type, count(*) AS times
+FROM u WHERE regexp_matches(content, '」\\s*제\\d+조') GROUP BY 1, 2""")
+def statute_citation_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """CITES edges from units to articles of laws."""
+    return statute.citation_edges(_clauses(Tables(spark, sf_dir)))
 
 
 @query("""WITH c AS (SELECT c_nationkey AS base, c_mktsegment AS category, max_by(c_name, c_custkey) AS name FROM customer GROUP BY 1, 2)
