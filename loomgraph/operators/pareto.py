@@ -3,11 +3,9 @@
 from __future__ import annotations
 
 from bisect import bisect_right
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 
-import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -88,22 +86,21 @@ def penalty(limits: dict[str, float]) -> Column:
     return reduce(lambda a, b: a + b, [F.greatest(F.lit(0.0), F.col(c) - v) / v for c, v in limits.items()])
 
 
-def farthest_first(df: DataFrame, group: str, key: str, k: int) -> DataFrame:
-    """``group, key, pos, distance``: a greedy pick per group of ``df(group, key, x, y)`` over scaled ``x`` and ``y``."""
+def farthest_first(df: DataFrame, group: str, key: str, k: int, distance: Callable[[Column, Column], Column], prefer: str) -> DataFrame:
+    """``group, key, pos, distance``: of each group up to ``k`` rows, each as far as can be from those picked before it.
 
-    def pick(p: pd.DataFrame) -> pd.DataFrame:
-        p = p.sort_values(["x", key], kind="stable").reset_index(drop=True)
-        v = p[["x", "y"]].to_numpy(float)
-        v = (v - v.min(0)) / np.where(np.ptp(v, 0) == 0, 1, np.ptp(v, 0))
-        chosen, dist = [0], np.linalg.norm(v - v[0], axis=1)
-        far = [0.0]
-        while len(chosen) < min(k, len(p)):
-            i = int(dist.argmax())
-            far.append(float(dist[i]))
-            chosen.append(i)
-            dist = np.minimum(dist, np.linalg.norm(v - v[i], axis=1))
-            dist[chosen] = -1
-        return pd.DataFrame({group: p[group][0], key: p[key].to_numpy()[chosen], "pos": np.arange(1, len(chosen) + 1), "distance": np.round(far, 6)})
-
-    kind = dict(df.dtypes)
-    return df.groupBy(group).applyInPandas(pick, f"{group} {kind[group]}, {key} {kind[key]}, pos long, distance double")
+    Ties, and the first pick, go to the larger ``prefer``, then to the smaller
+    key. A round is a grouped minimum and an update of each row's distance to
+    the nearest pick, so a group of any size meets no single task; picks are one
+    row a group, joined as the planner sees fit.
+    """
+    rows, found = df.withColumn("_far", F.lit(1.0)), []
+    for pos in range(1, k + 1):
+        order = F.struct((-F.col("_far")).alias("far"), (-F.col(prefer)).alias("prefer"), F.col(key).alias("key"), F.struct(*df.columns).alias("row"))
+        pick = written(rows.groupBy(group).agg(F.min(order).alias("_pick")), "pick")
+        found.append(pick.select(group, F.col("_pick.key").alias(key), F.lit(pos).cast("long").alias("pos"), (-F.col("_pick.far")).alias("distance")))
+        if pos < k:
+            rows = rows.join(pick, group).filter(F.col(key) != F.col("_pick.key"))
+            nearer = F.least(F.col("_far"), distance(F.struct(*df.columns), F.col("_pick.row")))
+            rows = written(rows.withColumn("_far", nearer).select(*df.columns, "_far"), "pool")
+    return reduce(DataFrame.unionByName, found)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from loomgraph.functions.design import design_distance
 from loomgraph.operators import pareto
 from loomgraph.plans.registry import registry
 from loomgraph.sources.tables import Tables
@@ -55,9 +56,13 @@ def penalty_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def farthest_first(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Five parts of each brand, each as far as can be from those before it; the first is the cheapest."""
-    p = Tables(spark, sf_dir).part.select("p_brand", "p_partkey", F.col("p_retailprice").alias("x"), F.col("p_size").cast("double").alias("y"))
-    return pareto.farthest_first(p, "p_brand", "p_partkey", 5)
+    """Five parts of each brand, each as far as can be from those before it by shape, measures, steps and family; the first is the dearest."""
+    size = F.col("p_size").cast("double")
+    p = Tables(spark, sf_dir).part.select(
+        "p_brand", "p_partkey", "p_retailprice", F.array(F.lit(0.0), F.lit(0.0), size, (F.col("p_partkey") % 10 + 1).cast("double")).alias("box"),
+        F.array(F.col("p_retailprice") / 2000, size / 50).alias("measures"), F.split("p_type", " ").alias("steps"), F.element_at(F.split("p_name", " "), 1).alias("family"),
+    )
+    return pareto.farthest_first(p, "p_brand", "p_partkey", 5, design_distance, "p_retailprice")
 
 
 @query("""WITH e AS (SELECT *, (event_type IS DISTINCT FROM lag(event_type) OVER w)::INT AS brk FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),

@@ -3,6 +3,8 @@ import random
 from loomgraph.operators.pareto import layers_2d
 from loomgraph.plans import catalogue
 
+QUERIES = ("front_layers",)  # tested here against brute force
+
 
 def peeled(points):
     """The front of each distinct point, by taking fronts off until none is left."""
