@@ -27,6 +27,15 @@ def session_buffer(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.sessions(Tables(spark, sf_dir).events, "user_id", "ts", "event_id", "event_type", 30 * 60)
 
 
+@query("""WITH g AS (SELECT *, (ts >= lag(ts) OVER w + INTERVAL 30 MINUTES OR lag(ts) OVER w IS NULL)::INT AS brk FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+s AS (SELECT *, sum(brk) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS session FROM g)
+SELECT user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS began, count(*) AS fragments FROM s GROUP BY user_id, session""")
+def stream_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sessions by a streaming query run to its end over the table."""
+    s = S.run_to_end(S.session_stream(S.read_events(spark, sf_dir), "user_id", "30 minutes", "1 hour"), "complete")
+    return s.select("user_id", F.date_format("session_window.start", "yyyy-MM-dd HH:mm:ss").alias("began"), "fragments")
+
+
 @query()
 def rate_limit_accept(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Messages accepted under a sliding limit; rejected ones don't count."""

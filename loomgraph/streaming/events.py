@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from loomgraph.session import shared_dir
 
@@ -56,10 +58,51 @@ def sessions(events: DataFrame, key: str, ts: str, seq: str, text: str, gap_seco
 
 
 def session_stream(events: DataFrame, key: str, gap: str, late: str) -> DataFrame:
-    """The same by Spark's session windows, on a stream."""
+    """The same by Spark's session windows, on a stream: ``session_window, key, fragments``."""
     return events.withWatermark("ts", late).groupBy(F.session_window("ts", gap), key).agg(F.count(F.lit(1)).alias("fragments"))
 
 
+def rate_limit_stream(events: DataFrame, key: str, most: int, window_us: int) -> DataFrame:
+    """``rate_limited`` with state: of each key the stamps accepted within the window, dropped once the watermark has left them behind.
+
+    Messages of a key are taken in the order of their stamps within a micro-batch.
+    """
+    kind = dict(events.dtypes)
+
+    def run(who, batches, state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        kept = list(state.get[0]) if state.exists else []
+        p = pd.concat(list(batches)).sort_values(["at", "event_id"], kind="stable")
+        out = []
+        for at in p["at"]:
+            kept = [x for x in kept if x > at - window_us]
+            out.append(len(kept) < most)
+            if out[-1]:
+                kept.append(int(at))
+        state.update((kept,))
+        latest = max(state.getCurrentWatermarkMs(), max(kept, default=0) // 1000)
+        state.setTimeoutTimestamp(int(latest + window_us // 1000 + 1))
+        yield pd.DataFrame({key: who[0], "event_id": p["event_id"].to_numpy(), "accepted": out})
+
+    rows = events.withColumn("at", F.unix_micros("ts")).select(key, "event_id", "at", "ts")
+    return rows.groupBy(key).applyInPandasWithState(run, f"{key} {kind[key]}, event_id {kind['event_id']}, accepted boolean", "kept array<long>", "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def route_stream(events: DataFrame, sinks: dict[str, Callable[[DataFrame, int], None]], checkpoint: str, topics: dict[str, str] = TOPICS):
+    """Start a query that hands each micro-batch to the sinks of its topics; unknown types are dropped. A sink gets the batch and its number, by which a repeated batch can be told."""
+
+    def hand_on(batch: DataFrame, epoch: int) -> None:
+        kept = batch.persist()
+        for name, sink in sinks.items():
+            sink(kept.filter(F.col("topic") == name).drop("topic"), epoch)
+        kept.unpersist()
+
+    routed = events.withColumn("topic", topic(F.col("event_type"), topics)).filter(F.col("topic").isin(*sinks))
+    return routed.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(hand_on).start()
+
+
 def rate_limited(messages: DataFrame, key: str, most: int, window_us: int) -> DataFrame:
     """``messages(key, event_id, at)`` with ``accepted``: fewer than ``most`` accepted ones within the window before. Acceptance depends on earlier acceptance, so each key is scanned in order, holding at most ``most`` stamps.
 
