@@ -20,6 +20,16 @@ def _sides(ring: Column) -> Column:
     return F.zip_with(ring, F.concat(F.slice(ring, 2, F.size(ring)), F.slice(ring, 1, 1)), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
 
 
+def ring_centroid(ring: Column) -> Column:
+    """``x, y`` of the centre of area; of a ring without area, the mean of its corners."""
+    cross = lambda p: p["a"]["x"] * p["b"]["y"] - p["b"]["x"] * p["a"]["y"]
+    total = lambda part: F.aggregate(_sides(ring), F.lit(0.0), lambda s, p: s + part(p))
+    twice = total(cross)
+    flat = twice == 0
+    axis = lambda k: F.when(flat, total(lambda p: p["a"][k]) / F.size(ring)).otherwise(total(lambda p: (p["a"][k] + p["b"][k]) * cross(p)) / F.nullif(3 * twice, F.lit(0.0)))
+    return F.struct(axis("x").alias("x"), axis("y").alias("y"))
+
+
 def ring_area(ring: Column) -> Column:
     """Area by the shoelace sum."""
     return F.abs(F.aggregate(_sides(ring), F.lit(0.0), lambda s, p: s + p["a"]["x"] * p["b"]["y"] - p["b"]["x"] * p["a"]["y"])) / 2

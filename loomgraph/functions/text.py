@@ -34,7 +34,7 @@ def strip_tags(html: Column) -> Column:
 
 def h_mm_ss(seconds: Column) -> Column:
     s = seconds.cast("long")
-    return F.format_string("%d:%02d:%02d", F.floor(s / 3600), F.floor(s / 60) % 60, s % 60)
+    return F.when(s.isNotNull(), F.format_string("%d:%02d:%02d", F.floor(s / 3600), F.floor(s / 60) % 60, s % 60))
 
 
 def seconds_of(stamp: Column) -> Column:

@@ -117,3 +117,54 @@ def citation_edges(units_: DataFrame) -> DataFrame:
     """CITES edges to the cited articles, once each, with how often: ``src, dst, type, times``; whether the article is a known unit is for a join to tell."""
     dst = F.concat("referenced_law", F.lit("::"), "referenced_article")
     return references(units_).groupBy(F.col("from_id").alias("src"), dst.alias("dst")).agg(F.count(F.lit(1)).alias("times")).withColumn("type", F.lit("CITES"))
+
+
+def contents_flags(lines: DataFrame) -> DataFrame:
+    """Chapters and sections of ``lines(doc, line_number, text)``, and which of them only a table of contents names.
+
+    Columns: ``doc, unit_type, number, title, chapter, line_number, is_toc``, one
+    row a heading, at its first line. A section is of the text where an article
+    stands under it or where number and title come again; a chapter where an
+    article or such a section does. A section belongs to the chapter above its
+    first line; without one it is no heading.
+    """
+    by_line = Window.partitionBy("doc").orderBy("line_number").rowsBetween(Window.unboundedPreceding, 0)
+    latest = lambda c: F.last(c, ignorenulls=True).over(by_line)
+    kind = F.col("unit_type")
+    h = classified(lines).filter(kind.isin("PYEON", "JANG", "JEOL", "JO"))
+    part = lambda n: F.when(kind == "JANG", F.regexp_extract("text", PATTERNS["JANG"], n)).when(kind == "JEOL", F.regexp_extract("text", PATTERNS["JEOL"], n))
+    h = h.withColumns({"number": part(1), "title": F.trim(part(2)), "book": latest(F.when(kind == "PYEON", F.regexp_extract("text", PATTERNS["PYEON"], 1)))})
+    h = h.withColumn("own", F.when(kind == "JANG", F.concat_ws(":", "book", "number"))).withColumn("above", latest(F.col("own")))
+    h = h.filter((kind != "JEOL") | F.col("above").isNotNull())
+    same = Window.partitionBy("doc", "unit_type", "number", "title").orderBy("line_number")
+    h = h.withColumn("chapter", F.coalesce("own", F.when(kind == "JEOL", F.first("above").over(same))))
+    section = F.when(kind == "JEOL", F.struct("number", "title")).when(kind == "JANG", F.struct(F.lit(None).cast("string").alias("number"), F.lit(None).cast("string").alias("title")))
+    h = h.withColumns({"chapter": latest(F.col("chapter")), "section": latest(section)}).filter("unit_type <> 'PYEON'")
+    article, at = F.max((kind == "JO").cast("int")) == 1, F.when(kind != "JO", F.col("line_number"))
+    sections = h.filter("section.number IS NOT NULL").groupBy("doc", "section").agg(F.min_by("chapter", at).alias("chapter"), F.min(at).alias("line_number"), (article | (F.count(at) > 1)).alias("of_text"))
+    held = sections.groupBy("doc", "chapter").agg(F.max("of_text").alias("holds"))
+    chapters = h.filter("chapter IS NOT NULL AND unit_type <> 'JEOL'").groupBy("doc", "chapter").agg(
+        F.min_by("number", at).alias("number"), F.min_by("title", at).alias("title"), F.min(at).alias("line_number"), article.alias("of_text")
+    )
+    chapters = chapters.join(held, ["doc", "chapter"], "left").withColumn("of_text", F.col("of_text") | F.coalesce("holds", F.lit(False)))
+    out = ("doc", "unit_type", "number", "title", "chapter", "line_number", "is_toc")
+    flag = ~F.col("of_text")
+    found = sections.select("*", "section.*").withColumns({"unit_type": F.lit("JEOL"), "is_toc": flag}).select(*out)
+    return chapters.withColumns({"unit_type": F.lit("JANG"), "is_toc": flag}).select(*out).unionByName(found)
+
+
+def domain_members(units_: DataFrame, prefixes: DataFrame) -> DataFrame:
+    """``domain_id, full_id`` of each unit whose id starts with a prefix of the domain, once each.
+
+    ``prefixes(domain_id, prefix)``. Units and prefixes meet on the prefix
+    itself, cut at each of the lengths that occur, so no unit is held against
+    every prefix.
+    """
+    sizes = [r.n for r in prefixes.select(F.length("prefix").alias("n")).distinct().collect()]  # as many as there are lengths of ids
+    cut = units_.select("full_id", F.explode(F.array(*map(F.lit, sizes)).cast("array<int>")).alias("n")).filter(F.length("full_id") >= F.col("n"))
+    return cut.withColumn("prefix", F.substr("full_id", F.lit(1), F.col("n"))).join(prefixes, "prefix").select("domain_id", "full_id").distinct()
+
+
+def domain_sizes(members: DataFrame) -> DataFrame:
+    """``domain_id, node_count`` from ``domain_members``."""
+    return members.groupBy("domain_id").agg(F.count(F.lit(1)).alias("node_count"))

@@ -265,3 +265,13 @@ def induced_subgraph(spark: SparkSession, sf_dir: str) -> DataFrame:
 def component_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Connected components of nodes that share an order, by rounds of least labels."""
     return network.components(community_projection(spark, sf_dir).select("a", "b"))
+
+
+@query()
+def visit_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Breadth-first order of the parts of a brand along links from each to four others, some of them one-way streets out of nothing."""
+    t = Tables(spark, sf_dir)
+    p = t.part.select(F.col("p_brand").alias("grp"), (F.row_number().over(Window.partitionBy("p_brand").orderBy("p_partkey")) - 1).cast("long").alias("node"))
+    i = F.col("node")
+    near = F.when(i % 7 != 5, F.array(i * 2 + 2, i * 2 + 1, i - 3, i * 3 % 11)).otherwise(F.array().cast("array<bigint>"))
+    return network.visit_order(p, p.select("grp", F.col("node").alias("src"), F.posexplode(near).alias("nth", "dst")))

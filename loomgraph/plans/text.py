@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomgraph.functions import text as X
-from loomgraph.operators import statute
+from loomgraph.operators import captions, statute
 from loomgraph.plans.registry import registry
 from loomgraph.sources.tables import Tables
 
@@ -251,3 +251,34 @@ def law_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     g = Tables(spark, sf_dir).customer.groupBy(F.col("c_nationkey").alias("base")).agg(last("BUILDING").alias("s"), last("MACHINERY").alias("d"), last("FURNITURE").alias("r"))
     pair = g.select("base", F.explode(F.array(F.struct(F.col("s").alias("statute"), F.col("d").alias("decree"), F.lit("ENFORCED_BY").alias("type")), F.struct(F.col("d").alias("statute"), F.col("r").alias("decree"), F.lit("DETAILED_BY").alias("type")))).alias("p"))
     return pair.select("base", "p.*").filter("statute IS NOT NULL AND decree IS NOT NULL")
+
+
+@query("""WITH u AS (SELECT 'law' || o_orderkey % 7 || '::제' || o_orderkey % 30 || '조::' || o_orderkey AS full_id FROM orders), p(domain_id, prefix) AS (VALUES ('a', 'law1::제1'), ('a', 'law1::제12조'), ('a', 'law2'), ('b', 'law1::제29조'), ('b', 'law6::제3조::'), ('c', 'none'))
+SELECT domain_id, count(DISTINCT full_id) AS node_count FROM u JOIN p ON starts_with(full_id, prefix) GROUP BY 1""")
+def domain_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Units of each domain by the prefixes of their ids; a unit under two prefixes of a domain counts once."""
+    k = F.col("o_orderkey")
+    u = Tables(spark, sf_dir).orders.select(F.concat(F.lit("law"), k % 7, F.lit("::제"), k % 30, F.lit("조::"), k).alias("full_id"))
+    prefixes = (("a", "law1::제1"), ("a", "law1::제12조"), ("a", "law2"), ("b", "law1::제29조"), ("b", "law6::제3조::"), ("c", "none"))
+    return statute.domain_sizes(statute.domain_members(u, spark.createDataFrame(prefixes, "domain_id string, prefix string")))
+
+
+@query()
+def statute_contents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Headings of a statute-like document per customer, and which of them stand in its table of contents only."""
+    k = F.col("c_custkey")
+    line = lambda form, *c: F.format_string(form, *c)
+    heads = F.array(line("제1장 총칙 %d", k % 3), line("제1절 통칙"), line("제2절 보칙"), line("제2장 벌칙"), line("제3절 부칙 %d", k % 2))
+    again = F.filter(F.array(line("제1장 총칙 %d", k % 3), F.when(k % 3 > 0, "제1절 통칙"), F.when(k % 2 == 0, "제1조(목적) 이 법은"), F.when(k % 5 == 0, "제2장 벌칙"), F.when(k % 7 == 0, "제9조(벌칙) 과태료")), lambda x: x.isNotNull())
+    rows = Tables(spark, sf_dir).customer.select(F.concat(F.lit("doc"), k).alias("doc"), F.posexplode(F.concat(heads, again)).alias("line_number", "text"))
+    return statute.contents_flags(rows)
+
+
+@query()
+def caption_times(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Four turns of a conversation at a time, set back to the turns that they start and end with."""
+    t = Tables(spark, sf_dir).conversations
+    said = t.select(F.col("conv_id").alias("video"), F.col("turn").alias("seq"), (F.col("turn") * 700).alias("start"), F.lit(9).alias("duration"), F.coalesce("text", F.lit("")).alias("text"))
+    four = F.transform(F.array_sort(F.collect_list(F.struct("seq", "text"))), lambda x: x["text"])
+    chunks = said.groupBy("video", F.floor(F.col("seq") / 4).alias("chunk")).agg(F.array_join(four, "\n").alias("text"))
+    return captions.caption_times(chunks, said)

@@ -6,6 +6,7 @@ import pytest
 
 from loomgraph.plans import catalogue
 from loomgraph.sources.tables import Tables
+from tests.test_sites import step_distance
 
 SF = "/root/testdata/sf0.001"
 QUERIES = ("component_labels", "community_detect", "farthest_first", "rate_limit_accept", "statute_units")
@@ -43,11 +44,10 @@ def iou(a, b):
 
 def test_farthest_first(spark, tables):
     def distance(a, b):
-        s, t = set(a["p_type"].split(" ")), set(b["p_type"].split(" "))
         box = [(0, 0, x["p_size"], x["p_partkey"] % 10 + 1) for x in (a, b)]
         measures = (abs(a["p_retailprice"] - b["p_retailprice"]) / 2000 + abs(a["p_size"] - b["p_size"]) / 50) / 2
         family = a["p_name"].split(" ")[0] != b["p_name"].split(" ")[0]
-        return round(0.30 * (1 - iou(*box)) + 0.25 * measures + 0.35 * (1 - len(s & t) / len(s | t)) + 0.10 * family, 4)
+        return round(0.30 * (1 - iou(*box)) + 0.25 * measures + 0.35 * step_distance(a["p_type"].split(" "), b["p_type"].split(" ")) + 0.10 * family, 4)
 
     by_brand = defaultdict(list)
     for r in tables.part.collect():
