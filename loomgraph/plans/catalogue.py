@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomgraph.plans import evaluation, graph, ledger, relational, retrieval, rules, sites, streams, text
+from loomgraph.plans import evaluation, graph, ledger, relational, retrieval, rules, sites, streams, text, tracking
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
-for _m in (retrieval, graph, text, rules, sites, relational, ledger, evaluation, streams):
+for _m in (retrieval, graph, text, rules, sites, relational, ledger, evaluation, streams, tracking):
     QUERIES |= _m.QUERIES
     ORACLES |= _m.ORACLES

@@ -29,7 +29,7 @@ def permutation_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
 def step_distances(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Distance of each part's steps from those of the part before it in its brand, with the parts of the sum."""
     w = Window.partitionBy("p_brand").orderBy("p_partkey")
-    steps = F.split(F.concat_ws(" ", "p_type", F.when(F.col("p_size") % 2 == 0, F.col("p_type"))), " ")
+    steps = F.split(F.concat_ws(" ", "p_name", "p_type", F.when(F.col("p_size") % 2 == 0, F.col("p_name"))), " ")
     p = Tables(spark, sf_dir).part.select("p_brand", "p_partkey", steps.alias("a")).withColumn("b", F.lag("a").over(w)).filter("b IS NOT NULL")
     a, b = F.col("a"), F.col("b")
     return p.select("p_partkey", sequence.common_order(a, b).alias("common_order"), sequence.shared_count(a, b).alias("shared"), sequence.sequence_distance(a, b).alias("distance"))

@@ -48,7 +48,7 @@ def test_oracle(spark, duck, name):
 
 
 def test_the_rest_has_a_brute_force_test():
-    from tests import test_brute, test_pareto, test_sites
+    from tests import test_brute, test_pareto, test_sites, test_tracking
 
-    tested = {name for m in (test_brute, test_pareto, test_sites) for name in m.QUERIES}
+    tested = {name for m in (test_brute, test_pareto, test_sites, test_tracking) for name in m.QUERIES}
     assert set(catalogue.QUERIES) - set(catalogue.ORACLES) == tested

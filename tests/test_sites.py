@@ -35,7 +35,7 @@ def step_distance(a, b):
 def test_step_distances(spark):
     by_brand = defaultdict(list)
     for r in Tables(spark, SF).part.orderBy("p_partkey").collect():
-        by_brand[r.p_brand].append((r.p_partkey, (r.p_type + (" " + r.p_type) * (r.p_size % 2 == 0)).split(" ")))
+        by_brand[r.p_brand].append((r.p_partkey, f"{r.p_name} {r.p_type}{f' {r.p_name}' * (r.p_size % 2 == 0)}".split(" ")))
     got = {r.p_partkey: r for r in catalogue.QUERIES["step_distances"](spark, SF).collect()}
     assert len(got) == sum(len(x) - 1 for x in by_brand.values())
     for parts in by_brand.values():
