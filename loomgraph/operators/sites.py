@@ -143,3 +143,36 @@ def evidence_bundles(checks: DataFrame) -> DataFrame:
     hard, open_ = (F.col("status") == "fail") & (F.col("severity") == "hard"), F.col("status").isin("needs_evidence", "unknown")
     g = checks.groupBy("design").agg(F.count(F.lit(1)).alias("n_checks"), *[F.sort_array(F.collect_set(F.when(c, F.col("key")))).alias(k) for k, c in (("failures", hard), ("missing", open_))])
     return g.withColumn("status", F.when(F.size("failures") > 0, "fail").when(F.size("missing") > 0, "needs_evidence").otherwise("pass"))
+
+
+def restrictions(rules: Column, overlays: Column, unmatched: Column, recognised: Column) -> Column:
+    """Sentences on what binds a site, in a fixed order; what is null, false or empty says nothing.
+
+    ``rules`` is a struct of ``bcr, far, sunlight, road_multiple, corner,
+    adjacent, landscaping, prohibited, min_area, daylight, n_zones, category``;
+    ``overlays`` an array of ``name, article, description, zone, low, high``.
+    Zones of ``unmatched`` are named unless an overlay stands for them or they
+    are ``recognised``. Numbers are told as Spark casts them to text.
+    """
+    r = {k: rules[k] for k in ("bcr", "far", "sunlight", "road_multiple", "corner", "adjacent", "landscaping", "prohibited", "min_area", "daylight", "n_zones", "category")}
+    told = lambda when, *parts: F.when(when, F.concat(*[x if isinstance(x, Column) else F.lit(x) for x in parts]))
+    known = lambda k: r[k].isNotNull()
+    kind = lambda word: F.contains(r["category"], F.lit(word))
+    # The sentences.
+    site = [
+        told(known("bcr"), "건폐율 상한: ", r["bcr"], "%"), told(known("far"), "용적률 상한: ", r["far"], "%"), told(r["sunlight"], "일조사선: 정북방향 H/2 이격"),
+        told(known("road_multiple"), "높이제한: 전면도로폭 × ", r["road_multiple"], " (가로구역별 높이 미지정 시, 건축법 시행령 §82)"), told(r["corner"], "가각전제: 8m 미만 도로 모퉁이 (시행령 §31)"),
+        told(known("adjacent"), "인접대지 이격: ", r["adjacent"], "m 이상"), told(known("landscaping"), "조경: 대지면적의 ", r["landscaping"], "% 이상"), told(r["prohibited"] != "", "건축물 용도 제한: ", r["prohibited"]),
+        told(r["min_area"] != 0, "대지 분할 제한: 최소 ", r["min_area"], "m²"), told(r["daylight"], "채광 인동간격: 공동주택 높이 기준 이격 (건축법 §61②)"), told(r["n_zones"] > 1, "복수 용도지역 적용 (", r["n_zones"], "개) - 최엄격 기준 적용 (국토계획법 제76-77조)"),
+        F.when(kind("녹지"), "건축물 용도 제한 (녹지지역) — 시행령 별표 참조").when(kind("공업"), "환경오염 관련 규제 주의 (공업지역)").when(kind("자연환경보전"), "건축물 용도 극히 제한 (자연환경보전지역)"),
+    ]
+
+    def overlay(o: Column) -> Column:
+        height = F.when(o["low"].isNotNull() & o["high"].isNotNull(), F.concat(F.lit(" "), o["low"], F.lit("~"), o["high"])).when(o["high"].isNotNull(), F.concat(F.lit(" 최고 "), o["high"]))
+        return F.concat(F.when(height.isNotNull(), F.concat(F.lit("높이제한: "), o["name"], height, F.lit("m"))).otherwise(o["description"]), F.lit(" ("), o["article"], F.lit(")"))
+
+    none = F.array().cast("array<string>")
+    layers = F.coalesce(F.transform(overlays, overlay), none)
+    rest = F.array_except(F.coalesce(unmatched, none), F.concat(F.coalesce(recognised, none), F.coalesce(F.transform(overlays, lambda o: o["zone"]), none)))
+    unknown = F.array(told(F.size(rest) > 0, "미인식 용도지역: ", F.array_join(rest, ", "), " (수동 확인 필요)"))
+    return F.array_compact(F.concat(F.array(*site), layers, unknown))

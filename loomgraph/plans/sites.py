@@ -109,3 +109,26 @@ def request_intents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What a request in words asks of a design, and to which side its core is to go."""
     text = F.element_at(F.array(*map(F.lit, REQUESTS)), (F.col("p_partkey") % len(REQUESTS) + 1).cast("int"))
     return Tables(spark, sf_dir).part.select("p_partkey", sites.request_intents(text).alias("x")).select("p_partkey", "x.*")
+
+
+@query("""WITH s AS (SELECT s_suppkey AS k, CASE WHEN s_suppkey % 4 > 0 THEN 40 + s_suppkey % 30 END AS bcr, CASE WHEN s_suppkey % 9 > 0 THEN 100 + s_suppkey % 200 END AS far, CASE WHEN s_suppkey % 5 = 0 THEN s_suppkey % 3 END AS adj, s_suppkey % 4 AS nz,
+['녹지지역', '공업지역', '자연환경보전지역', '주거지역', NULL][s_suppkey % 5 + 1] AS cat FROM supplier)
+SELECT k AS s_suppkey, [x FOR x IN [CASE WHEN bcr IS NOT NULL THEN '건폐율 상한: ' || bcr || '%' END, CASE WHEN far IS NOT NULL THEN '용적률 상한: ' || far || '%' END, CASE WHEN k % 2 = 0 THEN '일조사선: 정북방향 H/2 이격' END,
+CASE WHEN k % 3 = 0 THEN '높이제한: 전면도로폭 × 1.5 (가로구역별 높이 미지정 시, 건축법 시행령 §82)' END, CASE WHEN k % 7 = 0 THEN '가각전제: 8m 미만 도로 모퉁이 (시행령 §31)' END, CASE WHEN adj IS NOT NULL THEN '인접대지 이격: ' || adj || 'm 이상' END,
+CASE WHEN k % 6 = 0 THEN '조경: 대지면적의 15% 이상' END, CASE WHEN k % 8 = 0 THEN '건축물 용도 제한: 공장' END, CASE WHEN k % 3 > 0 THEN '대지 분할 제한: 최소 ' || (k % 3 * 30) || 'm²' END, CASE WHEN k % 2 = 1 THEN '채광 인동간격: 공동주택 높이 기준 이격 (건축법 §61②)' END,
+CASE WHEN nz > 1 THEN '복수 용도지역 적용 (' || nz || '개) - 최엄격 기준 적용 (국토계획법 제76-77조)' END, CASE cat WHEN '녹지지역' THEN '건축물 용도 제한 (녹지지역) — 시행령 별표 참조' WHEN '공업지역' THEN '환경오염 관련 규제 주의 (공업지역)' WHEN '자연환경보전지역' THEN '건축물 용도 극히 제한 (자연환경보전지역)' END,
+CASE WHEN k % 4 = 1 THEN '높이제한: 고도지구 ' || (k % 10) || '~' || (k % 10 + 20) || 'm (조례 §1)' WHEN k % 4 = 2 THEN '높이제한: 고도지구 최고 ' || (k % 10 + 20) || 'm (조례 §1)' WHEN k % 4 = 3 THEN '경관 심의 (조례 §1)' END,
+CASE WHEN k % 4 = 0 THEN '미인식 용도지역: 기타, 고도 (수동 확인 필요)' ELSE '미인식 용도지역: 기타 (수동 확인 필요)' END] IF x IS NOT NULL] AS restrictions FROM s""")
+def site_restrictions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What binds each site in sentences, with overlays and the zones that nothing stands for."""
+    k = F.col("s_suppkey")
+    no_text = F.lit(None).cast("string")
+    rules = F.struct(
+        F.when(k % 4 > 0, 40 + k % 30).alias("bcr"), F.when(k % 9 > 0, 100 + k % 200).alias("far"), (k % 2 == 0).alias("sunlight"), F.when(k % 3 == 0, 1.5).alias("road_multiple"), (k % 7 == 0).alias("corner"),
+        F.when(k % 5 == 0, k % 3).alias("adjacent"), F.when(k % 6 == 0, 15).alias("landscaping"), F.when(k % 8 == 0, "공장").otherwise("").alias("prohibited"), (k % 3 * 30).alias("min_area"), (k % 2 == 1).alias("daylight"),
+        (k % 4).alias("n_zones"), F.element_at(F.array(F.lit("녹지지역"), F.lit("공업지역"), F.lit("자연환경보전지역"), F.lit("주거지역"), no_text), (k % 5 + 1).cast("int")).alias("category"),
+    )
+    layer = F.struct(F.lit("고도지구").alias("name"), F.lit("조례 §1").alias("article"), F.lit("경관 심의").alias("description"), F.lit("고도").alias("zone"), F.when(k % 4 == 1, k % 10).alias("low"), F.when(k % 4 < 3, k % 10 + 20).alias("high"))
+    zones = F.array(F.lit("기타"), F.lit("고도"), F.lit("알려짐"))
+    told = sites.restrictions(rules, F.when(k % 4 > 0, F.array(layer)), zones, F.array(F.lit("알려짐")))
+    return Tables(spark, sf_dir).supplier.select("s_suppkey", told.alias("restrictions"))

@@ -125,3 +125,18 @@ def intent_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The sequences that fit the words of a part's name, best first."""
     found = changes.match_sequences(F.col("p_name"), SEQUENCES, TERMS)
     return Tables(spark, sf_dir).part.select("p_partkey", F.posexplode(found).alias("nth", "x")).select("p_partkey", "nth", "x.*")
+
+
+@query("""SELECT DISTINCT l_partkey AS source, l_suppkey AS id, round(l_discount + 1e-9, 4) AS score FROM lineitem WHERE l_partkey IN (SELECT p_partkey FROM part WHERE p_size > 25)""")
+def cited_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunks of the sources that an answer used, with their scores at four digits, once each."""
+    t = Tables(spark, sf_dir)
+    used = t.part.filter("p_size > 25").select(F.col("p_partkey").alias("l_partkey"))
+    found = t.lineitem.join(used, "l_partkey", "left_semi").select(F.col("l_partkey").alias("source"), F.col("l_suppkey").alias("id"), F.round(F.col("l_discount") + 1e-9, 4).alias("score"))
+    return found.distinct()
+
+
+@query("""SELECT DISTINCT event_type AS label FROM events WHERE event_type NOT IN ('error', 'signup') AND value IS NOT NULL""")
+def labels_in_use(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels that have rows, without those of the system."""
+    return Tables(spark, sf_dir).events.filter("value IS NOT NULL AND event_type NOT IN ('error', 'signup')").select(F.col("event_type").alias("label")).distinct()
