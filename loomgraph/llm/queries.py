@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgraph.llm import bpe, exact_dedup, hard_negatives, langid, line_dedup, ngram_join, packing, quality, secrets, suffix_dedup, topk_search, url_filters
+from loomgraph.llm import bpe, exact_dedup, hard_negatives, langid, line_dedup, ngram_join, packing, quality, secrets, suffix_dedup, token_alignment, topk_search, url_filters
 from loomgraph.sources.tables import table
 
 
@@ -64,13 +64,17 @@ def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hard_negatives.hard_negatives(hard_negatives.relabelled(table(spark, sf_dir, "embeddings")), F.col("vec_id") % 100 == 0)
 
 
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_alignment.token_alignment(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"), tokenizer_file("piece_bpe_32k.model"))
+
+
 def op13_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = spark.createDataFrame(url_filters.RULES, "host string, path string, verdict string")
     return url_filters.url_verdicts(table(spark, sf_dir, "pages"), rules)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_ngram_jaccard_join, op2_exact_dedup, op3_bpe, op4_exact_topk, op5_line_dedup, op6_packing, op7_quality_classifier, op8_language_id, op9_suffix_dedup, op10_secret_scans, op11_hard_negatives, op13_url_filters)
+    f.__name__: f for f in (op1_ngram_jaccard_join, op2_exact_dedup, op3_bpe, op4_exact_topk, op5_line_dedup, op6_packing, op7_quality_classifier, op8_language_id, op9_suffix_dedup, op10_secret_scans, op11_hard_negatives, op12_token_alignment, op13_url_filters)
 }
 ORACLES: dict[str, str] = {
     "op2_exact_dedup": exact_dedup.ORACLE_SQL, "op4_exact_topk": topk_search.ORACLE_SQL, "op11_hard_negatives": hard_negatives.ORACLE_SQL, "op13_url_filters": url_filters.ORACLE_SQL,
