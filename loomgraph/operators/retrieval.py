@@ -25,12 +25,17 @@ def _matrix(column: pa.ChunkedArray) -> np.ndarray:
     return np.array(column.to_pylist(), np.float64).reshape(len(column), -1)
 
 
+def cosines(q: np.ndarray, r: np.ndarray, digits: int) -> np.ndarray:
+    """Cosines clipped to [0, 1]; 0 where a norm is 0."""
+    size = np.linalg.norm(q, axis=1)[:, None] * np.linalg.norm(r, axis=1)[None, :]
+    return np.round(np.clip(np.divide(q @ r.T, size, out=np.zeros_like(size), where=size > 0), 0, 1), digits)
+
+
 def _scores(q: np.ndarray, r: np.ndarray, metric: str, digits: int) -> np.ndarray:
-    """Larger is nearer: cosines clipped to [0, 1] (0 where a norm is 0), or negative distances."""
+    """Larger is nearer: cosines, or negative distances."""
     if metric == "l2":
         return -np.round(np.sqrt(np.maximum(0, (q * q).sum(1)[:, None] + (r * r).sum(1)[None, :] - 2 * (q @ r.T))), digits)
-    size = np.linalg.norm(q, axis=1)[:, None] * np.linalg.norm(r, axis=1)[None, :]
-    return np.round(np.clip(np.divide(q @ r.T, size, out=np.zeros_like(size), where=size > 0), 0, 1), digits)
+    return cosines(q, r, digits)
 
 
 def _blocks(queries: DataFrame, rows: DataFrame, query_id: str, row_id: str, query_rows: int, row_rows: int) -> tuple[DataFrame, DataFrame]:

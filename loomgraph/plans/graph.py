@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomgraph.operators import network
+from loomgraph.operators.leiden import leiden
 from loomgraph.plans.registry import registry
 from loomgraph.sources.tables import Tables
 
@@ -184,8 +185,8 @@ def community_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def community_detect(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Communities of three levels by weighted label propagation on the projection."""
-    return network.communities(community_projection(spark, sf_dir))
+    """Leiden communities of three levels on the projection."""
+    return leiden(community_projection(spark, sf_dir))
 
 
 @query("""WITH m AS (SELECT 'n' || c_nationkey AS community, c_custkey FROM customer UNION ALL SELECT 'r' || n_regionkey, c_custkey FROM customer JOIN nation ON c_nationkey = n_nationkey)

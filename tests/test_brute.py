@@ -1,11 +1,14 @@
 """Queries without a twin in SQL, against plain loops over the same tables."""
 
 from collections import Counter, defaultdict
+from itertools import combinations
 
 import pytest
 
+from loomgraph.operators.network import components
 from loomgraph.plans import catalogue
 from loomgraph.sources.tables import Tables
+from tests.test_leiden import connected, plain_leiden, quality
 from tests.test_sites import step_distance
 
 SF = "/root/testdata/sf0.001"
@@ -67,29 +70,65 @@ def test_farthest_first(spark, tables):
             picked.append(next(p for p in parts if p["p_partkey"] == key))
 
 
-def test_component_labels(spark):
-    got = run(spark, "component_labels")
-    names = got[0].__fields__
-    by = defaultdict(set)
-    for r in got:
-        by[r[names[1]]].add(r[names[0]])
-    assert len(got) == len({r[names[0]] for r in got}) == sum(map(len, by.values()))
-    assert all(min(nodes) == label for label, nodes in by.items())
+def shared_orders(tables):
+    """Weighted pairs of suppliers that share an order, by a plain loop."""
+    by_order = defaultdict(set)
+    for r in tables.lineitem.select("l_orderkey", "l_suppkey").collect():
+        by_order[r.l_orderkey].add(r.l_suppkey)
+    return [(*pair, float(n)) for pair, n in Counter(p for s in by_order.values() for p in combinations(sorted(s), 2)).items()]
 
 
-def test_community_levels_nest(spark):
-    """Levels are over the same nodes, and a community lies whole in one of the next level."""
-    got = run(spark, "community_detect")
+def test_component_labels(spark, tables):
+    edges = shared_orders(tables)
+    root = {}
+
+    def find(x):
+        while root.setdefault(x, x) != x:
+            x = root[x]
+        return x
+
+    for a, b, _ in edges:
+        low, high = sorted((find(a), find(b)))
+        root[high] = low
+    assert {(r.node, r.component) for r in run(spark, "component_labels")} == {(v, find(v)) for v in root}
+
+
+def test_components_of_many_kinds(spark):
+    """Paths, stars, rings and single edges, against union and find."""
+    edges = [(i, i + 1) for i in range(100, 160)] + [(200, i) for i in range(201, 260)] + [(300 + i, 300 + (i + 1) % 9) for i in range(9)] + [(400, 401), (403, 402), (402, 403), (500, 160), (7, 7)]
+    root = {}
+
+    def find(x):
+        while root.setdefault(x, x) != x:
+            x = root[x]
+        return x
+
+    for a, b in edges:
+        low, high = sorted((find(a), find(b)))
+        root[high] = low
+    got = {(r.node, r.component) for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {(v, find(v)) for v in root}
+
+
+def test_community_detect(spark, tables):
+    """Levels are over the same nodes and nest, communities are connected, and their modularity is a plain version's."""
+    edges = shared_orders(tables)
+    graph = defaultdict(lambda: defaultdict(float))
+    for a, b, w in edges:
+        graph[a][b] += w
+        graph[b][a] += w
     by_level = defaultdict(dict)
-    for r in got:
+    for r in run(spark, "community_detect"):
         by_level[r.level][r.node] = r.community
-    assert len({frozenset(x) for x in by_level.values()}) == 1 and sorted(by_level) == list(range(len(by_level)))
-    for level in range(1, len(by_level)):
-        up = defaultdict(set)
-        for node, c in by_level[level - 1].items():
-            up[c].add(by_level[level][node])
-        assert all(len(x) == 1 for x in up.values())
-    assert len(set(by_level[max(by_level)].values())) <= len(set(by_level[0].values())) < len(by_level[0])
+    assert sorted(by_level) == [0, 1, 2] and all(set(x) == set(graph) for x in by_level.values())
+    for level in by_level:
+        members = defaultdict(list)
+        for v, c in by_level[level].items():
+            members[c].append(v)
+        assert all(min(m) == c and connected(m, edges) for c, m in members.items())
+        if level:
+            assert all(by_level[level][v] == by_level[level][c] for v, c in by_level[level - 1].items())
+    assert quality(graph, by_level[2]) >= 0.99 * plain_leiden(edges)
 
 
 def test_statute_units(spark, tables):
