@@ -2,7 +2,9 @@
 
 Normalising and splitting follow the tokenizer file (NFC, white space as a
 break, lower case; contractions, letters, single digits, runs of the rest; byte
-level symbols, the last one with the end-of-word suffix). The merges of a piece
+level symbols, the last one with the end-of-word suffix); texts that hold code
+points newer than Python's own Unicode tables are normalised and split by the
+tokenizers library, whose tables may know them. The merges of a piece
 are found by a segment tree whose leaves hold the ranks of adjacent pairs: its
 root is the lowest rank and, among equals, the leftmost pair, and a merge is
 three point updates of logarithmic cost. So a piece of n symbols takes
@@ -38,6 +40,16 @@ CACHED, CACHED_LENGTH = 1_500_000, 48  # entries of a worker's cache, and the lo
 NO_PAIR = 1 << 62
 
 
+@lru_cache(maxsize=1)
+def unassigned() -> np.ndarray:
+    """For every code point whether Python's tables leave it without a category: newer tables may take it for a letter, or have another case for it."""
+    return np.fromiter((unicodedata.category(chr(i)) == "Cn" for i in range(0x110000)), bool, 0x110000)
+
+
+def holds_unassigned(text: str) -> bool:
+    return not text.isascii() and bool(unassigned()[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")].any())
+
+
 def byte_symbols() -> list[str]:
     """The character that stands for each byte: printable Latin-1 for itself, the rest from 256 upwards in order."""
     keep = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -96,6 +108,7 @@ class Codec:
     """Encoder and decoder for a tokenizer file of this kind."""
 
     def __init__(self, path: str):
+        self.path, self.library = path, None
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         self.vocab: dict[str, int] = spec["model"]["vocab"]
@@ -130,7 +143,21 @@ class Codec:
             self.chunks[chunk] = out
         return out
 
+    def _newer(self, text: str) -> list[int]:
+        """Normalising and splitting by the library, merging as ever."""
+        if self.library is None:
+            from tokenizers import Tokenizer
+
+            self.library = Tokenizer.from_file(self.path)
+        out: list[int] = []
+        for piece, _ in self.library.pre_tokenizer.pre_tokenize_str(self.library.normalizer.normalize_str(text)):
+            ids = [self.vocab.get(s) for s in piece[:-1]] + [self.vocab.get(piece[-1] + self.suffix)]
+            out += merge([i for i in ids if i is not None], self.pairs)
+        return out
+
     def _plain(self, text: str) -> list[int]:
+        if holds_unassigned(text):
+            return self._newer(text)
         if not unicodedata.is_normalized("NFC", text):
             text = unicodedata.normalize("NFC", text)
         text = text.replace("Σ", "σ").lower()  # each character for itself: no final form

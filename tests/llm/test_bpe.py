@@ -43,6 +43,21 @@ def test_equals_the_library():
         assert codec.encode(text) == ids and codec.decode(ids) == lib.decode(ids, skip_special_tokens=False)
 
 
+def test_every_code_point_equals_the_library():
+    codec, lib = Codec(PATH), Tokenizer.from_file(PATH)
+    points = [chr(i) for i in range(0x110000) if not 0xD800 <= i < 0xE000]
+    texts = [" ".join(f"a{c}1{c}b" for c in points[i : i + 64]) for i in range(0, len(points), 64)]
+    got = lib.encode_batch(texts, add_special_tokens=False)
+    assert [t for t, e in zip(texts, got) if codec.encode(t) != e.ids] == []
+
+
+def test_random_strings_of_all_planes_equal_the_library():
+    codec, lib, r = Codec(PATH), Tokenizer.from_file(PATH), random.Random(1)
+    ranges = [(0, 0xD800), (0xE000, 0x110000), (0, 0x3000), (0x10000, 0x20000), (0, 128)]
+    texts = ["".join(chr(r.randrange(*r.choice(ranges))) for _ in range(r.randrange(1, 40))) for _ in range(10_000)]
+    assert [t for t, e in zip(texts, lib.encode_batch(texts, add_special_tokens=False)) if codec.encode(t) != e.ids] == []
+
+
 def test_query_rows(spark):
     lib, data = Tokenizer.from_file(PATH), awkward() + [(100 + i, t, "en", "s", 0) for i, t in enumerate(ODD)]
     df = spark.createDataFrame(data, SCHEMA).selectExpr("*", "'x' as ids_sha256", "1 as n_tokens")
