@@ -27,9 +27,16 @@ def first_class(text: Column, classes: Iterable[tuple[str, str]], default: str)
 
 
 def strip_tags(html: Column) -> Column:
-    """Text of a page: scripts and styles dropped whole, tags to spaces, runs of space to one. The patterns hold no repeated group, so pages of any length are safe."""
-    no_code = F.regexp_replace(html, "(?is)<script\\b.*?</script\\s*>|<style\\b.*?</style\\s*>", " ")
-    return F.trim(F.regexp_replace(F.regexp_replace(no_code, "<[^>]*>", " "), "\\s+", " "))
+    """Text of a page: scripts and styles dropped whole, tags to spaces, runs of space to one.
+
+    A script or style without an end tag lasts to the end of the page, as
+    browsers read it. Pages of any length take linear time: every start tag is
+    met by an end, and tags are looked for only before the last ``>``.
+    """
+    no_code = F.regexp_replace(html, r"(?is)<(script|style)\b.*?(?:</\1\s*>|\z)", " ")
+    tail = F.substring_index(no_code, ">", -1)
+    head = F.substr(no_code, F.lit(1), F.length(no_code) - F.length(tail))
+    return F.trim(F.regexp_replace(F.concat(F.regexp_replace(head, "<[^>]*>", " "), tail), "\\s+", " "))
 
 
 def h_mm_ss(seconds: Column) -> Column:
