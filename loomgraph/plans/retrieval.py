@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomgraph.operators import retrieval as R
+from loomgraph.operators.keyword_index import KeywordIndex
 from loomgraph.operators.vector_index import VectorIndex
 from loomgraph.plans.registry import registry
 from loomgraph.session import written
@@ -260,6 +261,22 @@ def project_without_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.withColumns({"dims": F.size("embedding"), "labels": F.when(F.size(labels) == 0, F.array(F.lit("*"))).otherwise(labels)}).drop("embedding")
 
 
+_W = r"[^\p{L}\p{N}]+"
+
+
+@query(f"""WITH d AS (SELECT doc_id, list_filter(string_split_regex(lower(text), '{_W}'), lambda w: w <> '') AS words FROM documents WHERE text IS NOT NULL),
+n AS (SELECT count(*) AS n, avg(len(words)) AS mean FROM d), tf AS (SELECT doc_id, len(words) AS size, unnest(words) AS term FROM d),
+t AS (SELECT doc_id, size, term, count(*) AS tf FROM tf GROUP BY ALL), df AS (SELECT term, count(*) AS df FROM t GROUP BY 1),
+q AS (SELECT DISTINCT item_id, unnest(list_filter(string_split_regex(lower(text), '{_W}'), lambda w: w <> '')) AS term FROM benchmark),
+s AS (SELECT item_id, doc_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * size / mean))), 6) AS score FROM q JOIN t USING (term) JOIN df USING (term) CROSS JOIN n GROUP BY 1, 2)
+SELECT item_id, doc_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM s) WHERE rank <= 10""")
+def keyword_index_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best documents for each benchmark passage by BM25, from stored posting lists."""
+    t = Tables(spark, sf_dir)
+    found = KeywordIndex.build(t.documents).search(t.benchmark, 10, "item_id", "text")
+    return found.select(F.col("query_id").alias("item_id"), F.col("id").alias("doc_id"), "score", "rank")
+
+
 @query()
 def vector_index_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ten nearest rows as an inverted-file index finds them that probes two thirds of its lists: these vectors hardly cluster, and a recall of 0.9 asks for as many."""
