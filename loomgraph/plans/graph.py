@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomgraph.operators import network
+from loomgraph.operators.entities import duplicate_pairs, maximal_groups
 from loomgraph.operators.leiden import leiden
 from loomgraph.plans.registry import registry
 from loomgraph.sources.tables import Tables
@@ -148,10 +149,20 @@ WHERE contains(a.name, b.name) OR contains(b.name, a.name) OR (length(a.name) >
 SELECT a, b FROM x""")
 def entity_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Likely duplicates of the same label: one name within the other, or an edit distance below three."""
-    p = Tables(spark, sf_dir).part.select("p_partkey", "p_brand", F.lower("p_name").alias("name"))
-    a, b = (p.select("p_brand", F.col("p_partkey").alias(k), F.col("name").alias(f"n{k}")) for k in "ab")
-    near = (F.length("na") > 5) & (F.length("nb") > 5) & (F.levenshtein("na", "nb", 2) >= 0)
-    return a.join(b, "p_brand").filter((F.col("a") < F.col("b")) & (F.contains("na", "nb") | F.contains("nb", "na") | near)).select("a", "b")
+    return duplicate_pairs(Tables(spark, sf_dir).part, "p_partkey", "p_brand", "p_name")
+
+
+@query("""WITH p AS (SELECT p_partkey, p_brand, lower(p_name) AS name, embedding::DOUBLE[] AS e FROM part LEFT JOIN embeddings ON vec_id = p_partkey),
+x AS (SELECT a.p_partkey AS a, b.p_partkey AS b FROM p a JOIN p b ON a.p_brand = b.p_brand AND a.p_partkey <> b.p_partkey
+WHERE contains(a.name, b.name) OR contains(b.name, a.name) OR (length(a.name) > 5 AND length(b.name) > 5 AND levenshtein(a.name, b.name) < 3) OR coalesce(round(list_cosine_similarity(a.e, b.e), 6) >= 0.3, false)),
+g AS (SELECT a, list_sort(list_distinct(list_append(list(b), a))) AS m FROM x GROUP BY a)
+SELECT a AS node, len(m) AS size, array_to_string(m, ',') AS members FROM g WHERE NOT EXISTS (SELECT 1 FROM g h WHERE h.a <> g.a AND list_has_all(h.m, g.m) AND (len(h.m) > len(g.m) OR h.a < g.a))""")
+def entity_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of likely duplicates by name or vector, without those that lie within a larger one."""
+    t = Tables(spark, sf_dir)
+    entities = t.part.join(t.embeddings.select(F.col("vec_id").alias("p_partkey"), "embedding"), "p_partkey", "left")
+    groups = maximal_groups(duplicate_pairs(entities, "p_partkey", "p_brand", "p_name", "embedding", 0.3))
+    return groups.groupBy("node").agg(F.count(F.lit(1)).alias("size"), F.array_join(F.sort_array(F.collect_list("member")), ",").alias("members"))
 
 
 @query("""WITH m AS (SELECT p_partkey, min(p_partkey) OVER (PARTITION BY p_brand, p_type) AS canon FROM part),
