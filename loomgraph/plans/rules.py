@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from loomgraph.functions import site
 from loomgraph.functions.text import half_up_spaces
+from loomgraph.operators import spatial
 from loomgraph.plans.registry import registry
 from loomgraph.sources.tables import Tables
 
@@ -218,13 +219,36 @@ d AS (SELECT s_suppkey, c_custkey, x, y, x1, y1, x2, y2, CASE WHEN x1 = x2 AND y
 e AS (SELECT s_suppkey, c_custkey, round(sqrt((x - x1 - t * (x2 - x1)) ** 2 + (y - y1 - t * (y2 - y1)) ** 2), 6) AS dist FROM d)
 SELECT s_suppkey, c_custkey AS line, dist FROM (SELECT *, row_number() OVER (PARTITION BY s_suppkey ORDER BY dist, c_custkey) AS r FROM e) WHERE r = 1 AND dist < 2""")
 def nearest_line(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The nearest segment of each point's cell, if it is within two units."""
+    """The nearest segment of each point's nation, if it is within two units: only what shares a cell of the grid is measured."""
     t = Tables(spark, sf_dir)
-    p = t.supplier.select("s_suppkey", F.col("s_nationkey").alias("cell"), (F.col("s_suppkey") % 17).alias("x"), (F.col("s_suppkey") % 13).alias("y"))
+    p = t.supplier.select(F.col("s_suppkey").alias("point"), F.col("s_nationkey").alias("nation"), (F.col("s_suppkey") % 17).alias("x"), (F.col("s_suppkey") % 13).alias("y"))
+    return spatial.nearest_within(p, segments(t), 2.0, ("nation",)).filter("dist < 2").select(F.col("point").alias("s_suppkey"), "line", "dist")
+
+
+def segments(t: Tables) -> DataFrame:
     k = F.col("c_custkey")
-    line = t.customer.select("c_custkey", F.col("c_nationkey").alias("cell"), (k % 11).alias("x1"), (k % 7).alias("y1"), (k % 19).alias("x2"), (k % 23).alias("y2"))
-    from loomgraph.functions.geometry import point_segment
+    return t.customer.select(k.alias("line"), F.col("c_nationkey").alias("nation"), (k % 11).alias("x1"), (k % 7).alias("y1"), (k % 19).alias("x2"), (k % 23).alias("y2"))
+
 
-    d = p.join(line, "cell").withColumn("dist", F.round(point_segment(*map(F.col, ("x", "y", "x1", "y1", "x2", "y2"))), 6))
-    best = d.groupBy("s_suppkey").agg(F.min(F.struct("dist", "c_custkey")).alias("b"))
-    return best.filter("b.dist < 2").select("s_suppkey", F.col("b.c_custkey").alias("line"), "b.dist")
+@query("""WITH p AS (SELECT s_suppkey, s_acctbal / 100 AS x, s_suppkey * 7 % 90 AS y FROM supplier), l AS (SELECT c_custkey, c_custkey % 61 AS x1, c_custkey % 37 AS y1, c_custkey % 61 + c_custkey % 5 - 2 AS x2, c_custkey % 37 + c_custkey % 7 - 3 AS y2 FROM customer),
+d AS (SELECT *, CASE WHEN x1 = x2 AND y1 = y2 THEN 0 ELSE greatest(0, least(1, ((x - x1) * (x2 - x1) + (y - y1) * (y2 - y1))::DOUBLE / ((x2 - x1) * (x2 - x1) + (y2 - y1) * (y2 - y1)))) END AS t FROM p CROSS JOIN l),
+e AS (SELECT s_suppkey, c_custkey, round(sqrt((x - x1 - t * (x2 - x1)) ** 2 + (y - y1 - t * (y2 - y1)) ** 2), 6) AS dist FROM d)
+SELECT s_suppkey, c_custkey AS line, dist FROM (SELECT *, row_number() OVER (PARTITION BY s_suppkey ORDER BY dist, c_custkey) AS r FROM e) WHERE r = 1""")
+def nearest_line_anywhere(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The nearest segment of each point at whatever distance, by rings over ever coarser grids."""
+    t = Tables(spark, sf_dir)
+    k, s = F.col("c_custkey"), F.col("s_suppkey")
+    p = t.supplier.select(s.alias("point"), (F.col("s_acctbal") / 100).alias("x"), (s * 7 % 90).alias("y"))
+    line = t.customer.select(k.alias("line"), (k % 61).alias("x1"), (k % 37).alias("y1"), (k % 61 + k % 5 - 2).alias("x2"), (k % 37 + k % 7 - 3).alias("y2"))
+    return spatial.nearest(p, line).select(F.col("point").alias("s_suppkey"), "line", "dist")
+
+
+@query("""WITH l AS (SELECT c_custkey AS line, c_nationkey AS nation, c_custkey % 11 AS x1, c_custkey % 7 AS y1, c_custkey % 19 AS x2, c_custkey % 23 AS y2 FROM customer),
+e AS (SELECT line, nation, 1 AS nth, x1 AS x, y1 AS y FROM l UNION ALL SELECT line, nation, 2, x2, y2 FROM l),
+d AS (SELECT e.line, e.nth, l.line AS other, x, y, x1, y1, x2, y2, CASE WHEN x1 = x2 AND y1 = y2 THEN 0 ELSE greatest(0, least(1, ((x - x1) * (x2 - x1) + (y - y1) * (y2 - y1))::DOUBLE / ((x2 - x1) * (x2 - x1) + (y2 - y1) * (y2 - y1)))) END AS t FROM e JOIN l USING (nation)),
+f AS (SELECT line, other, nth FROM d WHERE round(sqrt((x - x1 - t * (x2 - x1)) ** 2 + (y - y1 - t * (y2 - y1)) ** 2), 6) <= 1.5)
+SELECT line, other FROM f WHERE line <> other GROUP BY 1, 2 HAVING count(DISTINCT nth) = 2""")
+def adjacent_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Segments of a nation both of whose ends lie within 1.5 units of another one."""
+    s = segments(Tables(spark, sf_dir))
+    return spatial.adjacent(s, s, 1.5, ("nation",)).filter("line <> other").select("line", "other")
