@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from loomgraph.plans.registry import registry
 from loomgraph.sources.tables import Tables
 from loomgraph.streaming import events as S
+from loomgraph.streaming import joins, timers
 
 QUERIES, ORACLES, query = registry()
 
@@ -78,3 +79,32 @@ def progress_throttle(spark: SparkSession, sf_dir: str) -> DataFrame:
 def replay_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
     step = F.concat(F.col("turn").cast("string"), F.lit(":"), "role")
     return Tables(spark, sf_dir).conversations.groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", step.alias("s")))), lambda x: x["s"]), " > ").alias("replay"))
+
+
+@query("""WITH c AS (SELECT user_id, event_id AS click, ts FROM events WHERE event_type = 'click'), p AS (SELECT user_id, event_id AS purchase, ts FROM events WHERE event_type = 'purchase'),
+m AS (SELECT least((SELECT max(ts) FROM c), (SELECT max(ts) FROM p)) - INTERVAL 10 MINUTES AS mark),
+j AS (SELECT c.user_id, click, purchase, c.ts FROM c LEFT JOIN p ON p.user_id = c.user_id AND p.ts BETWEEN c.ts AND c.ts + INTERVAL 2 HOURS)
+SELECT user_id, click, purchase FROM j, m WHERE purchase IS NOT NULL OR ts + INTERVAL 2 HOURS < mark""")
+def stream_interval_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Clicks with the same user's purchases of the next two hours, by a join of two streams; clicks without any come out once their time is over, those of the last hours are still open."""
+    of = lambda kind, name, ts: S.read_events(spark, sf_dir).filter(F.col("event_type") == kind).select("user_id", F.col("event_id").alias(name), F.col("ts").alias(ts))
+    joined = joins.interval_join(of("click", "click", "clicked"), of("purchase", "purchase", "bought"), "user_id", "clicked", "bought", "0 SECONDS", "2 HOURS", "10 minutes", "leftOuter")
+    return S.run_to_end(joined.select("user_id", "click", "purchase"), "append")
+
+
+@query("""WITH g AS (SELECT *, (ts >= lag(ts) OVER w + INTERVAL 30 MINUTES OR lag(ts) OVER w IS NULL)::INT AS brk FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+s AS (SELECT *, sum(brk) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS session FROM g),
+t AS (SELECT user_id, session::BIGINT AS session, count(*) AS fragments, string_agg(event_type, ' ' ORDER BY ts, event_id) AS transcript, max(ts) AS last FROM s GROUP BY 1, 2)
+SELECT user_id, session, fragments, transcript FROM t WHERE session < (SELECT max(session) FROM t u WHERE u.user_id = t.user_id) OR last + INTERVAL 30 MINUTES <= (SELECT max(ts) FROM events) - INTERVAL 10 MINUTES""")
+def stream_transcripts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The transcripts of ``session_buffer`` by a stream with state and timers; buffers whose time-out the watermark hasn't reached stay open."""
+    stream = timers.transcript_stream(S.read_events(spark, sf_dir), "user_id", "ts", "event_id", "event_type", 30 * 60, "10 minutes")
+    return timers.run_with_timers(stream, S.run_to_end)
+
+
+@query()
+def token_limit_waits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """When each event of a user may go under a limit of 300 units in six hours, first come first served."""
+    e = Tables(spark, sf_dir).events.withColumn("ts", F.col("ts").cast("timestamp")).withColumn("tokens", F.ceil("value"))
+    found = timers.token_limited(e, "user_id", "ts", "event_id", "tokens", 300, 6 * 3600)
+    return found.select("user_id", F.col("id").alias("event_id"), (F.col("released") - F.col("at")).alias("waited_ms"))

@@ -48,7 +48,7 @@ def test_oracle(spark, duck, name):
 
 
 def test_the_rest_has_a_brute_force_test():
-    from tests import test_brute, test_pareto, test_sites, test_tracking, test_vector_index
+    from tests import test_brute, test_pareto, test_sites, test_timers, test_tracking, test_vector_index
 
-    tested = {name for m in (test_brute, test_pareto, test_sites, test_tracking, test_vector_index) for name in m.QUERIES}
+    tested = {name for m in (test_brute, test_pareto, test_sites, test_timers, test_tracking, test_vector_index) for name in m.QUERIES}
     assert set(catalogue.QUERIES) - set(catalogue.ORACLES) == tested
