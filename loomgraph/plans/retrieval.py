@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from loomgraph.operators import retrieval as R
 from loomgraph.operators.keyword_index import KeywordIndex
+from loomgraph.operators.semantic import expand
 from loomgraph.operators.vector_index import VectorIndex
 from loomgraph.plans.registry import registry
 from loomgraph.session import written
@@ -291,3 +292,36 @@ def vector_index_within(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All rows of a cosine of 0.3 or more, by the index: exact, as lists too far off by their angle can't hold any."""
     t = Tables(spark, sf_dir)
     return VectorIndex.build(t.embeddings).within(asked(t), 0.3).select("query_id", "vec_id", "score", "rank")
+
+
+EXPANDED = f"""WITH RECURSIVE {SCORED}, n AS (SELECT vec_id AS id, CASE WHEN vec_id % 3 = 0 THEN 'chapter' ELSE 'article' END AS kind, embedding::DOUBLE[] AS v FROM embeddings),
+edges AS (SELECT id AS src, id // 10 AS dst, 'parent' AS type FROM n WHERE id >= 10 UNION SELECT id // 10, id, 'child' FROM n WHERE id >= 10 UNION SELECT a.id, b.id, 'sibling' FROM n a JOIN n b ON abs(a.id - b.id) = 1),
+q AS (SELECT id AS query_id, v FROM n WHERE id % 20 = 0),
+s AS (SELECT q.query_id, n.id AS node, round(1 - round(greatest(0.0, least(1.0, list_cosine_similarity(q.v, n.v))), 6), 9) AS cost, row_number() OVER (PARTITION BY q.query_id ORDER BY round(greatest(0.0, least(1.0, list_cosine_similarity(q.v, n.v))), 6) DESC, n.id) AS r FROM q CROSS JOIN n WHERE kind = 'article'),
+c AS (SELECT q.query_id, src, dst, CASE WHEN type = 'sibling' THEN 1 - round(greatest(0.0, least(1.0, list_cosine_similarity(q.v, n.v))), 6) ELSE 0.0 END AS step FROM q CROSS JOIN edges JOIN n ON n.id = dst),
+w AS (SELECT query_id, node, cost FROM s WHERE r <= 10 AND cost <= 1 UNION SELECT w.query_id, c.dst, round(w.cost + c.step, 9) FROM w JOIN c ON c.query_id = w.query_id AND c.src = w.node WHERE w.cost + c.step <= 1.000000001),
+b AS (SELECT query_id, node AS id, min(cost) AS cost FROM w JOIN n ON n.id = node AND kind = 'article' GROUP BY 1, 2)
+SELECT query_id, id, round(1 - cost, 4) AS relevance, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY cost, id) AS rank FROM b)"""
+
+
+def _law_graph(t: Tables) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Questions, nodes and edges: a tree by tens over the vectors, neighbours as siblings."""
+    i = F.col("vec_id")
+    nodes = t.embeddings.select(i.alias("id"), F.when(i % 3 == 0, "chapter").otherwise("article").alias("kind"), "embedding")
+    up = F.floor(i / 10).cast("long")
+    tree = t.embeddings.filter("vec_id >= 10")
+    aside = t.embeddings.select(i.alias("src"), F.explode(F.array(i - 1, i + 1)).alias("dst"), F.lit("sibling").alias("type"))
+    edges = tree.select(i.alias("src"), up.alias("dst"), F.lit("parent").alias("type")).unionByName(tree.select(up.alias("src"), i.alias("dst"), F.lit("child").alias("type"))).unionByName(aside)
+    return asked(t).select("query_id", "qe"), nodes, edges
+
+
+@query(EXPANDED)
+def semantic_range(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Articles within a cost of one over several hops from each question's ten nearest."""
+    return expand(*_law_graph(Tables(spark, sf_dir)), seeds=10, least=0.0).drop("via")
+
+
+@query(f"SELECT * FROM ({EXPANDED}) WHERE rank <= 5")
+def semantic_first_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first five articles of the same expansion, in order of relevance."""
+    return expand(*_law_graph(Tables(spark, sf_dir)), seeds=10, least=0.0, first=5).drop("via")
