@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from loomgraph.operators import procedures
 from loomgraph.operators import retrieval as R
 from loomgraph.operators.keyword_index import KeywordIndex
 from loomgraph.operators.semantic import expand
@@ -325,3 +326,28 @@ def semantic_range(spark: SparkSession, sf_dir: str) -> DataFrame:
 def semantic_first_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first five articles of the same expansion, in order of relevance."""
     return expand(*_law_graph(Tables(spark, sf_dir)), seeds=10, least=0.0, first=5).drop("via")
+
+
+@query(f"""WITH {SCORED} SELECT vec_id, score, row_number() OVER (ORDER BY score DESC, vec_id) AS rank FROM scored WHERE query_id = 20 AND label <> 3 QUALIFY rank <= 8""")
+def procedure_vector_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The nearest rows of vector 20 that aren't of label 3, by a table function that SQL calls over a view of the caller's own."""
+    t = Tables(spark, sf_dir)
+    t.embeddings.filter("label <> 3 and vec_id <> 20").createOrReplaceTempView("loom_vectors")
+    procedures.register_vector_query(spark, "loom_vector_query", "loom_vectors", "vec_id", "embedding")
+    t.embeddings.filter("vec_id = 20").createOrReplaceTempView("loom_asked")
+    return spark.sql("SELECT vec_id, score, rank FROM loom_vector_query((SELECT CAST(embedding AS ARRAY<DOUBLE>) FROM loom_asked), 8)")
+
+
+_LINKS = "WITH e AS (SELECT DISTINCT l_orderkey AS a, l_suppkey + 1000000000 AS b FROM lineitem UNION SELECT l_suppkey + 1000000000, l_orderkey FROM lineitem)"
+
+
+@query(f"""{_LINKS}, s AS (SELECT min(l_suppkey) + 1000000000 AS s FROM lineitem), h0 AS (SELECT s AS node, 0 AS hops FROM s), h1 AS (SELECT DISTINCT b AS node, 1 AS hops FROM h0 JOIN e ON a = node), h2 AS (SELECT DISTINCT b AS node, 2 AS hops FROM h1 JOIN e ON a = node)
+SELECT node, min(hops) AS hops FROM (SELECT * FROM h0 UNION ALL SELECT * FROM h1 UNION ALL SELECT * FROM h2) GROUP BY node""")
+def procedure_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders and suppliers within two steps of the first supplier, by a table function."""
+    o, s = F.col("l_orderkey"), F.col("l_suppkey") + 1_000_000_000
+    lines = Tables(spark, sf_dir).lineitem
+    lines.select(o.alias("a"), s.alias("b")).unionByName(lines.select(s.alias("a"), o.alias("b"))).distinct().createOrReplaceTempView("loom_links")
+    lines.agg(F.min(s).alias("s")).createOrReplaceTempView("loom_start")
+    procedures.register_neighbours(spark, "loom_neighbours", "loom_links", "a", "b")
+    return spark.sql("SELECT node, hops FROM loom_neighbours((SELECT s FROM loom_start), 2)")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -9,6 +11,8 @@ from loomgraph.functions import site
 from loomgraph.functions.text import half_up_spaces
 from loomgraph.operators import spatial
 from loomgraph.plans.registry import registry
+from loomgraph.session import shared_dir
+from loomgraph.sources import cache
 from loomgraph.sources.tables import Tables
 
 QUERIES, ORACLES, query = registry()
@@ -252,3 +256,19 @@ def adjacent_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Segments of a nation both of whose ends lie within 1.5 units of another one."""
     s = segments(Tables(spark, sf_dir))
     return spatial.adjacent(s, s, 1.5, ("nation",)).filter("line <> other").select("line", "other")
+
+
+@query("""SELECT c_custkey, CASE WHEN kx % 10 = 3 AND ky % 2 = 0 THEN NULL WHEN kx % 10 = 3 THEN 7.0 ELSE (kx * 3 + ky)::DOUBLE END AS value,
+CASE WHEN kx IS NULL THEN 'none' WHEN kx % 10 = 3 AND ky % 2 = 0 THEN 'failed' WHEN kx % 10 = 3 THEN 'fallback' ELSE 'primary' END AS origin
+FROM (SELECT c_custkey, (c_custkey % 400 + 3)::BIGINT AS kx, round(c_acctbal)::BIGINT AS ky FROM customer)""")
+def elevation_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Values of places through a cache that half of them have filled before: each place is asked for once, a fallback tells some, some stay unknown."""
+    t = Tables(spark, sf_dir)
+    places = t.customer.select("c_custkey", ((F.col("c_custkey") % 400 + 3) / 100000).alias("x"), (F.round("c_acctbal") / 100000).alias("y"))
+    odd = F.pmod(F.round(F.col("x") * 100000).cast("long"), F.lit(10)) == 3
+    even = F.round(F.col("y") * 100000).cast("long") % 2 == 0
+    primary = lambda p: p.select("x", "y", F.when(~odd, F.round(F.col("x") * 100000) * 3 + F.round(F.col("y") * 100000)).alias("value"))
+    fallback = lambda p: p.select("x", "y", F.when(~even, 7.0).alias("value"))
+    path = f"{shared_dir(spark)}/loom-elevations-{uuid.uuid4().hex}"
+    cache.read_through(places.filter("c_custkey % 2 = 0"), path, primary, fallback)
+    return cache.read_through(places, path, primary, fallback).select("c_custkey", "value", "origin")
