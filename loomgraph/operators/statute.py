@@ -94,6 +94,24 @@ def unit_edges(units_: DataFrame) -> DataFrame:
     return contains.unionByName(nxt)
 
 
+def typed_ids(units_: DataFrame, laws: DataFrame) -> DataFrame:
+    """Units whose ids name the kind of their law as well, ``law(category)::...``, by ``laws(doc, category)``; units of a law without a category keep their ids."""
+    kind = laws.filter("category is not null").select("doc", F.concat("doc", F.lit("("), "category", F.lit(")")).alias("_named")).dropDuplicates(["doc"])
+    joined = units_.join(kind, "doc", "left")
+    typed = lambda c: F.when(F.col("_named").isNotNull() & F.startswith(F.col(c), F.col("doc")), F.concat("_named", F.substr(c, F.length("doc") + 1))).otherwise(F.col(c))
+    return joined.withColumns({"full_id": typed("full_id"), "parent_id": typed("parent_id")}).select(*units_.columns)
+
+
+def resolved_articles(rules: DataFrame, citations: DataFrame, articles: DataFrame) -> DataFrame:
+    """``rule_id, article_id, title`` of the articles that rules cite: ``rules(rule_id)``, ``citations(rule_id, article_id)``, ``articles(article_id, title)``.
+
+    A rule that cites nothing has one row with nulls; a cited article that isn't
+    known keeps its id and has a null title. Repeated citations count once.
+    """
+    cited = citations.select("rule_id", "article_id").distinct().join(articles.select("article_id", "title").dropDuplicates(["article_id"]), "article_id", "left")
+    return rules.select("rule_id").distinct().join(cited, "rule_id", "left").select("rule_id", "article_id", "title")
+
+
 def delegations(units_: DataFrame) -> DataFrame:
     """``from_id, delegation_type, pattern_found, context`` for each phrase of ``units_(full_id, content)`` that hands a matter down, 50 characters around it; a phrase within another counts too."""
 

@@ -256,6 +256,22 @@ def edge_cost_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return g.select("event_id", F.when(~closed, F.round(F.col("value") + F.coalesce("p", F.lit(0.0)), 4)).alias("cost"))
 
 
+@query(f"""WITH RECURSIVE {ROADS}, o AS (SELECT src, dst, cost + CASE src % 6 WHEN 2 THEN 7.0 WHEN 3 THEN 4.0 WHEN 5 THEN 3.0 ELSE 0.0 END AS cost FROM e WHERE NOT ((src % 6 = 0 AND dst % 2 = 0) OR src % 6 = 1)),
+r AS (SELECT n_nationkey AS origin, n_nationkey AS node, 0.0::DOUBLE AS cost FROM nation UNION SELECT origin, dst, r.cost + o.cost FROM r JOIN o ON o.src = r.node WHERE r.cost + o.cost <= 60)
+SELECT origin, node, min(cost) AS cost FROM r GROUP BY 1, 2""")
+def contextual_range(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nodes within 60 for a lorry of 12 tons an axle at 23:00: weight limits and a ban over midnight close roads, bus lanes, tolls and school zones add, permits and unknown rules do nothing."""
+    t = Tables(spark, sf_dir)
+    rules = spark.createDataFrame(
+        [("0-0", "weightLimit", 10.0, None, None, None), ("1-0", "timeBan", None, 22 * 3600, 6 * 3600, None), ("1-1", "timeBan", None, 22 * 3600, 6 * 3600, None), ("2-0", "busOnly", None, None, None, 7.0), ("2-1", "busOnly", None, None, None, 7.0),
+         ("3-0", "toll", None, None, None, 4.0), ("3-1", "toll", None, None, None, 4.0), ("4-0", "permitBased", None, None, None, None), ("4-1", "curfew", 1.0, None, None, 9.0), ("5-0", "schoolZone", None, None, None, 3.0), ("5-1", "schoolZone", None, None, None, 3.0)],
+        "zone_id string, type string, limit double, start long, end long, penalty double",
+    )
+    edges = roads(t).select("src", "dst", F.col("cost").alias("base_cost"), F.concat_ws("-", F.col("src") % 6, F.col("dst") % 2).alias("zone_id"))
+    open_ = network.edge_costs(edges, rules, "truck", 23 * 3600, axle_weight=12.0)
+    return network.range_expansion(t.nation.select(F.col("n_nationkey").alias("origin")), open_, 60.0)
+
+
 @query("""SELECT o_orderpriority, n_name, count(*) AS citations FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON n_nationkey = c_nationkey GROUP BY 1, 2""")
 def citation_trace(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = Tables(spark, sf_dir)

@@ -351,3 +351,28 @@ def procedure_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines.agg(F.min(s).alias("s")).createOrReplaceTempView("loom_start")
     procedures.register_neighbours(spark, "loom_neighbours", "loom_links", "a", "b")
     return spark.sql("SELECT node, hops FROM loom_neighbours((SELECT s FROM loom_start), 2)")
+
+
+@query(f"""WITH {SCORED}, h AS (SELECT query_id, vec_id AS entity, CASE WHEN score > 0.9 THEN 2 WHEN score >= 0.3 THEN 1 ELSE 0 END AS steps, CASE WHEN score > 0.9 THEN 40 ELSE 20 END AS most FROM ranked WHERE rank <= 10),
+l AS (SELECT a.vec_id AS src, b.vec_id AS dst FROM embeddings a JOIN embeddings b ON b.vec_id IN (a.vec_id + 1, a.vec_id * 2, a.vec_id // 3)),
+b AS (SELECT src AS a, dst AS b FROM l UNION SELECT dst, src FROM l),
+m AS (SELECT query_id, entity, most, b AS n, 1 AS hops FROM h JOIN b ON a = entity WHERE steps > 0 UNION ALL SELECT query_id, entity, most, y.b, 2 FROM h JOIN b x ON x.a = entity JOIN b y ON y.a = x.b WHERE steps > 1),
+d AS (SELECT query_id, entity, most, n, min(hops) AS hops FROM m WHERE n <> entity GROUP BY ALL),
+k AS (SELECT *, row_number() OVER (PARTITION BY query_id, entity ORDER BY hops, n) AS nth FROM d)
+SELECT query_id, entity AS entity_id, n AS neighbour, hops FROM k WHERE nth <= most""")
+def graph_vector_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Neighbours of each question's ten nearest entities along a graph, as many steps and nodes as the similarity allows."""
+    t = Tables(spark, sf_dir)
+    i = F.col("vec_id")
+    e = t.embeddings.select(i.alias("src"), F.explode(F.array(i + 1, i * 2, F.floor(i / 3).cast("long"))).alias("dst"))
+    links = e.join(t.embeddings.select(i.alias("dst")), "dst", "left_semi").select("src", "dst")
+    return R.neighbourhood(near(t, 10).select("query_id", F.col("vec_id").alias("entity_id"), "score"), links)
+
+
+@query(f"""WITH {SCORED}, h AS (SELECT * FROM ranked WHERE rank <= 10)
+SELECT query_id, count(*) AS used, round(avg(score), 6) AS mean_score, string_agg('label ' || label || ' of ' || vec_id, chr(10) || chr(10) ORDER BY rank) AS summaries FROM h GROUP BY 1""")
+def global_community_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten nearest community summaries of each question, joined in order, with their mean score."""
+    h = near(Tables(spark, sf_dir), 10).withColumn("s", F.concat(F.lit("label "), "label", F.lit(" of "), "vec_id"))
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "s"))), lambda x: x["s"]), "\n\n")
+    return h.groupBy("query_id").agg(F.count(F.lit(1)).alias("used"), F.round(F.avg("score"), 6).alias("mean_score"), text.alias("summaries"))

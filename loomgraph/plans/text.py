@@ -201,6 +201,32 @@ def statute_units(spark: SparkSession, sf_dir: str) -> DataFrame:
     return statute.units(lines.select(F.concat(F.lit("doc"), F.col("k")).alias("doc"), "line_number", "text"))
 
 
+@query("""WITH k AS (SELECT o_orderkey AS k, 'doc' || o_orderkey || CASE o_orderstatus WHEN 'F' THEN '(법률)' WHEN 'O' THEN '(시행령)' ELSE '' END AS law FROM orders),
+jo AS (SELECT k, law, law || '::JO:' || k || '조' AS id FROM k), hang AS (SELECT DISTINCT k, id AS up, id || '::HANG:①' AS id FROM jo JOIN lineitem ON l_orderkey = k WHERE l_linenumber = 1),
+ho AS (SELECT DISTINCT k, id AS up, id || '::HO:' || l_linenumber AS id, l_linenumber AS n FROM hang JOIN lineitem ON l_orderkey = k WHERE l_linenumber > 1)
+SELECT law AS src, id AS dst, 'CONTAINS' AS type FROM jo UNION ALL SELECT up, id, 'CONTAINS' FROM hang UNION ALL SELECT up, id, 'CONTAINS' FROM ho
+UNION ALL SELECT * FROM (SELECT id AS src, lead(id) OVER (PARTITION BY up ORDER BY n) AS dst, 'NEXT' AS type FROM ho) WHERE dst IS NOT NULL""")
+def statute_unit_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """CONTAINS and NEXT edges of the parsed units, by ids that name the kind of law."""
+    o = Tables(spark, sf_dir).orders
+    kind = F.when(F.col("o_orderstatus") == "F", "법률").when(F.col("o_orderstatus") == "O", "시행령")
+    laws = o.select(F.concat(F.lit("doc"), "o_orderkey").alias("doc"), kind.alias("category"))
+    return statute.unit_edges(statute.typed_ids(statute_units(spark, sf_dir), laws)).select("src", "dst", "type")
+
+
+@query("""WITH c AS (SELECT DISTINCT l_partkey AS rule_id, l_orderkey + 7 AS article_id FROM lineitem WHERE l_quantity > 25)
+SELECT p_partkey AS rule_id, count(article_id) AS cited, count(o_orderkey) AS resolved, string_agg(o_orderpriority || ' ' || article_id, '; ' ORDER BY article_id) AS articles
+FROM part LEFT JOIN c ON rule_id = p_partkey LEFT JOIN orders ON o_orderkey = article_id GROUP BY 1""")
+def rule_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The articles that each rule cites, by joins: how many, how many of them are known, and their titles."""
+    t = Tables(spark, sf_dir)
+    cited = t.lineitem.filter("l_quantity > 25").select(F.col("l_partkey").alias("rule_id"), (F.col("l_orderkey") + 7).alias("article_id"))
+    found = statute.resolved_articles(t.part.select(F.col("p_partkey").alias("rule_id")), cited, t.orders.select(F.col("o_orderkey").alias("article_id"), F.col("o_orderpriority").alias("title")))
+    told = F.array_sort(F.collect_list(F.when(F.col("title").isNotNull(), F.struct("article_id", F.concat("title", F.lit(" "), F.col("article_id").cast("string")).alias("s")))))
+    joined = F.when(F.count("title") > 0, F.array_join(F.transform(told, lambda x: x["s"]), "; "))
+    return found.groupBy("rule_id").agg(F.count("article_id").alias("cited"), F.count("title").alias("resolved"), joined.alias("articles"))
+
+
 #: A unit per order that hands a matter down and cites an article.
 _CLAUSE = """u AS (SELECT 'doc' || o_orderkey AS full_id, o_orderpriority || ' 필요한 사항은 ' || CASE o_orderkey % 6 WHEN 0 THEN '대통령령으로 정한다' WHEN 1 THEN '국토교통부령으로  정하는 바에 따른다' WHEN 2 THEN '총리령으로 정한다' WHEN 3 THEN '국토교통부령으로 정한다' WHEN 4 THEN '조례로 정한다' ELSE '따로 정한다' END
 || '. 이 경우 「' || CASE WHEN o_orderkey % 4 = 0 THEN '건축법' ELSE '주차장법 시행령' END || '」 ' || CASE WHEN o_orderkey % 5 > 0 THEN '제' || (o_orderkey % 90 + 1) || '조를 따르며 그 밖의 것은 이 조에서 정하는 바에 따라 처리하여야 한다' ELSE '전부를 따른다' END AS content FROM orders)"""
