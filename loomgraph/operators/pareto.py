@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from bisect import bisect_right
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 from functools import reduce
+from math import ceil, inf, sqrt
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -35,30 +36,74 @@ def front_2d(df: DataFrame, x: str, y: str, buckets: int = 64) -> DataFrame:
     return df.join(keep, x).filter(F.col(y) == F.col("__y")).select(*df.columns)
 
 
-def layers_2d(df: DataFrame, x: str, y: str) -> DataFrame:
+def _sweep(points: pa.Table, known: pa.Table) -> pa.Table:
+    """Fronts of a block's points ``x, y``, met in order of ``x``, then ``y``, together with points whose ``front`` is known."""
+    events = [(-inf if x is None else x, -inf if y is None else y, f) for x, y, f in zip(*(known[c].to_pylist() for c in ("kx", "ky", "front")))]
+    events += [(x, y, 0) for x, y in zip(points["x"].to_pylist(), points["y"].to_pylist())]
+    events.sort(key=lambda e: (e[0], e[1], -e[2]))  # what is known comes before a point of the same place
+    least: list = []  # the least y of each front so far or of a later one; never falls from one front to the next
+    xs, ys, fronts = [], [], []
+    for x, y, f in events:
+        if f:
+            at = bisect_right(least, y)
+            if f > at:  # a point of a front implies one in every earlier front that is no higher
+                least[at:f] = [y] * (f - at)
+        else:
+            at = bisect_right(least, y)
+            least[at : at + 1] = [y]
+            xs.append(x)
+            ys.append(y)
+            fronts.append(at + 1)
+    return pa.table({"x": pa.array(xs, pa.float64()), "y": pa.array(ys, pa.float64()), "front": pa.array(fronts, pa.int64())})
+
+
+def layers_2d(df: DataFrame, x: str, y: str, block_points: int = 200_000, most_ranges: int = 24) -> DataFrame:
     """All rows with both objectives as ``front`` 1, 2, ...: what is left when the fronts before are taken off.
 
-    Only distinct points are ranked, in one sweep in the order of ``x``, then
-    ``y``: the points before are the only ones that may dominate, and one of a
-    front does where the front's least ``y`` so far isn't above the point's.
-    The sweep is one task that holds a number per front; rows get their front
-    back by a join.
+    Distinct points are dealt into a grid of ranges of ``x`` by ranges of ``y``,
+    of about ``block_points`` a block. A block depends only on those left of it
+    and below it, so blocks of a diagonal are ranked side by side, diagonal after
+    diagonal. What a block must know of the ones before is small: of its row the
+    least ``y`` of each front, of its column the least ``x`` of each front, and
+    the highest front of all that lie both left and below, which dominate it
+    whole. A table of one block is one sweep. Null and NaN objectives are left
+    out; objectives are compared as doubles.
     """
-    points = df.select(x, y).dropna().distinct()
-
-    def sweep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        least: list = []  # of each front; never falls from one front to the next
-        for b in batches:
-            fronts = []
-            for v in b.column(1).to_pylist():
-                at = bisect_right(least, v)
-                least[at : at + 1] = [v]
-                fronts.append(at + 1)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(fronts, pa.int32())], names=[x, y, "front"])
-
-    kind = dict(df.dtypes)
-    ranked = points.repartition(1).sortWithinPartitions(x, y).mapInArrow(sweep, f"`{x}` {kind[x]}, `{y}` {kind[y]}, front int")
-    return df.join(written(ranked, "fronts"), [x, y]).select(*df.columns, "front")
+    both = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull() & ~F.isnan(F.col(x).cast("double")) & ~F.isnan(F.col(y).cast("double")))
+    points = written(both.select(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")).distinct(), "points")
+    n = points.count()
+    ranges = max(1, min(most_ranges, ceil(sqrt(n / block_points))))
+    cuts = points.approxQuantile(["x", "y"], [i / ranges for i in range(1, ranges)], 0.001) if ranges > 1 and n else [[], []]
+    of = lambda c, at: sum((F.when(F.col(c) > v, 1).otherwise(0) for v in sorted(set(at))), F.lit(0))
+    grid = written(points.withColumns({"i": of("x", cuts[0]), "j": of("y", cuts[1])}), "grid")
+    known, ranked = None, []  # known: of each block its fronts with the least x and least y
+    nothing = grid.limit(0).select("i", "j", F.lit(0.0).alias("kx"), F.lit(0.0).alias("ky"), F.lit(0).cast("long").alias("front"))
+    for wave in range(2 * ranges - 1):
+        now = grid.filter(F.col("i") + F.col("j") == wave)
+        carry = nothing
+        if known is not None:
+            blocks = F.broadcast(spark_range(grid, ranges).filter(F.col("i") + F.col("j") == wave))  # at most as many rows as ranges
+            k = known.select(F.col("i").alias("pi"), F.col("j").alias("pj"), "kx", "ky", "front")
+            null = F.lit(None).cast("double")
+            row = k.groupBy("pj", "front").agg(F.min("ky").alias("ky")).join(blocks, F.col("pj") == F.col("j")).select("i", "j", null.alias("kx"), "ky", "front")
+            column = k.groupBy("pi", "front").agg(F.min("kx").alias("kx")).join(blocks, F.col("pi") == F.col("i")).select("i", "j", "kx", null.alias("ky"), "front")
+            top = k.groupBy("pi", "pj").agg(F.max("front").alias("front"))  # a row a block
+            corner = top.join(blocks, (F.col("pi") < F.col("i")) & (F.col("pj") < F.col("j"))).groupBy("i", "j").agg(F.max("front").alias("front")).select("i", "j", null.alias("kx"), null.alias("ky"), "front")
+            carry = row.unionByName(column).unionByName(corner)
+        swept = now.groupBy("i", "j").cogroup(carry.groupBy("i", "j")).applyInArrow(_sweep, "x double, y double, front long")
+        swept = written(swept, "fronts")
+        ranked.append(swept)
+        if wave < 2 * ranges - 2:
+            of_block = swept.withColumns({"i": of("x", cuts[0]), "j": of("y", cuts[1])}).groupBy("i", "j", "front").agg(F.min("x").alias("kx"), F.min("y").alias("ky"))
+            known = written(of_block if known is None else known.unionByName(of_block), "known")
+    fronts = reduce(DataFrame.unionByName, ranked)
+    joined = both.withColumns({"_x": F.col(x).cast("double"), "_y": F.col(y).cast("double")}).join(fronts.select(F.col("x").alias("_x"), F.col("y").alias("_y"), F.col("front").cast("int").alias("_front")), ["_x", "_y"])
+    return joined.select(*df.columns, F.col("_front").alias("front"))
+
+
+def spark_range(like: DataFrame, n: int) -> DataFrame:
+    """All blocks ``i, j`` of a grid of ``n`` by ``n``."""
+    return like.sparkSession.range(n * n).select(F.floor(F.col("id") / n).cast("int").alias("i"), (F.col("id") % n).cast("int").alias("j"))
 
 
 def crowding(front: DataFrame, key: str, objectives: tuple[str, ...], group: str | None = None) -> DataFrame:
