@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomgraph.functions.design import design_distance
-from loomgraph.operators import pareto
+from loomgraph.operators import design, pareto
 from loomgraph.plans.registry import registry
 from loomgraph.sources.tables import Tables
 
@@ -125,3 +125,54 @@ def cell_adjacency(spark: SparkSession, sf_dir: str) -> DataFrame:
     looks = c.select(F.explode(F.array(F.struct((F.col("x") + 1).alias("x"), "y"), F.struct("x", (F.col("y") + 1).alias("y")))).alias("p"), F.col("room").alias("room_a")).select("p.x", "p.y", "room_a")
     j = looks.join(c.withColumnRenamed("room", "room_b"), ["x", "y"]).filter("room_a <> room_b")
     return j.groupBy("room_a", "room_b").agg(F.count(F.lit(1)).alias("touching"))
+
+
+@query("""WITH s(strategy, share, per) AS (VALUES ('piloti_ground', 0.62::DOUBLE, 34.0::DOUBLE), ('basement', 0.75, 32), ('semi_basement', 0.75, 32), ('ground_surface', 0.85, 30), ('mixed', 0.7, 30), ('mechanical', 0, 30), ('unknown', 0, 30)),
+e AS (SELECT p_partkey, p_retailprice / 20 AS long, p_size::DOUBLE AS short, CASE WHEN p_partkey % 9 = 0 THEN NULL ELSE p_retailprice / 20 * p_size * 0.9 END AS area FROM part),
+c AS (SELECT p_partkey, strategy, CASE WHEN area > 0 THEN floor(short / 11) * floor(long / 2.5) ELSE 0 END AS single, CASE WHEN area > 0 THEN floor(short / 16) * 2 * floor(long / 2.5) ELSE 0 END AS double, CASE WHEN area > 0 THEN floor(area * share / per) ELSE 0 END AS held, area FROM e CROSS JOIN s)
+SELECT p_partkey, strategy, single::BIGINT AS single, double::BIGINT AS double, held::BIGINT AS by_area, CASE WHEN strategy = 'mechanical' AND area > 0 THEN NULL ELSE least(greatest(single, double), held)::BIGINT END AS estimated FROM c""")
+def stall_capacity_estimates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spaces that the envelope of each design holds under every strategy."""
+    names = F.explode(F.array(*[F.lit(n) for n in (*design.USABLE, "mechanical", "unknown")]))
+    long = F.col("p_retailprice") / 20
+    p = Tables(spark, sf_dir).part.select("p_partkey", long.alias("long"), F.col("p_size").cast("double").alias("short"), F.when(F.col("p_partkey") % 9 != 0, long * F.col("p_size") * 0.9).alias("area"), names.alias("strategy"))
+    return p.select("p_partkey", "strategy", design.stall_capacity(*map(F.col, ("long", "short", "area", "strategy"))).alias("c")).select("p_partkey", "strategy", "c.*")
+
+
+@query("""WITH d AS (SELECT p_partkey, p_retailprice - 800 AS site, p_size * 9.0::DOUBLE AS footprint, (p_size - 4) * 40.0::DOUBLE AS area, p_size % 8 AS floors, p_partkey % 2 = 0 AS housing FROM part),
+c AS (SELECT *, footprint / 7 AS coverage FROM d)
+SELECT p_partkey, CASE WHEN floors <= 0 OR area <= 0 THEN 'none' WHEN site > 0 AND site < 330 AND housing THEN 'piloti_ground,ground_surface,mechanical,semi_basement,basement,mixed'
+WHEN coverage >= 55 OR (site > 0 AND greatest(site - footprint, 0) / site < 0.35) THEN 'piloti_ground,basement,mechanical,mixed' WHEN floors >= 5 THEN 'basement,piloti_ground,mixed,mechanical' ELSE 'ground_surface,piloti_ground,semi_basement,mixed' END AS candidates FROM c""")
+def parking_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parking strategies of each design, the chosen one first."""
+    c = F.col
+    p = Tables(spark, sf_dir).part.select("p_partkey", (c("p_retailprice") - 800).alias("site"), (c("p_size") * 9.0).alias("footprint"), ((c("p_size") - 4) * 40.0).alias("area"), (c("p_size") % 8).alias("floors"), (c("p_partkey") % 2 == 0).alias("housing"))
+    found = design.parking_strategies(c("site"), c("footprint"), c("area"), c("floors"), c("footprint") / 7, c("housing"))
+    return p.select("p_partkey", F.array_join(found, ",").alias("candidates"))
+
+
+@query("""WITH l AS (SELECT DISTINCT l_orderkey, l_linenumber AS nth, min(l_partkey) OVER w % 7 AS status, min(l_suppkey) OVER w % 12 AS required, min(l_partkey) OVER w % 11 AS provided FROM lineitem WINDOW w AS (PARTITION BY l_orderkey, l_linenumber)),
+x AS (SELECT *, greatest(required - provided, 0) AS unmet, provided % 4 AS frontage, provided % 2 = 1 AS entrance, provided % 3 = 0 AS contiguous FROM l),
+r AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY (unmet = 0)::INT DESC, (required <= 8 AND (provided <= 1 OR contiguous))::INT DESC,
+CASE status WHEN 0 THEN 5 WHEN 1 THEN 4 WHEN 2 THEN 3 WHEN 3 THEN 2 ELSE (unmet = 0)::INT END DESC, frontage DESC, entrance::INT DESC, contiguous::INT DESC, provided DESC, nth) AS r FROM x)
+SELECT l_orderkey, nth, required, provided FROM r WHERE r = 1""")
+def layout_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best layout of each order's, by what it meets, its state and its ways."""
+    li = Tables(spark, sf_dir).lineitem.groupBy("l_orderkey", F.col("l_linenumber").alias("nth")).agg((F.min("l_partkey") % 7).alias("state"), (F.min("l_suppkey") % 12).alias("required"), (F.min("l_partkey") % 11).alias("provided"))
+    status = F.element_at(F.array(*[F.lit(n) for n in (*design.STATES, "needs_entrance", "failed", "open")]), (F.col("state") + 1).cast("int"))
+    got = F.col("provided")
+    rows = li.select("l_orderkey", "nth", status.alias("status"), "required", "provided", F.greatest(F.col("required") - got, F.lit(0)).alias("unmet"), (got % 4).alias("frontage"), (got % 2 == 1).alias("entrance"), (got % 3 == 0).alias("contiguous"))
+    return design.best_layouts(rows, "l_orderkey").select("l_orderkey", "nth", "required", "provided")
+
+
+@query("""WITH t(kind, name, least, share, near) AS (VALUES ('업무시설', 'core', 18.0::DOUBLE, 0.18::DOUBLE, 'lobby,workspace'), ('업무시설', 'lobby', 10, 0.1, 'core,workspace'), ('업무시설', 'workspace', 24, 0.46, 'core,meeting'), ('업무시설', 'meeting', 10, 0.12, 'workspace'), ('업무시설', 'service', 8, 0.08, 'core'),
+('공동주택', 'core', 16, 0.16, 'corridor'), ('공동주택', 'corridor', 12, 0.13, 'core,unit_a,unit_b'), ('공동주택', 'unit_a', 24, 0.28, 'corridor'), ('공동주택', 'unit_b', 24, 0.28, 'corridor'), ('공동주택', 'service', 7, 0.06, 'core'),
+('창고', 'core', 16, 0.18, 'public'), ('창고', 'public', 18, 0.22, 'core,program'), ('창고', 'program', 28, 0.38, 'public,service'), ('창고', 'service', 8, 0.1, 'core,program')),
+f AS (SELECT c_custkey, CASE c_mktsegment WHEN 'BUILDING' THEN '공동주택' WHEN 'MACHINERY' THEN '업무시설' ELSE '창고' END AS kind, greatest((abs(c_acctbal) / 20 + 10) * 0.82, 1) AS usable FROM customer),
+r AS (SELECT c_custkey, name, near, usable, greatest(least, usable * share) AS area FROM f JOIN t USING (kind)), s AS (SELECT *, sum(area) OVER (PARTITION BY c_custkey) AS total FROM r)
+SELECT c_custkey, name, near AS neighbours, round(CASE WHEN total > usable THEN greatest(1, area * usable / total) ELSE area END, 2) AS area FROM s""")
+def program_of_floors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rooms of a typical floor by kind of building, scaled where they would exceed it."""
+    kind = F.when(F.col("c_mktsegment") == "BUILDING", "공동주택").when(F.col("c_mktsegment") == "MACHINERY", "업무시설").otherwise("창고")
+    c = Tables(spark, sf_dir).customer.select("c_custkey", F.inline(design.program_rooms(kind, F.abs("c_acctbal") / 20 + 10)))
+    return c.select("c_custkey", "name", "neighbours", F.round("area", 2).alias("area"))
