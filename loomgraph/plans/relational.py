@@ -175,3 +175,11 @@ def upsert_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return j.select(
         F.coalesce("c_custkey", "user_id").alias("id"), F.coalesce("latest", F.lit("none")).alias("latest"), F.coalesce("peak", F.lit(0.0)).alias("peak"), F.coalesce("n", F.lit(0)).alias("updates"), F.col("c_custkey").isNull().alias("created"),
     )
+
+
+@query("SELECT c_custkey, c_name, c_mktsegment, count(o_orderkey) AS orders FROM customer LEFT JOIN orders ON o_custkey = c_custkey WHERE c_mktsegment = 'BUILDING' AND c_nationkey IN (3, 7, 11) GROUP BY ALL")
+def key_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nodes of a label by equal properties, with what hangs on them; the keys reach the scan."""
+    t = Tables(spark, sf_dir)
+    found = t.customer.filter((F.col("c_mktsegment") == "BUILDING") & F.col("c_nationkey").isin(3, 7, 11)).select("c_custkey", "c_name", "c_mktsegment")
+    return found.join(t.orders.select(F.col("o_custkey").alias("c_custkey"), "o_orderkey"), "c_custkey", "left").groupBy("c_custkey", "c_name", "c_mktsegment").agg(F.count("o_orderkey").alias("orders"))

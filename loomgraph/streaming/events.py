@@ -103,6 +103,23 @@ def route_stream(events: DataFrame, sinks: dict[str, Callable[[DataFrame, int],
     return routed.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(hand_on).start()
 
 
+def tee_stream(events: DataFrame, main: Callable[[DataFrame, int], None], side: Callable[[DataFrame, int], None], checkpoint: str, failed: Callable[[int, Exception], None] = lambda epoch, e: None):
+    """Start a query that hands each micro-batch whole to ``main`` and then to ``side``. If ``main`` fails the batch is repeated; if ``side`` does, ``failed`` is told and the stream goes on."""
+
+    def hand_on(batch: DataFrame, epoch: int) -> None:
+        kept = batch.persist()
+        try:
+            main(kept, epoch)
+            try:
+                side(kept, epoch)
+            except Exception as e:  # noqa: BLE001 - whatever the side sink raises must not stop the stream
+                failed(epoch, e)
+        finally:
+            kept.unpersist()
+
+    return events.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(hand_on).start()
+
+
 def rate_limited(messages: DataFrame, key: str, most: int, window_us: int) -> DataFrame:
     """``messages(key, event_id, at)`` with ``accepted``: fewer than ``most`` accepted ones within the window before. Acceptance depends on earlier acceptance, so each key is scanned in order, holding at most ``most`` stamps.
 

@@ -41,3 +41,19 @@ def test_route_to_sinks(spark, tmp_path):
     q = S.route_stream(stream(spark, tmp_path / "in", [rows[:3], rows[3:]]), {n: sink(n) for n in ("topic.read", "topic.billing")}, str(tmp_path / "c"))
     q.awaitTermination()
     assert {k: sorted(v) for k, v in got.items()} == {"topic.read": [0, 1, 5], "topic.billing": [2]}
+
+
+def test_a_tee_goes_on_without_its_side_sink(spark, tmp_path):
+    got, told = {"main": [], "side": []}, []
+
+    def sink(name, fail_at=None):
+        def take(batch, epoch):
+            if epoch == fail_at:
+                raise RuntimeError("service")
+            got[name] += [r.event_id for r in batch.collect()]
+
+        return take
+
+    q = S.tee_stream(stream(spark, tmp_path / "in", [[(1, 1, "view", 1000)], [(1, 2, "view", 2000)], [(1, 3, "view", 3000)]]), sink("main"), sink("side", 1), str(tmp_path / "c"), lambda epoch, e: told.append((epoch, str(e))))
+    q.awaitTermination()
+    assert sorted(got["main"]) == [1, 2, 3] and len(got["side"]) == 2 and told == [(1, "service")]
