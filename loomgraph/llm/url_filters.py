@@ -131,11 +131,12 @@ def url_verdicts(pages: DataFrame, rules: DataFrame, redirects: DataFrame | None
     # a url that no page has can carry a rule too
     judged = written(matched_rules(p.select("host", "path").unionByName(ends.select("host", "path")).distinct(), rules), "judged")
     of = connected_components(edges.select("a", "b"))
-    ruled = ends.unionByName(p.select("node", "host", "path")).join(judged, ["host", "path"]).groupBy("node").agg(F.min("verdict").alias("verdict"))
+    ruled = ends.unionByName(p.select("node", "host", "path")).join(judged.hint("merge"), ["host", "path"]).groupBy("node").agg(F.min("verdict").alias("verdict"))
     by_root = of.join(ruled, "node").groupBy("root").agg(F.min("verdict").alias("shared"))  # allow sorts first: it has precedence
     aliases = of.join(by_root, "root").select("node", "shared")
 
-    out = p.join(judged, ["host", "path"], "left").join(aliases, "node", "left")
+    # what is judged grows with the pages, and its files are far smaller than its rows in memory: never broadcast
+    out = p.join(judged.hint("merge"), ["host", "path"], "left").join(aliases, "node", "left")
     basis = F.when(F.col("verdict").isNotNull(), "rule").when(F.col("shared").isNotNull(), "alias").otherwise("none")
     return out.select("page_id", "host", "path", "rule", F.coalesce("verdict", "shared", F.lit("allow")).alias("verdict"), basis.alias("basis"))
 
