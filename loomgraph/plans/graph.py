@@ -196,8 +196,8 @@ def community_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def community_detect(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Leiden communities of three levels on the projection."""
-    return leiden(community_projection(spark, sf_dir))
+    """Leiden communities of three levels on the projection, in one cycle."""
+    return leiden(community_projection(spark, sf_dir), cycles=1)
 
 
 @query("""WITH m AS (SELECT 'n' || c_nationkey AS community, c_custkey FROM customer UNION ALL SELECT 'r' || n_regionkey, c_custkey FROM customer JOIN nation ON c_nationkey = n_nationkey)
