@@ -3,7 +3,8 @@
 One scan of the texts finds candidates by pattern and keeps, per match, its
 kind, position and a hash of its value; neither text nor value goes further.
 Candidate hashes are then aggregated over the whole corpus by distinct
-repositories and owners. A value that several owners hold is a copied example;
+repositories and owners; verdicts on the few values that hold a notable share of
+all matches go back by broadcast, so that no copied example meets a single task. A value that several owners hold is a copied example;
 one that a single owner holds, in few repositories, looks live.
 
 The base kinds (``assign``, ``access``, ``hex``) are always reported. The
@@ -34,6 +35,7 @@ HEX = "[0-9a-f]{24,}"
 TOKEN = "[A-Za-z0-9+/_=-]{20,}"
 PATTERNS = {"assign": (ASSIGN, 2), "access": (ACCESS, 0), "hex": (HEX, 0), "live": (TOKEN, 0)}
 LEAST_VALUE = 6  # characters of an assigned value
+HEAVY = 1024  # a value with more than this share (1 / HEAVY) of all matches is frequent, so fewer than HEAVY values are
 
 
 def _found(text: Column, kind: str) -> Column:
@@ -76,16 +78,34 @@ def _placed(rows: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def ownership(spans: DataFrame) -> DataFrame:
-    """``value, n_owners, n_repos`` over distinct holders; partial sums first, so a value in a third of all rows meets no single task."""
+    """``value, n_owners, n_repos, n_spans`` over distinct holders; partial sums first, so a value in a third of all rows meets no single task."""
     return (
-        spans.groupBy("value", "owner", "repo").agg(F.lit(1).alias("one"))
-        .groupBy("value", "owner").agg(F.count("one").alias("repos"))
-        .groupBy("value").agg(F.count(F.lit(1)).alias("n_owners"), F.sum("repos").alias("n_repos"))
+        spans.groupBy("value", "owner", "repo").agg(F.count(F.lit(1)).alias("spans"))
+        .groupBy("value", "owner").agg(F.count(F.lit(1)).alias("repos"), F.sum("spans").alias("spans"))
+        .groupBy("value").agg(F.count(F.lit(1)).alias("n_owners"), F.sum("repos").alias("n_repos"), F.sum("spans").alias("n_spans"))
     )
 
 
+def _judged(spans: DataFrame, max_owners: int, max_repos: int, heavy: int = HEAVY) -> DataFrame:
+    """``spans`` with ``live``.
+
+    Frequent values are counted exactly and broadcast, fewer than ``heavy`` of
+    them whatever the corpus holds. Their spans, and those that aren't judged,
+    get a share number that no value in the shuffled join has, and so spread
+    over all tasks.
+    """
+    live = (F.col("n_owners") <= max_owners) & (F.col("n_repos") <= max_repos)
+    values = written(ownership(spans.filter("ok")).select("value", "n_spans", live.alias("live")), "owners")
+    total = values.agg(F.sum("n_spans")).first()[0] or 0
+    frequent = values.filter(F.col("n_spans") * heavy > total).select("value", F.col("live").alias("known"))
+    rare = values.filter("live").select("value", F.lit(0).cast("long").alias("share"), F.lit(True).alias("single"))
+    share = F.when(F.col("ok") & F.col("known").isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64("row_id", "kind", "start"), F.lit(1 << 20)) + 1)
+    spread = spans.join(F.broadcast(frequent), "value", "left").withColumn("share", share.cast("long"))
+    return spread.join(rare, ["value", "share"], "left").withColumn("live", F.coalesce("known", "single", F.lit(False))).drop("known", "single", "share")
+
+
 def secret_scan(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str | None = "source", repo_cols: tuple[str, ...] = ("source", "lang"), max_owners: int = 1, max_repos: int = 2, tagged: bool = False
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str | None = "source", repo_cols: tuple[str, ...] = ("source", "lang"), max_owners: int = 1, max_repos: int = 2, tagged: bool = False, heavy: int = HEAVY
 ) -> DataFrame:
     """One row per document: ``doc_id, base, added, n_live, n_example``.
 
@@ -102,10 +122,7 @@ def secret_scan(
         any_match = any_match | F.col(k).isNotNull()
     spans = _placed(rows.filter(any_match), keys)
     ok = F.when(F.col("kind") == 0, F.col("value_len") >= LEAST_VALUE).when(F.col("kind") == 3, F.col("mixed")).otherwise(True)
-    spans = spans.withColumn("ok", ok)
-    owners = ownership(spans.filter("ok"))
-    live = owners.filter((F.col("n_owners") <= max_owners) & (F.col("n_repos") <= max_repos)).select("value", F.lit(True).alias("live"))
-    spans = spans.join(live, "value", "left").withColumn("live", F.coalesce("live", F.lit(False)))
+    spans = _judged(spans.withColumn("ok", F.coalesce(ok, F.lit(False))), max_owners, max_repos, heavy)
     item = F.struct(F.col("start"), F.col("kind"), F.col("end"), F.col("live"))
     base_ok = F.col("ok") & (F.col("kind") < 3)
     found = spans.groupBy("row_id", *keys).agg(

@@ -69,3 +69,10 @@ def test_redact_null_and_repeated_ids(spark):
         assert redact(df).columns == df.columns and redact(df.limit(0)).count() == 0
         out = sorted(r.text for r in redact(df).collect())
         assert out == sorted(["[REDACTED] end"] * 2 + ["a longer text before [REDACTED] end", data[2][1]])
+
+
+def test_frequent_values_are_judged_alike(spark):
+    many = [(1000 + i, f"token = sharedExample1 and only q9Zm9vYmFyMTIzNDU2Nzg5MHh5eg, secret: xy{i % 3}", "en", f"s{i % 4 if i % 2 else 7}", 1) for i in range(60)]
+    df = spark.createDataFrame(rows() + many + [(2000, "token: mineAlone77 token: mineAlone77", "en", "s1", 1)] * 40, SCHEMA)
+    found = {h: sorted(map(str, digest_rows(secret_scan(df, heavy=h)).collect())) for h in (1, 10, 1 << 40)}  # no frequent values, some, all of them
+    assert found[1] == found[10] == found[1 << 40] and any("n_live=2" in r for r in found[1] if "doc_id=2000" in r)
