@@ -5,11 +5,12 @@ back to the longest character n-grams of it that are known, then to shorter
 ones. Word and n-gram counts are taken by Spark over a bounded sample of
 labelled documents: of each language at most ``max_docs`` documents and
 ``max_chars`` characters, so that a rare language learns from as many rows as a
-common one. All counts of the sample are kept, but for a guard of
-``max_entries`` words and as many n-grams a language (most frequent first),
-which bounds the model and its broadcast whatever the sample holds.
+common one. All counts of the sample are kept; its bounds bound the model.
 
-Words and n-grams are known by 64-bit hashes; the model is three arrays.
+Words and n-grams are known by 64-bit hashes. An entry holds only the languages
+that it was seen in, and each language has one value for all entries that it
+lacks; so the model grows with the languages' samples, not with entries times
+languages.
 
 Defined results: null texts and texts without a letter give ``und`` with score
 0; a text with letters always gets a learned language, ties going to the first
@@ -25,6 +26,7 @@ from __future__ import annotations
 import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -84,26 +86,41 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from flush()
 
 
-def fit(labelled: DataFrame, max_entries: int = 150_000) -> dict:
-    """A model from the columns ``text`` and ``lang``: names of languages, and for words and n-grams their sorted hashes with a row of log frequencies each."""
+class Frequencies(NamedTuple):
+    """Log frequencies by hash: entry ``i`` adds ``gain[first[i] : first[i + 1]]`` to the ``base`` of the languages ``lang[...]``."""
+
+    known: np.ndarray
+    first: np.ndarray
+    lang: np.ndarray
+    gain: np.ndarray
+    base: np.ndarray
+
+    def rows(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For entries ``at`` the place in ``at`` of each value they hold, and the place of the value."""
+        size = self.first[at + 1] - self.first[at]
+        owner = np.repeat(np.arange(len(at)), size)
+        return owner, np.arange(len(owner)) + (self.first[at] - np.cumsum(size) + size)[owner]
+
+
+def frequencies(h: np.ndarray, lang: np.ndarray, n: np.ndarray, langs: int) -> Frequencies:
+    """From the counts ``n`` of hashes by language, half a count added to each."""
+    order = np.lexsort((lang, h))
+    h, lang, n = h[order], lang[order], n[order]
+    known, first = np.unique(h, return_index=True)
+    base = np.log(0.5 / (np.bincount(lang, n, langs) + 0.5 * max(1, len(known))))
+    return Frequencies(known, np.append(first, len(h)), lang, np.log((n + 0.5) / 0.5).astype(np.float32), base - (base.mean() if langs else 0))
+
+
+def fit(labelled: DataFrame) -> dict:
+    """A model from the columns ``text`` and ``lang``: names of languages, and the frequencies of words and of n-grams."""
     counts = labelled.select("text", "lang").mapInArrow(_count, COUNTS)
     total = written(counts.groupBy("is_word", "h", "lang").agg(F.sum("n").alias("n")), "counts")
-    place = F.row_number().over(Window.partitionBy("lang", "is_word").orderBy(F.desc("n"), "h"))
-    found = total.withColumn("place", place).filter(F.col("place") <= max_entries).select("lang", "is_word", "h", "n").toArrow()
-    lang, is_word = found["lang"].combine_chunks().dictionary_encode(), found["is_word"].to_numpy()
-    langs = lang.dictionary.to_pylist() if len(lang) else []
-    order = sorted(range(len(langs)), key=langs.__getitem__)
-    at = np.argsort(order)[lang.indices.to_numpy()] if langs else np.zeros(0, np.int64)
-    h, n = found["h"].to_numpy(), found["n"].to_numpy()
-    model: dict = {"langs": [langs[i] for i in order]}
-    for kind, name in ((True, "words"), (False, "grams")):
-        mine = is_word == kind
-        known, row = np.unique(h[mine], return_inverse=True)
-        table = np.zeros((len(known), len(langs)), np.float32)
-        table[row, at[mine]] = n[mine]
-        logs = np.log((table + 0.5) / (table.sum(0, dtype=np.float64) + 0.5 * max(1, len(table))))
-        logs -= logs.mean(1, keepdims=True) if len(langs) else 0  # only differences between languages count
-        model[name] = (known, logs.astype(np.float32))
+    langs = sorted(r.lang for r in total.select("lang").distinct().collect())
+    place = F.array_position(F.array(*map(F.lit, langs)), F.col("lang")) - 1 if langs else F.lit(0)
+    model: dict = {"langs": langs}
+    for name, kind in (("words", F.col("is_word")), ("grams", ~F.col("is_word"))):
+        found = total.filter(kind).select("h", place.cast("int").alias("lang"), "n").toArrow()
+        model[name] = frequencies(*[found[c].to_numpy() for c in ("h", "lang", "n")], len(langs))
     return model
 
 
@@ -119,9 +136,7 @@ class Scorer:
     """Scores texts against a model; the distinct words of a batch are looked up together, and cached."""
 
     def __init__(self, model: dict):
-        self.langs = model["langs"]
-        self.words, self.logs = model["words"]
-        self.grams, self.gram_logs = model["grams"]
+        self.langs, self.words, self.grams = model["langs"], model["words"], model["grams"]
         self._reset()
 
     def _reset(self) -> None:
@@ -130,19 +145,25 @@ class Scorer:
 
     def rows(self, words: list[str]) -> np.ndarray:
         """Log frequencies of words: their own, or the mean over their longest known n-grams."""
-        out = np.zeros((len(words), len(self.langs)), np.float32)
-        at = rows_in(self.words, hashed(words))
-        out[at >= 0] = self.logs[at[at >= 0]]
+        langs = len(self.langs)
+        out = np.zeros((len(words), langs))
+        at = rows_in(self.words.known, hashed(words))
+        mine = np.flatnonzero(at >= 0)
+        owner, value = self.words.rows(at[mine])
+        out[mine] = self.words.base
+        out[mine[owner], self.words.lang[value]] += self.words.gain[value]  # an entry has a language once
         left = np.flatnonzero(at < 0)
         for n in range(LONGEST_GRAM, 0, -1):
             grams = [grams_of(words[i], n) for i in left]
             sizes = np.fromiter(map(len, grams), np.int64, len(left))
-            at = rows_in(self.grams, hashed([g for found in grams for g in found]))
-            owner = np.repeat(np.arange(len(left)), sizes)[at >= 0]
-            hits = np.bincount(owner, minlength=len(left))
-            for k in range(len(self.langs)):
-                out[left, k] = np.bincount(owner, self.gram_logs[at[at >= 0], k], len(left)) / np.maximum(hits, 1)
-            left = left[hits == 0]
+            at = rows_in(self.grams.known, hashed([g for found in grams for g in found]))
+            word = np.repeat(np.arange(len(left)), sizes)[at >= 0]
+            hits = np.bincount(word, minlength=len(left))
+            owner, value = self.grams.rows(at[at >= 0])
+            gain = np.bincount(word[owner] * langs + self.grams.lang[value], self.grams.gain[value], len(left) * langs).reshape(len(left), langs)
+            met = hits > 0
+            out[left[met]] = self.grams.base + gain[met] / hits[met, None]
+            left = left[~met]
             if not len(left):
                 break
         return out

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from loomgraph.llm.langid import Scorer, fit_on, hashed, keep_identified, language_id, sample_by_language, words_of
+from loomgraph.llm.langid import Scorer, fit_on, frequencies, hashed, keep_identified, language_id, sample_by_language, words_of
 from loomgraph.sources.tables import table
 from tests.llm.docs import SCHEMA, awkward
 
@@ -32,15 +32,33 @@ def test_awkward_rows(spark):
 
 def test_backoff_prefers_words_then_longer_grams():
     def known(rows):
-        h = hashed(list(rows))
-        return np.sort(h), np.array(list(rows.values()), np.float32)[np.argsort(h)]
+        h = np.repeat(hashed(list(rows)), 2)
+        return frequencies(h, np.tile([0, 1], len(rows)), np.array(list(rows.values())).ravel(), 2)
 
-    model = {"langs": ["a", "b"], "words": known({"cat": [1, -1]}), "grams": known({"^do": [-1, 1], "g$": [5, -5], "d": [9, -9]})}
+    model = {"langs": ["a", "b"], "words": known({"cat": [30, 1]}), "grams": known({"^do": [1, 30], "g$": [300, 1], "d": [90, 1], "xx": [0, 500]})}
     s = Scorer(model)
     assert s.predict("CAT")[0] == "a" and s.predict("dog")[0] == "b" and s.predict("rug")[0] == "a" and s.predict("d d d")[0] == "a"
     assert words_of("x²  ² 12_z") == ["x²", "²", "z"] and words_of("² 3") == []
 
 
+def test_model_grows_with_what_each_language_has():
+    rng = np.random.default_rng(5)
+    langs, each = 200, 500
+    h, lang = rng.integers(-(1 << 62), 1 << 62, langs * each), np.repeat(np.arange(langs), each)
+    h[:: each // 2] = h[0]  # one entry that all have
+    h = np.where(np.arange(len(h)) % each == each // 2, h[0] + 1, h)  # and a second one
+    n = rng.integers(1, 50, len(h))
+    found = frequencies(h, lang, n, langs)
+    assert len(found.gain) == len(found.lang) == len(h) and len(found.base) == langs and len(found.first) == len(found.known) + 1
+    dense = np.full((len(found.known), langs), 0.5)
+    np.add.at(dense, (np.searchsorted(found.known, h), lang), n)
+    want = np.log(dense / dense.sum(0))
+    got = np.tile(found.base, (len(found.known), 1))
+    owner, value = found.rows(np.arange(len(found.known)))
+    np.add.at(got, (owner, found.lang[value]), found.gain[value])
+    assert np.allclose(got - got[:, :1], want - want[:, :1], atol=1e-4)
+
+
 def brute(rows):
     """Predictions by plain loops over strings, learned from all rows outside the held-out fold."""
     learn = {(i, t, lang) for i, t, lang in rows if i is not None and lang is not None and zlib.crc32(str(i).encode()) % 4 != 2}
