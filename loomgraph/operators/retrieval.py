@@ -12,6 +12,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -21,21 +22,38 @@ from loomgraph.operators.registries import mode
 QUERY_ROWS, ROWS, LEAST_ROWS = 1024, 4096, 256  # vectors in a block: of queries, and of rows at most and (where cores would idle) at least
 
 
-def _matrix(column: pa.ChunkedArray) -> np.ndarray:
-    return np.array(column.to_pylist(), np.float64).reshape(len(column), -1)
+def _by_length(column: pa.ChunkedArray) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """Vectors of each length: their places and the matrix of them; null components become NaN."""
+    sizes = pc.list_value_length(column).to_numpy()
+    places = {int(n): np.flatnonzero(sizes == n) for n in np.unique(sizes)}
+    return {n: (at, np.array(column.take(at).to_pylist(), np.float64).reshape(len(at), n)) for n, at in places.items()}
 
 
 def cosines(q: np.ndarray, r: np.ndarray, digits: int) -> np.ndarray:
-    """Cosines clipped to [0, 1]; 0 where a norm is 0."""
-    size = np.linalg.norm(q, axis=1)[:, None] * np.linalg.norm(r, axis=1)[None, :]
-    return np.round(np.clip(np.divide(q @ r.T, size, out=np.zeros_like(size), where=size > 0), 0, 1), digits)
+    """Cosines clipped to [0, 1]; 0 where a norm is 0 or a component isn't finite."""
+    finite = np.isfinite(q).all(1)[:, None] & np.isfinite(r).all(1)[None, :]
+    with np.errstate(invalid="ignore"):
+        size = np.linalg.norm(q, axis=1)[:, None] * np.linalg.norm(r, axis=1)[None, :]
+        return np.round(np.clip(np.divide(q @ r.T, size, out=np.zeros_like(size), where=(size > 0) & finite), 0, 1), digits)
 
 
-def _scores(q: np.ndarray, r: np.ndarray, metric: str, digits: int) -> np.ndarray:
-    """Larger is nearer: cosines, or negative distances."""
-    if metric == "l2":
-        return -np.round(np.sqrt(np.maximum(0, (q * q).sum(1)[:, None] + (r * r).sum(1)[None, :] - 2 * (q @ r.T))), digits)
-    return cosines(q, r, digits)
+def distances(q: np.ndarray, r: np.ndarray, digits: int) -> np.ndarray:
+    """Euclidean distances; infinite where a component isn't finite."""
+    finite = np.isfinite(q).all(1)[:, None] & np.isfinite(r).all(1)[None, :]
+    with np.errstate(invalid="ignore"):
+        square = (q * q).sum(1)[:, None] + (r * r).sum(1)[None, :] - 2 * (q @ r.T)
+        return np.where(finite, np.round(np.sqrt(np.maximum(0, square)), digits), np.inf)
+
+
+def _scores(q: pa.ChunkedArray, r: pa.ChunkedArray, metric: str, digits: int) -> np.ndarray:
+    """Larger is nearer: cosines, or negative distances; vectors of different lengths score 0, or are at no distance."""
+    out = np.full((len(q), len(r)), -np.inf if metric == "l2" else 0.0)
+    rows = _by_length(r)
+    for n, (i, a) in _by_length(q).items():
+        if n in rows:
+            j, b = rows[n]
+            out[np.ix_(i, j)] = -distances(a, b, digits) if metric == "l2" else cosines(a, b, digits)
+    return out
 
 
 def _blocks(queries: DataFrame, rows: DataFrame, query_id: str, row_id: str, query_rows: int, row_rows: int) -> tuple[DataFrame, DataFrame]:
@@ -59,7 +77,9 @@ def nearest(
     column of which the best row of each value is a candidate too (then ``rank``
     counts candidates, and the caller cuts). With ``others``, a row isn't its own
     neighbour. For ``l2`` the score is the distance, the least first. Null vectors
-    take no part.
+    take no part. Cosines are 0 where a vector is all zeros, holds a null or a
+    component that isn't finite, or the lengths differ; for ``l2`` such pairs have
+    no distance and are no hits.
     """
     queries, rows = queries.filter(F.col(query_vector).isNotNull()), rows.filter(F.col(vector).isNotNull())
     names_q, names_r = [c for c in queries.columns if c != query_vector], [c for c in rows.columns if c != vector]
@@ -71,7 +91,7 @@ def nearest(
         b = b.sort_by(row_id)  # so that the first of equal scores has the smaller id
         if not a.num_rows or not b.num_rows:
             return pa.Table.from_batches([], pa.schema([a.schema.field(c) for c in names_q] + [b.schema.field(c) for c in names_r] + [("score", pa.float64())]))
-        s = _scores(_matrix(a[query_vector]), _matrix(b[vector]), metric, digits)
+        s = _scores(a[query_vector], b[vector], metric, digits)
         if others:
             s[a[query_id].to_numpy()[:, None] == b[row_id].to_numpy()[None, :]] = -np.inf
         if same:

@@ -78,3 +78,18 @@ def test_context_and_citations(spark):
 def test_hop_budget(spark):
     df = spark.createDataFrame([(0.95,), (0.9,), (0.3,), (0.29,), (None,)], "s double")
     assert [tuple(r) for r in df.select(*R.hop_budget(F.col("s"))).collect()] == [(2, 40), (1, 20), (1, 20), (0, 0), (1, 20)]
+
+
+@pytest.mark.parametrize("metric", ["cosine", "l2"])
+def test_nearest_of_odd_vectors(spark, metric):
+    odd = {1: [1.0, 0.0], 2: [1.0, 0.0, 0.0], 3: [float("nan"), 1.0], 4: [None, 1.0], 5: [float("inf"), 1.0], 6: [], 7: [0.0, 0.0], 8: [2.0, 0.0], 9: None}
+    df = spark.createDataFrame(list(odd.items()), "vec_id long, embedding array<double>")
+    asked = df.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("qe"))
+    got = {}
+    for r in R.nearest(asked, df, 9, metric=metric).collect():
+        got.setdefault(r.query_id, {})[r.vec_id] = r.score
+    if metric == "l2":  # only pairs that have a distance
+        assert got == {1: {8: 1.0, 7: 1.0}, 7: {1: 1.0, 8: 2.0}, 8: {1: 1.0, 7: 2.0}}
+    else:
+        assert set(got) == set(range(1, 9)) and all(len(x) == 7 for x in got.values())
+        assert {(q, i) for q, x in got.items() for i, s in x.items() if s} == {(1, 8), (8, 1)}
