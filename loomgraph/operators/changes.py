@@ -71,6 +71,42 @@ def conversation_graph(turns: DataFrame) -> tuple[DataFrame, DataFrame]:
     return nodes, has.unionByName(after)
 
 
+def provenance_graph(turns: DataFrame, agents: DataFrame, executions: DataFrame, decisions: DataFrame, support: DataFrame, artifacts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Nodes ``id, label`` and edges ``src, dst, type, weight`` of what was decided, on what grounds, and what came of it.
+
+    ``decisions(id, turn, agent, execution)`` are made where their turn and agent
+    are known, and their execution is or is null. ``support(decision, evidence,
+    weight)`` brings an evidence node and, for a decision that is made, an edge;
+    ``artifacts(id, turn, execution, decision)`` are made, by turn and execution,
+    under the same terms as decisions. ``turns``, ``agents`` and ``executions`` are single columns of ids.
+    Repeated rows give one node and one edge; null ids give none.
+    """
+    def known(rows: DataFrame, column: str, ids: DataFrame) -> DataFrame:
+        return rows.join(ids.select(F.col(ids.columns[0]).alias(column)), column, "left_semi")
+
+    def edge(rows: DataFrame, src: str, dst: str, kind: str, weight: str | None = None) -> DataFrame:
+        w = F.col(weight) if weight else F.lit(None)
+        return rows.filter(F.col(src).isNotNull() & F.col(dst).isNotNull()).select(F.col(src).alias("src"), F.col(dst).alias("dst"), F.lit(kind).alias("type"), w.cast("double").alias("weight"))
+
+    def placed(rows: DataFrame, *columns: str) -> DataFrame:
+        rows = known(rows.filter("id IS NOT NULL"), "turn", turns).select(*columns)
+        return rows.filter("execution IS NULL").unionByName(known(rows, "execution", executions).select(*columns))
+
+    made = placed(known(decisions, "agent", agents), "id", "turn", "agent", "execution")
+    brought = placed(artifacts, "id", "turn", "execution", "decision")
+    nodes = made.select("id", F.lit("Decision").alias("label")).unionByName(support.filter("evidence IS NOT NULL").select(F.col("evidence").alias("id"), F.lit("Evidence").alias("label")))
+    nodes = nodes.unionByName(brought.select("id", F.lit("Artifact").alias("label")))
+    parts = [
+        edge(made, "turn", "id", "HAS_DECISION"), edge(made, "id", "agent", "MADE_BY"), edge(made, "execution", "id", "MADE_DECISION"),
+        edge(known(support, "decision", made.select("id")), "decision", "evidence", "SUPPORTED_BY", "weight"),
+        edge(brought, "turn", "id", "PRODUCED"), edge(brought, "execution", "id", "PRODUCED"), edge(known(brought, "decision", made.select("id")), "decision", "id", "RESULTED_IN"),
+    ]
+    edges = parts[0]
+    for part in parts[1:]:
+        edges = edges.unionByName(part)
+    return nodes.distinct(), edges.distinct()
+
+
 def worst_by_type(violations: DataFrame, by: Sequence[str], rank: str, top: int) -> DataFrame:
     """Of the first ``top`` designs of each group the worst violation of each ``type``; of equals that of the earlier design."""
     found = violations.filter(F.col(rank) <= top)

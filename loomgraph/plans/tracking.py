@@ -71,6 +71,29 @@ def conversation_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edges.select(F.col("type").alias("kind"), F.col("src").alias("id"), "dst").unionByName(nodes.select(F.col("label").alias("kind"), "id", none))
 
 
+@query("""WITH l AS (SELECT l_orderkey || '-' || l_linenumber AS k, 't' || l_orderkey AS turn, 'a' || l_suppkey AS agent, 'e' || l_partkey AS evidence, l_discount AS weight, l_quantity AS q, l_returnflag AS f, l_linestatus AS s FROM lineitem),
+t AS (SELECT 't' || o_orderkey AS id FROM orders WHERE o_orderstatus <> 'P'), a AS (SELECT 'a' || s_suppkey AS id FROM supplier WHERE s_acctbal > 0), x AS (SELECT 'x' || k AS id FROM l WHERE q > 10),
+d AS (SELECT DISTINCT 'd' || k AS id, turn, agent, CASE WHEN f <> 'N' THEN 'x' || k END AS execution FROM l WHERE turn IN (SELECT id FROM t) AND agent IN (SELECT id FROM a) AND (f = 'N' OR 'x' || k IN (SELECT id FROM x))),
+r AS (SELECT DISTINCT 'r' || k AS id, turn, 'x' || k AS execution, 'd' || k AS decision FROM l WHERE s = 'F' AND turn IN (SELECT id FROM t) AND 'x' || k IN (SELECT id FROM x))
+SELECT turn AS id, id AS dst, 'HAS_DECISION' AS kind, NULL::DOUBLE AS weight FROM d UNION SELECT id, agent, 'MADE_BY', NULL FROM d UNION SELECT execution, id, 'MADE_DECISION', NULL FROM d WHERE execution IS NOT NULL
+UNION SELECT 'd' || k, evidence, 'SUPPORTED_BY', weight FROM l WHERE 'd' || k IN (SELECT id FROM d) UNION SELECT turn, id, 'PRODUCED', NULL FROM r UNION SELECT execution, id, 'PRODUCED', NULL FROM r UNION SELECT decision, id, 'RESULTED_IN', NULL FROM r WHERE decision IN (SELECT id FROM d)
+UNION SELECT id, NULL, 'Decision', NULL FROM d UNION SELECT evidence, NULL, 'Evidence', NULL FROM l UNION SELECT id, NULL, 'Artifact', NULL FROM r""")
+def provenance_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line items as decisions of their order's turn, made by suppliers, supported by parts, with artifacts of those that are done."""
+    t = Tables(spark, sf_dir)
+    k = F.concat(F.col("l_orderkey").cast("string"), F.lit("-"), F.col("l_linenumber").cast("string"))
+    of = lambda prefix, c: F.concat(F.lit(prefix), c.cast("string"))
+    line = t.lineitem
+    decisions = line.select(of("d", k).alias("id"), of("t", F.col("l_orderkey")).alias("turn"), of("a", F.col("l_suppkey")).alias("agent"), F.when(F.col("l_returnflag") != "N", of("x", k)).alias("execution"))
+    support = line.select(of("d", k).alias("decision"), of("e", F.col("l_partkey")).alias("evidence"), F.col("l_discount").alias("weight"))
+    artifacts = line.filter("l_linestatus = 'F'").select(of("r", k).alias("id"), of("t", F.col("l_orderkey")).alias("turn"), of("x", k).alias("execution"), of("d", k).alias("decision"))
+    turns = t.orders.filter("o_orderstatus <> 'P'").select(of("t", F.col("o_orderkey")))
+    agents = t.supplier.filter("s_acctbal > 0").select(of("a", F.col("s_suppkey")))
+    nodes, edges = changes.provenance_graph(turns, agents, line.filter("l_quantity > 10").select(of("x", k)), decisions, support, artifacts)
+    nodes = nodes.select("id", F.lit(None).cast("string").alias("dst"), F.col("label").alias("kind"), F.lit(None).cast("double").alias("weight"))
+    return edges.select(F.col("src").alias("id"), "dst", F.col("type").alias("kind"), "weight").unionByName(nodes)
+
+
 @query("""WITH RECURSIVE p AS (SELECT o_orderkey AS node, lead(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS other FROM orders),
 h AS (SELECT node, other, 1 AS depth FROM p WHERE other IS NOT NULL UNION ALL SELECT h.node, p.other, depth + 1 FROM h JOIN p ON p.node = h.other WHERE p.other IS NOT NULL AND depth < 3)
 SELECT o_orderkey AS execution, o_orderstatus AS status, coalesce(list(other ORDER BY depth) FILTER (WHERE other IS NOT NULL), []) AS delegated_to FROM orders LEFT JOIN h ON node = o_orderkey GROUP BY 1, 2""")

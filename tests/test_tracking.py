@@ -83,3 +83,16 @@ def test_changes_of_empty_tables(spark):
     assert changes.partial_update(rows, rows, "k").collect() == []
     counters = changes.bump_counters(spark.createDataFrame([], "k int, a long"), spark.createDataFrame([(1, "a", 2), (1, "zzz", 9), (2, "a", None)], "k int, action string, value long"), "k", ["a"])
     assert sorted(map(tuple, counters.collect())) == [(1, 2), (2, 0)]
+
+
+def test_provenance_needs_what_it_names(spark):
+    ids = lambda *x: spark.createDataFrame([(i,) for i in x], "key string")
+    decisions = spark.createDataFrame([("d1", "t1", "a1", "x1"), ("d1", "t1", "a1", "x1"), ("d2", "t1", "a1", None), ("d3", "t9", "a1", "x1"), ("d4", "t1", "a9", "x1"), ("d5", "t1", "a1", "x9"), (None, "t1", "a1", "x1")], "id string, turn string, agent string, execution string")
+    support = spark.createDataFrame([("d1", "e1", 0.5), ("d3", "e2", 0.5), ("d1", None, 1.0)], "decision string, evidence string, weight double")
+    artifacts = spark.createDataFrame([("r1", "t1", "x1", "d1"), ("r2", "t1", "x1", "d9"), ("r3", "t1", "x9", "d1"), ("r4", "t1", None, None), ("r5", "t9", "x1", "d1")], "id string, turn string, execution string, decision string")
+    nodes, edges = changes.provenance_graph(ids("t1"), ids("a1"), ids("x1"), decisions, support, artifacts)
+    assert sorted(tuple(r) for r in nodes.collect()) == [("d1", "Decision"), ("d2", "Decision"), ("e1", "Evidence"), ("e2", "Evidence"), ("r1", "Artifact"), ("r2", "Artifact"), ("r4", "Artifact")]
+    assert sorted(tuple(r)[:3] for r in edges.collect()) == sorted(
+        [("t1", "d1", "HAS_DECISION"), ("t1", "d2", "HAS_DECISION"), ("d1", "a1", "MADE_BY"), ("d2", "a1", "MADE_BY"), ("x1", "d1", "MADE_DECISION"), ("d1", "e1", "SUPPORTED_BY")]
+        + [("t1", r, "PRODUCED") for r in ("r1", "r2", "r4")] + [("x1", r, "PRODUCED") for r in ("r1", "r2")] + [("d1", "r1", "RESULTED_IN")]
+    )
