@@ -7,9 +7,13 @@ from pyspark.sql import functions as F
 
 
 def consume(credits: DataFrame, amount: Column) -> DataFrame:
-    """``credits(user_id, balance, priority, ...)`` with ``used``: what an amount per user takes from each, in order. Running sums replace the loop."""
+    """``credits(user_id, balance, priority, ...)`` with ``used``: what an amount per user takes from each, in order. Running sums replace the loop.
+
+    What went before is the running sum less the row's own balance, as SQL says it: a sum of the rows before
+    differs in the last bit, which shows where credits add up to the amount. A null balance gives nothing.
+    """
     w = Window.partitionBy("user_id").orderBy("priority")
-    before = F.coalesce(F.sum("balance").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+    before = F.sum("balance").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("balance")
     return credits.withColumn("used", F.greatest(F.lit(0.0), F.least(F.col("balance"), amount - before))).filter("used > 0")
 
 
