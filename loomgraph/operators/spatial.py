@@ -2,10 +2,12 @@
 
 A segment has a row for each cell that it crosses, a point one for each of the
 nine cells around it: whatever lies within a cell's width of the point shares one
-of those keys. Keys are places, so none grows with the table but where things
-lie on top of one another, and such cells are ordinary skewed keys of a join
-that adaptive execution splits. The nearest segment at any distance is found by
-growing rings: points that aren't settled go on to a grid twice as coarse.
+of those keys. The nearest segment at any distance is found down a pyramid of
+grids: each point keeps the crossed cells that may hold its nearest segment, by
+least and greatest distance of the cells, and looks into their quarters next. So
+a far point meets the cells that face it, not all that lies around them. Nearest
+searches meet each place and each course once, however many points or segments
+have it; few bytes make much work here, so the joins are spread over all tasks.
 
 Points and segments with a null or non-finite coordinate take no part; a segment
 may be a point; distances are rounded to six digits and ties go to the smaller
@@ -14,13 +16,16 @@ line; columns named ``group`` must be equal on both sides.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import math
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomgraph.functions.geometry import point_segment
-from loomgraph.session import written
+from loomgraph.session import spread, written
 
 DIGITS = 6
+SALTS = 4  # a cell's points are dealt to so many tasks, and its segments copied to each
 ENDS = ("x1", "y1", "x2", "y2")
 
 
@@ -69,45 +74,71 @@ def within(points: DataFrame, lines: DataFrame, radius: float, group: tuple[str,
     return met.filter(F.col("dist") <= radius).distinct()  # a long segment meets a point in several cells
 
 
+def _courses(lines: DataFrame, group: tuple[str, ...] = ()) -> DataFrame:
+    """Each course once, under its smallest line."""
+    return lines.groupBy(*group, *ENDS).agg(F.min("line").alias("line"))
+
+
+def _apart() -> Column:
+    return F.round(point_segment(*map(F.col, ("x", "y", *ENDS))), DIGITS)
+
+
 def nearest_within(points: DataFrame, lines: DataFrame, radius: float, group: tuple[str, ...] = ()) -> DataFrame:
     """``point, line, dist``: the nearest line of each point that has one within ``radius``."""
-    found = within(points, lines, radius, group).groupBy(*group, "point").agg(F.min(F.struct("dist", "line")).alias("m"))
-    return found.select(*group, "point", "m.line", "m.dist")
+    p, s = _finite(points, ("x", "y")).select(*group, "point", "x", "y"), _finite(lines, ENDS)
+    width = radius * (1 + 1e-6) + 1e-6
+    places = p.select(*group, "x", "y").distinct().select("*", F.inline(around(width)))
+    courses = spread(_courses(s, group), *group, *ENDS).select("*", F.inline(crossed_cells(width)))
+    met = places.join(courses, [*group, "cx", "cy"]).select(*group, "x", "y", F.struct(_apart().alias("dist"), "line").alias("m")).filter(F.col("m.dist") <= radius)
+    best = met.groupBy(*group, "x", "y").agg(F.min("m").alias("m"))
+    return p.join(best, [*group, "x", "y"]).groupBy(*group, "point").agg(F.min("m").alias("m")).select(*group, "point", "m.line", "m.dist")
 
 
-def nearest(points: DataFrame, lines: DataFrame, cell: float | None = None, most_rounds: int = 80) -> DataFrame:
-    """``point, line, dist``: the nearest line of each point at whatever distance. ``cell`` is the first grid's width, by the lines' density where it isn't given."""
-    p, s = written(_finite(points, ("x", "y")).select("point", "x", "y"), "points"), written(_finite(lines, ENDS).select("line", *ENDS), "segments")
+def nearest(points: DataFrame, lines: DataFrame, cell: float | None = None) -> DataFrame:
+    """``point, line, dist``: the nearest line of each point at whatever distance. ``cell`` is the finest grid's width, by the lines' density where it isn't given."""
+    p, s = written(_finite(points, ("x", "y")).select("point", "x", "y"), "points"), written(_courses(_finite(lines, ENDS)), "segments")
     box = s.agg(F.min(F.least("x1", "x2")), F.max(F.greatest("x1", "x2")), F.min(F.least("y1", "y2")), F.max(F.greatest("y1", "y2")), F.count(F.lit(1))).first()
-    at = p.agg(F.min("x"), F.max("x"), F.min("y"), F.max("y")).first()
-    nothing = p.join(s, F.lit(False)).select("point", "line", F.lit(0.0).alias("dist"))
-    if not box[4] or at[0] is None:
-        return nothing
-    span = max(max(box[1], at[1]) - min(box[0], at[0]), max(box[3], at[3]) - min(box[2], at[2]), 1e-6)
-    width = cell or span / max(1.0, box[4] ** 0.5)
-    found, open_ = [], p
-    for _ in range(most_rounds):
-        keyed = open_.select("*", F.inline(around(width)))
-        met = keyed.join(s.select("*", F.inline(crossed_cells(width))), ["cx", "cy"])
-        best = met.groupBy("point").agg(F.min(F.struct(F.round(point_segment(*map(F.col, ("x", "y", *ENDS))), DIGITS).alias("dist"), "line")).alias("m"))
-        best = written(best.select("point", "m.line", "m.dist"), "ring")
-        settled = best.filter(F.col("dist") < width - 10.0**-DIGITS)  # all that lies within a width has been met
-        found.append(settled)
-        open_ = written(open_.join(settled.select("point"), "point", "left_anti"), "open")
-        if open_.isEmpty():
-            break
-        width *= 2
-    else:
-        raise RuntimeError("the rings did not reach every point")
-    out = found[0]
-    for f in found[1:]:
-        out = out.unionByName(f)
-    return out
+    if not box[4]:
+        return p.join(s, F.lit(False)).select("point", "line", F.lit(0.0).alias("dist"))
+    span = max(box[1] - box[0], box[3] - box[2], 1e-6)
+    finest = float(cell or span / max(1.0, box[4] ** 0.5))
+    # room for what rounding does to cells and distances
+    slack = finest * 1e-6 + 2 * 10.0**-DIGITS + max(map(abs, box[:4])) * 1e-12
+    held = written(spread(s, *ENDS).select("*", F.inline(crossed_cells(finest))), "held")
+    grids = [written(held.select("cx", "cy").distinct(), "grid")]
+    for _ in range(max(0, math.ceil(math.log2(span / finest)))):
+        grids.append(written(grids[-1].select(F.floor(F.col("cx") / 2).alias("cx"), F.floor(F.col("cy") / 2).alias("cy")).distinct(), "grid"))
+    place = Window.partitionBy("x", "y")
+    near = spread(p.select("x", "y").distinct(), "x", "y").crossJoin(F.broadcast(grids[-1]))  # a few cells span all lines
+    for level in range(len(grids) - 1, -1, -1):
+        if level < len(grids) - 1:
+            quarters = F.array(*[F.struct((F.col("cx") * 2 + i).alias("cx"), (F.col("cy") * 2 + j).alias("cy")) for i in (0, 1) for j in (0, 1)])
+            near = near.select("x", "y", F.inline(quarters)).join(grids[level], ["cx", "cy"])
+        width = finest * 2.0**level
+        low, high = [], []
+        for at, c in (("x", "cx"), ("y", "cy")):
+            under, over = F.col(c) * width - F.col(at), F.col(at) - (F.col(c) + 1) * width
+            low.append(F.greatest(under, over, F.lit(0.0)))
+            high.append(F.greatest(F.abs(under), F.abs(over)))
+        least, most = (F.sqrt(a * a + b * b) for a, b in (low, high))
+        near = near.withColumn("least", least).withColumn("bound", F.min(most).over(place)).filter(F.col("least") <= F.col("bound") * (1 + 1e-9) + slack)
+        near = written(near.select("x", "y", "cx", "cy"), "near")
+    salt = F.pmod(F.xxhash64("x", "y"), F.lit(SALTS))
+    near = spread(near.withColumn("salt", salt), "cx", "cy", "salt")
+    copies = held.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+    best = near.join(spread(copies, "cx", "cy", "salt"), ["cx", "cy", "salt"]).groupBy("x", "y").agg(F.min(F.struct(_apart().alias("dist"), "line")).alias("m"))
+    return p.join(best, ["x", "y"]).groupBy("point").agg(F.min("m").alias("m")).select("point", "m.line", "m.dist")
 
 
 def adjacent(lines: DataFrame, others: DataFrame, tolerance: float, group: tuple[str, ...] = ()) -> DataFrame:
-    """``line, other``: lines both of whose ends lie within ``tolerance`` of the other."""
-    ends = lines.select(*group, F.col("line").alias("of"), *[F.array(F.struct(F.col("x1").alias("x"), F.col("y1").alias("y"), F.lit(1).alias("nth")), F.struct(F.col("x2").alias("x"), F.col("y2").alias("y"), F.lit(2).alias("nth"))).alias("e")])
-    points = ends.select(*group, "of", F.inline("e")).withColumn("point", F.struct("of", "nth"))
-    hits = within(points, others, tolerance, group).groupBy(*group, F.col("point.of").alias("of"), F.col("line").alias("other")).agg(F.countDistinct("point.nth").alias("n"))
-    return hits.filter("n = 2").select(*group, F.col("of").alias("line"), "other")
+    """``line, other``: lines both of whose ends lie within ``tolerance`` of the other. Each place where lines start meets the others once; their other ends are measured then."""
+    s, o = _finite(lines, ENDS).select(*group, F.col("line").alias("of"), F.col("x1").alias("x"), F.col("y1").alias("y"), F.col("x2").alias("to_x"), F.col("y2").alias("to_y")), _finite(others, ENDS)
+    width = tolerance * (1 + 1e-6) + 1e-6
+    places = s.select(*group, "x", "y").distinct().select("*", F.inline(around(width)))
+    crossed = spread(o.select(*group, "line", *ENDS)).select("*", F.inline(crossed_cells(width)))
+    near = places.join(crossed, [*group, "cx", "cy"]).filter(_apart() <= tolerance).drop("cx", "cy").distinct()  # a long segment meets a place in several cells
+    keys = [*group, "x", "y", "salt"]
+    near = spread(near.withColumn("salt", F.pmod(F.xxhash64("line", *ENDS), F.lit(SALTS))), *keys)
+    starts = spread(s.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long")))), *keys)
+    there = F.round(point_segment(*map(F.col, ("to_x", "to_y", *ENDS))), DIGITS) <= tolerance
+    return near.join(starts, keys).filter(there).select(*group, F.col("of").alias("line"), F.col("line").alias("other"))

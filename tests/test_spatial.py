@@ -61,3 +61,21 @@ def test_nothing(spark):
     points, lines = frames(spark, *data(1, 5.0))
     assert S.nearest(points.limit(0), lines).collect() == [] == S.nearest(points, lines.limit(0)).collect()
     assert S.within(points, lines.limit(0), 5.0).collect() == []
+
+
+def test_copies_meet_once_and_work_is_spread(spark):
+    """Places and courses that many share: the same rows as by all pairs, and few bytes of input don't end in one task."""
+    points, lines = data(4, 10.0)
+    points += [(1000 + p[0], *p[1:]) for p in points]
+    lines = [(1000 + s[0], *s[1:]) for s in lines] + lines
+    far = [(3000 + i, 400.0 + i, 300.0 - i) for i in range(40)]
+    p, s = frames(spark, points + far, lines)
+    want = {q[0]: min((distance(q[1:], t[1:]), t[0]) for t in lines) for q in points + far}
+    got = S.nearest(p, s)
+    assert {r.point: r.line for r in got.collect()} == {q: line for q, (_, line) in want.items()}
+    close = S.nearest_within(p, s, 5.0)
+    assert {(r.point, r.line, r.dist) for r in close.collect()} == {(q, line, d) for q, (d, line) in want.items() if d <= 5.0}
+    pairs = S.adjacent(s, s, 1.0)
+    for df in (got, close, pairs):
+        assert "REPARTITION_BY_NUM" in df._jdf.queryExecution().executedPlan().toString()
+    assert pairs.count() == sum(max(distance(a[1:3], b[1:]), distance(a[3:], b[1:])) <= 1.0 for a in lines for b in lines)
