@@ -319,13 +319,13 @@ def _law_graph(t: Tables) -> tuple[DataFrame, DataFrame, DataFrame]:
 @query(EXPANDED)
 def semantic_range(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Articles within a cost of one over several hops from each question's ten nearest."""
-    return expand(*_law_graph(Tables(spark, sf_dir)), seeds=10, least=0.0).drop("via")
+    return expand(*_law_graph(Tables(spark, sf_dir)), seeds=10, least=0.0, via=False)
 
 
 @query(f"SELECT * FROM ({EXPANDED}) WHERE rank <= 5")
 def semantic_first_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first five articles of the same expansion, in order of relevance."""
-    return expand(*_law_graph(Tables(spark, sf_dir)), seeds=10, least=0.0, first=5).drop("via")
+    return expand(*_law_graph(Tables(spark, sf_dir)), seeds=10, least=0.0, first=5, via=False)
 
 
 @query(f"""WITH {SCORED} SELECT vec_id, score, row_number() OVER (ORDER BY score DESC, vec_id) AS rank FROM scored WHERE query_id = 20 AND label <> 3 QUALIFY rank <= 8""")
