@@ -2,9 +2,11 @@
 
 import time
 
+import duckdb
 from pyspark.sql import functions as F
 
 from loomgraph.functions.text import strip_tags
+from loomgraph.plans import catalogue, text
 
 
 def text_of(spark, *pages):
@@ -24,3 +26,17 @@ def test_linear_time(spark):
         began = time.time()
         text_of(spark, page)
         assert time.time() - began < 10
+
+
+def test_similar_names_by_blocks(spark, tmp_path, monkeypatch):
+    """Blocks of a few rows give each pair of a brand once, and their pairs are spread over all tasks."""
+    names = ["hot bolt", "hot ring", "Hot Bolt", "", None, "small hot bolt"]
+    rows = [(i, names[i % 6], ("A", "B", None)[i % 7 % 3]) for i in range(90)]
+    spark.createDataFrame(rows, "p_partkey long, p_name string, p_brand string").write.parquet(f"{tmp_path}/part.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW part AS SELECT * FROM read_parquet('{tmp_path}/part.parquet/*.parquet')")
+    want = con.execute(catalogue.ORACLES["string_similarity"]).fetchall()
+    monkeypatch.setattr(text, "SIMILARITY_ROWS", 7)
+    df = catalogue.QUERIES["string_similarity"](spark, str(tmp_path))
+    assert sorted(map(repr, map(tuple, df.collect()))) == sorted(map(repr, want))
+    assert "REPARTITION_BY_NUM" in df._jdf.queryExecution().executedPlan().toString()
