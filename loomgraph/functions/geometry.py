@@ -26,7 +26,7 @@ def ring_centroid(ring: Column) -> Column:
     total = lambda part: F.aggregate(_sides(ring), F.lit(0.0), lambda s, p: s + part(p))
     twice = total(cross)
     flat = twice == 0
-    axis = lambda k: F.when(flat, total(lambda p: p["a"][k]) / F.size(ring)).otherwise(total(lambda p: (p["a"][k] + p["b"][k]) * cross(p)) / F.nullif(3 * twice, F.lit(0.0)))
+    axis = lambda k: F.when(flat, total(lambda p: p["a"][k]) / F.nullif(F.size(ring), F.lit(0))).otherwise(total(lambda p: (p["a"][k] + p["b"][k]) * cross(p)) / F.nullif(3 * twice, F.lit(0.0)))
     return F.struct(axis("x").alias("x"), axis("y").alias("y"))
 
 

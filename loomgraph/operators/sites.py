@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomgraph.functions.geometry import _sides, ring_centroid
+from loomgraph.session import spread
 
 # Least length of an edge, half of the arc that counts as north, share of the longest edge that a second road edge has.
 SHORTEST, NORTH_ARC, ROAD_SHARE = 0.01, 60.0, 0.70
@@ -67,6 +68,11 @@ def request_intents(text: Column) -> Column:
     return F.struct(intents.alias("intents"), F.when(F.array_contains(met, "core_relocation"), side.otherwise("edge")).alias("core_side"))
 
 
+def _once(df: DataFrame, *columns: Column | str) -> DataFrame:
+    """``df.select`` whose columns are worked out once a row: as rows of a generator they aren't written into the expressions, and the loops over arrays, that use them."""
+    return df.select(F.inline(F.array(F.struct(*columns))))
+
+
 def edge_classes(parcels: DataFrame, ring: str, roads: str | None = None) -> DataFrame:
     """One row per edge of each ring: the other columns with ``edge, length, north, road, adjacent``.
 
@@ -79,7 +85,8 @@ def edge_classes(parcels: DataFrame, ring: str, roads: str | None = None) -> Dat
     """
     keep = [c for c in parcels.columns if c not in (ring, roads)]
     marks = F.col(roads) if roads else F.array().cast("array<boolean>")
-    p = parcels.select(*keep, ring_centroid(F.col(ring)).alias("_centre"), marks.alias("_marks"), _sides(F.col(ring)).alias("_sides"))
+    p = _once(spread(parcels), *keep, F.col(ring).alias("_ring"), marks.alias("_marks"))
+    p = _once(p, *keep, ring_centroid(F.col("_ring")).alias("_centre"), "_marks", _sides(F.col("_ring")).alias("_sides"))
 
     def told(side: Column, i: Column) -> Column:
         dx, dy = side["b"]["x"] - side["a"]["x"], side["b"]["y"] - side["a"]["y"]
@@ -89,12 +96,13 @@ def edge_classes(parcels: DataFrame, ring: str, roads: str | None = None) -> Dat
         marked = F.coalesce(F.get(F.col("_marks"), i), F.lit(False))
         return F.struct(i.alias("edge"), F.sqrt(dx * dx + dy * dy).alias("length"), ((turn >= 360 - NORTH_ARC) | (turn <= NORTH_ARC)).alias("north"), marked.alias("marked"), side["a"].alias("a"), side["b"].alias("b"))
 
-    p = p.select(*keep, F.filter(F.transform("_sides", told), lambda e: e["length"] >= SHORTEST).alias("_edges"))
+    p = _once(p, *keep, F.transform("_sides", told).alias("_told"))
+    p = _once(p, *keep, F.filter("_told", lambda e: e["length"] >= SHORTEST).alias("_edges"))
     first = F.array_min(F.transform("_edges", lambda e: F.struct((-e["length"]).alias("short"), e["edge"].alias("edge"), e["a"].alias("a"), e["b"].alias("b"))))
-    p = p.withColumns({"_any": F.exists("_edges", lambda e: e["marked"]), "_first": first})
+    p = _once(p, *keep, "_edges", F.exists("_edges", lambda e: e["marked"]).alias("_any"), first.alias("_first"))
     touches = lambda e: (e["a"] == F.col("_first.a")) | (e["a"] == F.col("_first.b")) | (e["b"] == F.col("_first.a")) | (e["b"] == F.col("_first.b"))
     near = F.filter("_edges", lambda e: (e["edge"] != F.col("_first.edge")) & touches(e) & (e["length"] >= -F.col("_first.short") * ROAD_SHARE))
-    p = p.withColumn("_second", F.array_min(F.transform(near, lambda e: F.struct((-e["length"]).alias("short"), e["edge"].alias("edge")))))
+    p = _once(p, *keep, "_edges", "_any", "_first", F.array_min(F.transform(near, lambda e: F.struct((-e["length"]).alias("short"), e["edge"].alias("edge")))).alias("_second"))
     e = p.select(*keep, "_any", F.col("_first.edge").alias("_one"), F.col("_second.edge").alias("_two"), F.explode("_edges").alias("_e"))
     road = F.when(F.col("_any"), F.col("_e.marked")).otherwise((F.col("_e.edge") == F.col("_one")) | F.coalesce(F.col("_e.edge") == F.col("_two"), F.lit(False)))
     return e.select(*keep, "_e.edge", "_e.length", "_e.north", road.alias("road")).withColumn("adjacent", ~F.col("road") & ~F.col("north"))

@@ -166,3 +166,12 @@ def test_square_has_one_north_edge_and_two_roads(spark, turned):
 def test_parcel_without_corners(spark):
     p = spark.createDataFrame([(1, []), (2, [(1.0, 1.0)]), (3, None)], "k int, ring array<struct<x: double, y: double>>")
     assert sites.edge_classes(p, "ring").collect() == []
+
+
+def test_edges_are_worked_out_once(spark):
+    """No expression of a parcel is written into those that use it, so none is worked out again for every edge."""
+    from loomgraph.plans import catalogue
+
+    plan = catalogue.QUERIES["parcel_edges"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.lower().count("atan2") == 2  # both sides of north
+    assert "RepartitionByExpression" in plan or "Repartition" in plan
