@@ -11,6 +11,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -42,34 +43,38 @@ class Transcripts(StatefulProcessor):
         self.parts = handle.getListState("parts", "text string")
         self.about = handle.getValueState("about", "session long, last long")  # number of the open session, ms of its last fragment
 
-    def _flush(self, key, session: int) -> pd.DataFrame:
-        words = [p[0] for p in self.parts.get()]
-        self.parts.clear()
-        return pd.DataFrame({self.key: [key[0]], "session": [session], "fragments": [len(words)], "transcript": [" ".join(words)]})
+    def _rows(self, key, session: int, buffers: list[list[str]]) -> pd.DataFrame:
+        return pd.DataFrame({self.key: [key[0]] * len(buffers), "session": range(session, session + len(buffers)), "fragments": [len(b) for b in buffers], "transcript": [" ".join(b) for b in buffers]})
 
     def handleInputRows(self, key, rows, timerValues: TimerValues) -> Iterator[pd.DataFrame]:
         p = pd.concat(list(rows)).sort_values(["at", "seq"], kind="stable")
-        session, last = self.about.get() if self.about.exists() else (1, None)
-        waiting = []
-        for at, text in zip(p["at"], p["text"]):
-            if last is not None and at >= last + self.gap_ms:
-                self.parts.appendList(waiting) if waiting else None
-                if self.parts.exists():  # else the timer has flushed it
-                    yield self._flush(key, session)
-                    session += 1
-                waiting = []
-            waiting.append((text,))
-            last = int(at) if last is None else max(last, int(at))
-        self.parts.appendList(waiting)
-        for t in list(self.handle.listTimers()):
-            self.handle.deleteTimer(t)
-        self.handle.registerTimer(last + self.gap_ms)
-        self.about.update((session, last))
+        known = self.about.get()
+        session, last = known or (1, None)
+        at = p["at"].to_numpy()
+        # stamps are in order: the latest before a row is the one above it, or what the state holds if that is later
+        before = np.maximum(np.concatenate([at[:1] if last is None else [last], at[:-1]]), at[0] if last is None else last)
+        cuts = np.flatnonzero(at >= before + self.gap_ms)
+        buffers = [list(b) for b in np.split(p["text"].to_numpy(), cuts)]
+        if known and len(cuts):  # the first gap flushes what the state holds; nothing, if the timer has
+            buffers[0] = [x[0] for x in self.parts.get()] + buffers[0]
+            self.parts.clear()
+        done = [b for b in buffers[:-1] if b]
+        if done:
+            yield self._rows(key, session, done)
+            session += len(done)
+        self.parts.appendList([(x,) for x in buffers[-1]])
+        now = int(at[-1]) if last is None else max(last, int(at[-1]))
+        if last is not None:
+            self.handle.deleteTimer(last + self.gap_ms)
+        self.handle.registerTimer(now + self.gap_ms)
+        self.about.update((session, now))
 
     def handleExpiredTimer(self, key, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:
         session, last = self.about.get()
-        if self.parts.exists():
-            yield self._flush(key, session)
+        words = [x[0] for x in self.parts.get()]
+        if words:
+            self.parts.clear()
+            yield self._rows(key, session, [words])
             self.about.update((session + 1, last))
 
     def close(self) -> None:

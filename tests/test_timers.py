@@ -87,3 +87,25 @@ def test_query_token_limit(spark):
             want[i] = t - at
     got = {r.event_id: r.waited_ms for r in catalogue.QUERIES["token_limit_waits"](spark, SF).collect()}
     assert got == want
+
+
+def test_a_batch_of_gaps_asks_the_state_once(spark):
+    """However many buffers a micro-batch closes, they are one table, and the state is asked as often as for one."""
+    import pandas as pd
+
+    calls = []
+
+    class State:
+        def __init__(self, value):
+            self.value = value
+
+        def __getattr__(self, name):
+            calls.append(name)
+            return {"get": lambda: self.value, "exists": lambda: bool(self.value)}.get(name, lambda *a: iter(()))
+
+    t = timers.Transcripts("user_id", 10)
+    t.handle, t.parts, t.about = State(None), State([("a",), ("b",)]), State((3, 5))
+    rows = pd.DataFrame({"at": [6, 20, 21, 40, 60], "seq": range(5), "text": list("cdefg")})
+    got = list(t.handleInputRows((1,), iter([rows]), None))
+    assert [list(map(tuple, g.itertuples(index=False))) for g in got] == [[(1, 3, 3, "a b c"), (1, 4, 2, "d e"), (1, 5, 1, "f")]]
+    assert len(calls) <= 8
