@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomgraph.session import written
+
 # Pairs of unit types whose edge tells structure.
 STRUCTURE = (("LAW", "JANG"), ("LAW", "JO"), ("JANG", "JEOL"), ("JANG", "JO"), ("JEOL", "JO"), ("JO", "HANG"), ("HANG", "HO"), ("HO", "MOK"))
 
@@ -92,8 +94,9 @@ def provenance_graph(turns: DataFrame, agents: DataFrame, executions: DataFrame,
         rows = known(rows.filter("id IS NOT NULL"), "turn", turns).select(*columns)
         return rows.filter("execution IS NULL").unionByName(known(rows, "execution", executions).select(*columns))
 
-    made = placed(known(decisions, "agent", agents), "id", "turn", "agent", "execution")
-    brought = placed(artifacts, "id", "turn", "execution", "decision")
+    # nodes and edges of seven kinds come from these, so they are joined once
+    made = written(placed(known(decisions, "agent", agents), "id", "turn", "agent", "execution"), "made")
+    brought = written(placed(artifacts, "id", "turn", "execution", "decision"), "brought")
     nodes = made.select("id", F.lit("Decision").alias("label")).unionByName(support.filter("evidence IS NOT NULL").select(F.col("evidence").alias("id"), F.lit("Evidence").alias("label")))
     nodes = nodes.unionByName(brought.select("id", F.lit("Artifact").alias("label")))
     parts = [
