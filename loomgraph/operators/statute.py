@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomgraph.functions.text import found_in_context
+from loomgraph.session import dealt
 
 # Unit types from the highest level to the lowest, and the patterns of their lines.
 LEVELS = ("PYEON", "JANG", "JEOL", "GWAN", "JO", "HANG", "HO", "MOK")
@@ -32,18 +33,25 @@ CITATION = r"「([^」]+)」\s*제(\d+)조"
 
 def _inside(level: str, w) -> Column:
     """Whether a unit of the level has begun above this line."""
-    return F.max(F.when(F.rlike("text", F.lit(PATTERNS[level])), 1)).over(w).isNotNull()
+    return F.max(F.when(F.col(f"_{level}"), 1)).over(w).isNotNull()
 
 
 def classified(lines: DataFrame) -> DataFrame:
-    """``unit_type`` of each line by precedence; null for continuation. Paragraphs need an article above, items a paragraph."""
+    """``unit_type`` of each line by precedence; null for continuation. Paragraphs need an article above, items a paragraph.
+
+    Patterns are tried once a line, before lines go to their document's task;
+    documents are dealt to as many tasks as the lines ask for.
+    """
+    names = lines.columns
+    hits = {f"_{x}": F.rlike("text", F.lit(PATTERNS[x])) for x in ORDER} | {"_date": F.rlike("text", F.lit(DATE_PART))}
+    tried = dealt(lines.withColumn("text", F.trim("text")).filter("text <> ''").withColumns(hits), lines.count(), "doc")
     w = Window.partitionBy("doc").orderBy("line_number").rowsBetween(Window.unboundedPreceding, -1)
-    guard = {"HANG": _inside("JO", w), "HO": _inside("HANG", w) & ~F.rlike("text", F.lit(DATE_PART)), "MOK": _inside("HO", w)}
+    guard = {"HANG": _inside("JO", w), "HO": _inside("HANG", w) & ~F.col("_date"), "MOK": _inside("HO", w)}
     kind = None
     for level in ORDER:
-        hit = F.rlike("text", F.lit(PATTERNS[level])) & guard.get(level, F.lit(True))
+        hit = F.col(f"_{level}") & guard.get(level, F.lit(True))
         kind = F.when(hit, level) if kind is None else kind.when(hit, level)
-    return lines.withColumn("text", F.trim("text")).filter("text <> ''").withColumn("unit_type", kind)
+    return tried.withColumn("unit_type", kind).select(*names, "unit_type")
 
 
 def units(lines: DataFrame) -> DataFrame:
@@ -88,10 +96,11 @@ def units(lines: DataFrame) -> DataFrame:
 
 def unit_edges(units_: DataFrame) -> DataFrame:
     """CONTAINS edges from parent to child and NEXT edges between siblings of a type: ``src, dst, type, ord``."""
-    contains = units_.select(F.col("parent_id").alias("src"), F.col("full_id").alias("dst"), F.lit("CONTAINS").alias("type"), "ord")
     w = Window.partitionBy("doc", "parent_id", "unit_type").orderBy("ord")
-    nxt = units_.select(F.col("full_id").alias("src"), F.lead("full_id").over(w).alias("dst"), F.lit("NEXT").alias("type"), "ord").filter("dst IS NOT NULL")
-    return contains.unionByName(nxt)
+    edge = lambda src, dst, kind: F.struct(F.col(src).alias("src"), F.col(dst).alias("dst"), F.lit(kind).alias("type"), "ord")
+    contains, nxt = edge("parent_id", "full_id", "CONTAINS"), edge("full_id", "next", "NEXT")
+    each = units_.select("parent_id", "full_id", "ord", F.lead("full_id").over(w).alias("next"))
+    return each.select(F.inline(F.when(F.col("next").isNull(), F.array(contains)).otherwise(F.array(contains, nxt))))
 
 
 def typed_ids(units_: DataFrame, laws: DataFrame) -> DataFrame:
