@@ -2,7 +2,7 @@
 
 Vector search deals both sides into blocks and meets them by ``(query block,
 row block)``: each pair of blocks is a matrix product in one group of bounded
-size, of which only each query's best rows leave. Tasks grow with queries times
+size, a strip of queries at a time, of which only each query's best rows leave. Tasks grow with queries times
 rows, nothing is broadcast, and no pair is written out that can't be a result.
 """
 
@@ -18,15 +18,17 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from loomgraph.operators.registries import mode
+from loomgraph.session import dealt, spread, written
 
-QUERY_ROWS, ROWS, LEAST_ROWS = 1024, 4096, 256  # vectors in a block: of queries, and of rows at most and (where cores would idle) at least
+QUERY_ROWS, ROWS, LEAST_ROWS, STRIP = 8192, 8192, 256, 64  # vectors in a block: of queries, and of rows at most and (where cores would idle) at least; queries scored at a time
 
 
 def _by_length(column: pa.ChunkedArray) -> dict[int, tuple[np.ndarray, np.ndarray]]:
     """Vectors of each length: their places and the matrix of them; null components become NaN."""
     sizes = pc.list_value_length(column).to_numpy()
     places = {int(n): np.flatnonzero(sizes == n) for n in np.unique(sizes)}
-    return {n: (at, np.array(column.take(at).to_pylist(), np.float64).reshape(len(at), n)) for n, at in places.items()}
+    values = lambda at: pc.cast(pc.list_flatten(column.take(pa.array(at))), pa.float64()).to_numpy()
+    return {n: (at, values(at).reshape(len(at), n)) for n, at in places.items()}
 
 
 def cosines(q: np.ndarray, r: np.ndarray, digits: int) -> np.ndarray:
@@ -45,10 +47,9 @@ def distances(q: np.ndarray, r: np.ndarray, digits: int) -> np.ndarray:
         return np.where(finite, np.round(np.sqrt(np.maximum(0, square)), digits), np.inf)
 
 
-def _scores(q: pa.ChunkedArray, r: pa.ChunkedArray, metric: str, digits: int) -> np.ndarray:
+def _scores(q: pa.ChunkedArray, rows: dict[int, tuple[np.ndarray, np.ndarray]], n_rows: int, metric: str, digits: int) -> np.ndarray:
     """Larger is nearer: cosines, or negative distances; vectors of different lengths score 0, or are at no distance."""
-    out = np.full((len(q), len(r)), -np.inf if metric == "l2" else 0.0)
-    rows = _by_length(r)
+    out = np.full((len(q), n_rows), -np.inf if metric == "l2" else 0.0)
     for n, (i, a) in _by_length(q).items():
         if n in rows:
             j, b = rows[n]
@@ -56,6 +57,36 @@ def _scores(q: pa.ChunkedArray, r: pa.ChunkedArray, metric: str, digits: int) ->
     return out
 
 
+def _top_cosines(q: np.ndarray, r: np.ndarray, q_ids: np.ndarray | None, r_ids: np.ndarray, k: int, digits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Places in ``q`` and ``r`` and scores of the ``k`` best rows of each query, ties to the earlier row, and the queries left out: those whose ``k``-th score may be 0.
+
+    Single precision tells which rows come near the ``k``-th; their scores are
+    taken in double precision. With ``q_ids``, rows of a query's own id are left out.
+    """
+    def units(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        size = np.linalg.norm(x, axis=1)
+        good = np.isfinite(x).all(1) & (size > 0) & np.isfinite(size)
+        return size, np.divide(x, size[:, None], out=np.zeros_like(x), where=good[:, None]).astype(np.float32)
+
+    (q_size, qu), (r_size, ru) = units(q), units(r)
+    off = 10.0**-digits + 2.4e-7 * max(4, q.shape[1])
+    found, left = [], []
+    for at in range(0, len(q), STRIP):
+        s = qu[at : at + STRIP] @ ru.T
+        if q_ids is not None:
+            s[q_ids[at : at + STRIP, None] == r_ids[None, :]] = -2
+        kth = np.partition(s, len(r) - k, axis=1)[:, len(r) - k]
+        left.append(at + np.flatnonzero(kth <= off))
+        i, j = np.nonzero(s >= np.where(kth > off, kth - off, 3)[:, None])
+        i = i + at
+        score = np.round(np.clip(np.einsum("nd,nd->n", q[i], r[j]) / (q_size[i] * r_size[j]), 0, 1), digits)
+        by = np.lexsort((j, -score, i))
+        i, j, score = i[by], j[by], score[by]
+        keep = np.arange(len(i)) - np.searchsorted(i, i) < k
+        found.append((i[keep], j[keep], score[keep]))
+    return (*(np.concatenate(x) for x in zip(*found)), np.concatenate(left))
+
+
 def _blocks(queries: DataFrame, rows: DataFrame, query_id: str, row_id: str, query_rows: int, row_rows: int) -> tuple[DataFrame, DataFrame]:
     n_q, n_r = queries.count(), rows.count()
     tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -89,9 +120,21 @@ def nearest(
 
     def meet(a: pa.Table, b: pa.Table) -> pa.Table:
         b = b.sort_by(row_id)  # so that the first of equal scores has the smaller id
+        out = pa.schema([a.schema.field(c) for c in names_q] + [b.schema.field(c) for c in names_r] + [("score", pa.float64())])
         if not a.num_rows or not b.num_rows:
-            return pa.Table.from_batches([], pa.schema([a.schema.field(c) for c in names_q] + [b.schema.field(c) for c in names_r] + [("score", pa.float64())]))
-        s = _scores(a[query_vector], b[vector], metric, digits)
+            return out.empty_table()
+        rows = _by_length(b[vector])
+        b, parts = b.select(names_r), []
+        if metric == "cosine" and k and k < b.num_rows and not (same or least or best_per) and len(rows) == 1:
+            (n, (_, r)), asked = next(iter(rows.items())), _by_length(a[query_vector])
+            if set(asked) == {n} and n:
+                i, j, score, left = _top_cosines(asked[n][1], r, a[query_id].to_numpy() if others else None, b[row_id].to_numpy(), k, digits)
+                parts.append(pa.table([*[a[c].take(pa.array(i)) for c in names_q], *[b[c].take(pa.array(j)) for c in names_r], pa.array(score)], schema=out))
+                a = a.take(pa.array(left))
+        return pa.concat_tables([out.empty_table(), *parts, *(strip(a.slice(at, STRIP), b, rows) for at in range(0, a.num_rows, STRIP))])
+
+    def strip(a: pa.Table, b: pa.Table, rows: dict) -> pa.Table:
+        s = _scores(a[query_vector], rows, b.num_rows, metric, digits)
         if others:
             s[a[query_id].to_numpy()[:, None] == b[row_id].to_numpy()[None, :]] = -np.inf
         if same:
@@ -112,7 +155,7 @@ def nearest(
         cols = [a[c].take(i) for c in names_q] + [b[c].take(j) for c in names_r]
         return pa.table([*cols, pa.array(s[i, j])], names=[*names_q, *names_r, "score"])
 
-    found = q.groupBy("_q", "_r").cogroup(r.groupBy("_q", "_r")).applyInArrow(meet, schema)
+    found = spread(q, "_q", "_r").groupBy("_q", "_r").cogroup(spread(r, "_q", "_r").groupBy("_q", "_r")).applyInArrow(meet, schema)
     ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy(query_id).orderBy(F.desc("score"), row_id)))
     if k and not best_per:
         ranked = ranked.filter(F.col("rank") <= k)
@@ -138,6 +181,30 @@ def terms(text: Column) -> Column:
     return F.array_distinct(F.filter(F.split(F.lower(text), WORD), lambda w: w != ""))
 
 
+COMMON, TERMS = 20_000, 50  # terms that a broadcast may hold, and terms that a text is taken to have when texts are dealt to tasks
+
+
+def best_terms(rows: DataFrame, row_id: str, text: str, separator: str, k: int, least_length: int = 4) -> DataFrame:
+    """``row_id, term, weight, rank``: the ``k`` terms of highest tf-idf of each id, ties to the first term.
+
+    Texts are dealt by id once, and their terms are counted and ranked there.
+    The numbers of the ``COMMON`` commonest terms are broadcast; of those, only
+    an id's best ``k`` go on. Only rarer terms meet their numbers by a shuffle.
+    """
+    rows = rows.select(F.col(row_id).alias("id"), F.col(text).alias("text"))
+    word = F.explode(F.split(F.lower("text"), separator)).alias("term")
+    n = rows.count()
+    tf = dealt(rows, TERMS * n, "id").select("id", word).filter(F.length("term") >= least_length).groupBy("id", "term").agg(F.count(F.lit(1)).alias("tf"))
+    df = written(tf.groupBy("term").agg(F.count(F.lit(1)).alias("df")), "df")
+    common = df.filter("df > 1").orderBy(F.desc("df"), "term").limit(COMMON)
+    weight = F.round(F.col("tf") * F.log((1.0 + n) / (1.0 + F.col("df"))), 6)
+    best = lambda w: w.withColumn("rank", F.row_number().over(Window.partitionBy("id").orderBy(F.desc("weight"), "term"))).filter(F.col("rank") <= k)
+    marked = tf.join(F.broadcast(written(common, "common")), "term", "left")
+    few = best(marked.filter("df is not null").select("id", "term", weight.alias("weight"))).drop("rank")
+    rare = marked.filter("df is null").select("id", "term", "tf").join(df, "term").select("id", "term", weight.alias("weight"))
+    return best(few.unionByName(rare)).select(F.col("id").alias(row_id), "term", "weight", "rank")
+
+
 def keyword_scores(queries: DataFrame, rows: DataFrame, k: int, question: str, text: str, query_id: str = "query_id", row_id: str = "vec_id") -> DataFrame:
     """``query_id, row_id, score``: the ``k`` rows of each query that hold most of its words, by an equi-join on words."""
     asked = queries.select(F.col(query_id), F.explode(terms(F.col(question))).alias("word"))

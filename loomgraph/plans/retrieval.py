@@ -120,13 +120,7 @@ w AS (SELECT doc_id, term, round(tf * ln((1.0 + n) / (1.0 + df)), 6) AS weight,
 @query(f"WITH {TFIDF} SELECT doc_id, term, weight, rank FROM w WHERE rank <= 3")
 def inverted_index_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The three terms of highest tf-idf per document."""
-    d = Tables(spark, sf_dir).documents
-    tf = d.select("doc_id", F.explode(F.split(F.lower("text"), WORDS)).alias("term")).filter(F.length("term") > 3).groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("tf"))
-    df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    n = d.agg(F.count(F.lit(1)).alias("n")).withColumn("k", F.lit(1))
-    w = tf.join(df, "term").withColumn("k", F.lit(1)).join(F.broadcast(n), "k").withColumn("weight", F.round(F.col("tf") * F.log((1.0 + F.col("n")) / (1.0 + F.col("df"))), 6))
-    best = Window.partitionBy("doc_id").orderBy(F.desc("weight"), "term")
-    return w.withColumn("rank", F.row_number().over(best)).filter("rank <= 3").select("doc_id", "term", "weight", "rank")
+    return R.best_terms(Tables(spark, sf_dir).documents.select("doc_id", "text"), "doc_id", "text", WORDS, 3)
 
 
 @query(f"""WITH {SCORED}, k(word) AS (VALUES {_KW}),

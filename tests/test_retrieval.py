@@ -93,3 +93,33 @@ def test_nearest_of_odd_vectors(spark, metric):
     else:
         assert set(got) == set(range(1, 9)) and all(len(x) == 7 for x in got.values())
         assert {(q, i) for q, x in got.items() for i, s in x.items() if s} == {(1, 8), (8, 1)}
+
+
+def test_best_cosines_are_exact_and_bounded():
+    """Ties, zero and odd vectors: single precision only narrows the rows down, and no matrix of all queries and rows is made."""
+    import tracemalloc
+
+    r = np.random.default_rng(5)
+    x = r.integers(-2, 3, (3000, 4)).astype(float)
+    x[7], x[8] = np.nan, 0
+    ids = np.arange(len(x))
+    i, j, s, left = R._top_cosines(x[:600], x, ids[:600], ids, 5, 6)
+    assert {7, 8} <= set(left) and len(i) == 5 * (600 - len(left))
+    every = R.cosines(x[:600], x, 6)
+    every[np.arange(600), np.arange(600)] = -np.inf
+    for q in sorted(set(range(600)) - set(left)):
+        want = np.lexsort((ids, -every[q]))[:5]
+        assert list(j[i == q]) == list(want) and np.allclose(s[i == q], every[q][want])
+    tracemalloc.start()
+    R._top_cosines(np.tile(r.normal(size=(600, 4)), (5, 1)), r.normal(size=(3000, 4)), None, ids, 5, 6)
+    assert tracemalloc.get_traced_memory()[1] < 3000 * 3000 * 4
+    tracemalloc.stop()
+
+
+def test_best_terms_broadcast_few(spark, monkeypatch):
+    """Terms beyond the broadcast meet their numbers by a shuffle, with the same rows; a repeated id is one text."""
+    df = spark.createDataFrame([(1, "alpha beta beta gamma"), (2, "alpha delta"), (1, "gamma omega"), (3, None), (4, "alpha beta omega kappa sigma")], "doc_id long, text string")
+    whole = sorted(map(tuple, R.best_terms(df, "doc_id", "text", " ", 2).collect()))
+    monkeypatch.setattr(R, "COMMON", 1)
+    assert sorted(map(tuple, R.best_terms(df, "doc_id", "text", " ", 2).collect())) == whole
+    assert [r[1] for r in whole if r[0] == 1] == ["beta", "gamma"] or {r[1] for r in whole if r[0] == 1} == {"beta", "gamma"}
