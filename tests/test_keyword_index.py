@@ -69,3 +69,17 @@ def test_nothing(spark):
     assert KeywordIndex.build(none).search(asked, 5).collect() == []
     some = KeywordIndex.build(spark.createDataFrame([(1, "a", 1, 1)], ROWS))
     assert some.search(asked.limit(0), 5).collect() == [] and some.search(asked, 5).count() == 1
+
+
+def test_postings_are_dealt_by_block(spark, monkeypatch):
+    """Queries of several groups get a full scan's rows, and no row of a posting is shuffled for each query."""
+    from loomgraph.operators import keyword_index
+
+    monkeypatch.setattr(keyword_index, "QUERIES", 3)
+    r = random.Random(8)
+    rows = [(i, " ".join(r.choice("abcdefghijkl") * r.randint(1, 2) for _ in range(r.randint(1, 20)))) for i in range(300)]
+    asks = [(q, " ".join(r.choice("abcdefghijkl") for _ in range(4))) for q in range(20)]
+    index = KeywordIndex.build(spark.createDataFrame(rows, "doc_id long, text string"), block_rows=16)
+    found = index.search(spark.createDataFrame(asks, "query_id long, question string"), 5)
+    assert sorted(map(tuple, found.collect())) == full_scan(rows, asks, 5)
+    assert "FlatMapCoGroupsInArrow" in found._jdf.queryExecution().executedPlan().toString()
