@@ -31,6 +31,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -42,6 +43,9 @@ from loomgraph.session import written
 WIDTH, GRAM = 100, 44  # widths up to 254; a short gram anchors many strings that only share a few words
 FLUSH = 400_000  # anchors that a task resolves among themselves
 BLOCK = 2048  # regions in a block
+STEPS = (5, 4, 2, 1)  # bytes that a symbol of the transform may have, the first that divides the width
+SHORT = 1 << 16  # powers that a worker keeps, for texts of up to so many bytes
+RUN = 32  # values that are looked up by their least one
 TASK_BLOCKS = 8  # blocks in a task
 LAST = (1 << 63) - 1
 ANCHORS = "anchor long, region long, check long, doc long, tag long, at long, sure boolean"
@@ -75,16 +79,18 @@ def gram_hashes(raw: np.ndarray, k: int) -> np.ndarray:
 
 def leftmost_min(x: np.ndarray, w: int) -> np.ndarray:
     """Place of the least value of each window of ``w``, the leftmost among equals, by doubling."""
-    place, size = np.arange(len(x)), 1
+    place, size = np.arange(len(x), dtype=np.int32), 1
 
-    def better(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        return np.where(x[b] < x[a], b, a)
+    def better(x: np.ndarray, place: np.ndarray, n: int, by: int) -> tuple[np.ndarray, np.ndarray]:
+        """Of the places ``i`` and ``i + by``, ``n`` in all, the better one and its value."""
+        a, b = x[:n], x[by : by + n]
+        return np.minimum(a, b), np.where(b < a, place[by : by + n], place[:n])
 
+    n = len(x) - w + 1
     while size * 2 <= w:
-        place = better(place[:-size], place[size:])
+        x, place = better(x, place, len(x) - size, size)
         size *= 2
-    n = len(x) - w + 1
-    return better(place[:n], place[w - size : w - size + n])
+    return better(x, place, n, w - size)[1]
 
 
 _BYTES = [_mix(np.arange(256, dtype=np.uint64) + np.uint64(first)) for first in (77, 5077)]  # two independent values of each byte
@@ -97,12 +103,21 @@ def prefix_hash(raw: np.ndarray, powers: np.ndarray, which: int) -> np.ndarray:
     return sums
 
 
-def _powers(base: int, n: int) -> np.ndarray:
+@lru_cache
+def _first_powers(base: int) -> np.ndarray:
+    return _powers_upto(base, SHORT)
+
+
+def _powers_upto(base: int, n: int) -> np.ndarray:
     out = np.full(n + 1, np.uint64(base))
     out[0] = 1
     return np.cumprod(out, out=out)
 
 
+def _powers(base: int, n: int) -> np.ndarray:
+    return _first_powers(base)[: n + 1] if n <= SHORT else _powers_upto(base, n)
+
+
 def anchors(raw: np.ndarray, width: int = WIDTH, k: int = GRAM) -> tuple[np.ndarray, ...]:
     """Of a text of at least ``width`` bytes: anchor hashes, two region hashes (128 bits together), first starts and last starts."""
     h = gram_hashes(raw, k)
@@ -223,37 +238,57 @@ def sift(found: DataFrame) -> DataFrame:
     return found.repartition(int(n), key).sortWithinPartitions("anchor", "region", "check", "doc", "tag", "at").mapInArrow(run, RANGES)
 
 
+def symbols_of(regions: list[np.ndarray], step: int) -> tuple[list[np.ndarray], int, np.ndarray]:
+    """Codes from 1 of the ``step``-byte symbols of each region from each of its first ``step`` places, in the order of their bytes; their number; sizes."""
+    flat = np.concatenate(regions)
+    key = np.zeros(len(flat) - step + 1, np.uint64)
+    for i in range(step):
+        key = (key << np.uint64(8)) | flat[i : len(key) + i]
+    n = np.array([len(r) for r in regions])
+    first = np.cumsum(n) - n
+    inside = np.ones(len(key), bool)  # symbols over the end of a region are none
+    for i in range(1, step):
+        ends = first + n - i
+        inside[ends[(ends >= first) & (ends < len(key))]] = False
+    symbols, code = np.unique(key[inside], return_inverse=True)
+    all_codes = np.zeros(len(key), np.int64)
+    all_codes[inside] = code + 1
+    strings = [all_codes[f + p : max(f + p, f + k - step + 1) : step] for f, k in zip(first, n) for p in range(step)]
+    return strings, len(symbols), np.array([len(x) for x in strings])
+
+
 def column_wise(regions: list[np.ndarray], width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """All suffixes of at least ``width`` bytes in sorted order: region, offset, and whether the prefix of ``width`` equals the one before.
 
-    Round j inserts the j-th last symbol of every region that has one. A row of
+    A symbol is a run of ``step`` bytes, and a region's ``step`` ways to be cut
+    into them are strings of their own: a round reads and rewrites all that was
+    inserted before, so longer symbols save rounds. Round j inserts the j-th last
+    symbol of every string that has one. A row of
     the transform is the symbol before its suffix, 0 where there is none; as
     suffixes that start with a symbol stand in the order of what follows, a new
     suffix's place is the number of smaller symbols plus the number of equal
     ones before it in the transform. Its common prefix with the one above is one
     more than the least common prefix between the two rows they come from.
     """
-    m = len(regions)
-    sizes = np.array([len(r) for r in regions])
+    step = next(q for q in STEPS if width % q == 0)
+    codes, n_symbols, sizes = symbols_of(regions, step)
+    m, width = len(codes), width // step
     rounds = int(sizes.max())
-    symbols = np.unique(np.concatenate(regions))
-    kind = np.uint8 if len(symbols) < 255 else np.int16
-    code = np.zeros(256, kind)
-    code[symbols] = np.arange(1, len(symbols) + 1)
-    grid = np.zeros((rounds + 1, m), kind)  # row j: the j-th last symbol of each region, 0 beyond its first
-    for i, r in enumerate(regions):
-        grid[: len(r), i] = code[r[::-1]]
+    kind = np.uint8 if n_symbols < 255 else np.uint16 if n_symbols < 65535 else np.int32
+    grid = np.zeros((rounds + 1, m), kind)  # row j: the j-th last symbol of each string, 0 beyond its first
+    for i, r in enumerate(codes):
+        grid[: len(r), i] = r[::-1]
     # the empty suffixes, one per region, stand first; ends are alike, and no prefix of `width` holds one
     bwt, lcp, name = grid[0].copy(), np.zeros(m, np.uint8), np.arange(m, dtype=np.int32)  # name: m * length + region
     current = np.arange(m)  # the row of each region's longest suffix so far
     for j in range(rounds):
         live = np.flatnonzero(sizes > j)
         rows, symbol = current[live], grid[j, live]
-        order = np.lexsort((rows, symbol))
+        order = np.argsort(rows + (symbol.astype(np.int64) << 32))
         live, rows, symbol = live[order], rows[order], symbol[order].astype(np.int64)
         # one pass over the transform: its rows by symbol, and from them the rank of each new row among its symbol's
         by_symbol = np.argsort(bwt, kind="stable")
-        starts = np.concatenate([[0], np.cumsum(np.bincount(bwt, minlength=len(symbols) + 2))])
+        starts = np.concatenate([[0], np.cumsum(np.bincount(bwt, minlength=n_symbols + 2))])
         at = np.empty(len(bwt), np.int32)
         at[by_symbol] = np.arange(len(bwt), dtype=np.int32)
         at = at[rows].astype(np.int64)
@@ -283,15 +318,29 @@ def column_wise(regions: list[np.ndarray], width: int) -> tuple[np.ndarray, np.n
     length, owner = np.divmod(name, m)
     keep = length >= width
     # between kept rows no shorter one can part equal prefixes: it would sort before both
-    return owner[keep], sizes[owner[keep]] - length[keep], lcp[keep] >= width
+    owner, at = owner[keep], (sizes[owner[keep]] - length[keep]) * step
+    return owner // step, at + owner % step, lcp[keep] >= width
 
 
 def range_min(x: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
-    """Least of ``x[lo..hi]`` for each pair, reading each range in sequence."""
+    """Least of ``x[lo..hi]`` for each pair: runs of ``RUN`` that lie within a range are read as their least values, by the same means, the rest in sequence."""
+    first, last = (lo + RUN - 1) // RUN, (hi + 1) // RUN  # runs within: first to last - 1
+    far = np.flatnonzero(last > first)
+    if not len(far):
+        return _in_sequence(x, lo, hi)
+    ends = np.where(last > first, first * RUN, hi)
+    out = _in_sequence(x, lo, ends)
+    lo, hi, first, last = (v[far] for v in (lo, hi, first, last))
+    inner = range_min(np.minimum.reduceat(x, np.arange(0, len(x), RUN)), first, last - 1)
+    out[far] = np.minimum(np.minimum(out[far], inner), _in_sequence(x, last * RUN - 1, hi))
+    return out  # as small as `width`, so one more fits the type
+
+
+def _in_sequence(x: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
     sizes = hi - lo + 1
     ends = np.cumsum(sizes)
     flat = np.repeat(lo - (ends - sizes), sizes) + np.arange(ends[-1])
-    return np.minimum.reduceat(x[flat], ends - sizes)  # as small as `width`, so one more fits the type
+    return np.minimum.reduceat(x[flat], ends - sizes)
 
 
 def covered_starts(doc: np.ndarray, tag: np.ndarray, start: np.ndarray, regions: list[np.ndarray], width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:

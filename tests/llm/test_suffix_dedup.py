@@ -121,3 +121,33 @@ def test_other_texts_of_an_id_and_null_ids(spark):
         assert sorted(x.n_removed for x in got) == [0, 250, 250] and sum(passage.encode() in x.kept for x in got) == 1
         if ids[0] == 7 and ids[1] is None:
             assert [x.n_removed for x in got if x.doc_id == 7] == [0]  # null ids come last
+
+
+def test_longer_symbols_save_rounds(monkeypatch):
+    """Symbols of several bytes give what single bytes do, for any width, in a part of the rounds."""
+    from loomgraph.llm import suffix_dedup as module
+
+    r = np.random.default_rng(7)
+    base = r.integers(97, 101, 160).astype(np.uint8)
+    regions = [base[i % 20 : i % 20 + r.integers(3, 140)] for i in range(60)] + [np.frombuffer(b"a" * 150, np.uint8)]
+    calls, plain = [], module.range_min
+    monkeypatch.setattr(module, "range_min", lambda *x: calls.append(len(x[0])) or plain(*x))
+    for width in (100, 44, 6, 7):
+        calls.clear()
+        owner, offset, same = module.column_wise(regions, width)
+        strings = [regions[o][p : p + width].tobytes() for o, p in zip(owner, offset)]
+        assert strings == sorted(strings) and sorted(strings) == sorted(x[i : i + width].tobytes() for x in regions for i in range(len(x) - width + 1))
+        assert [False] + [a == b for a, b in zip(strings, strings[1:])] == same.tolist()
+        assert len(set(zip(owner, offset))) == len(strings)
+        if width == 100:
+            assert len({n for n in calls}) <= 2 * 150 // 5
+
+
+def test_range_min():
+    from loomgraph.llm.suffix_dedup import range_min
+
+    r = np.random.default_rng(2)
+    x = r.integers(0, 200, 5000).astype(np.uint8)
+    lo = r.integers(0, 5000, 400)
+    hi = np.minimum(lo + r.integers(0, 3000, 400), 4999)
+    assert range_min(x, lo, hi).tolist() == [int(x[a : b + 1].min()) for a, b in zip(lo, hi)]
