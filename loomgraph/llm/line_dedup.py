@@ -38,6 +38,7 @@ import re
 from array import array
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -64,50 +65,70 @@ def _hash(text: str, seed: int = 0) -> int:
 
 def masked_tokens(line: str) -> list[str]:
     tokens = line.split()
-    return [FIELD if DIGIT.search(t) else t for t in tokens] if DIGIT.search(line) else tokens
+    found = DIGIT.search
+    if not (any(map(line.__contains__, "0123456789")) if line.isascii() else found(line)):
+        return tokens
+    return [t if t.isalpha() or not found(t) else FIELD for t in tokens]  # letters alone, as most, need no search
 
 
-def part_hashes(tokens: list[str], depth: int) -> list[int]:
-    """Hashes of the parts of the tokens after the leading ones, each with its place and the token count; none that is empty."""
-    size = len(tokens)
+@lru_cache
+def part_bounds(size: int, depth: int) -> tuple[tuple[int, int, int], ...]:
+    """First and last place of the parts of the tokens after the leading ones, none empty, and a seed of each place and token count."""
     cuts = [depth + (size - depth) * i // PARTS for i in range(PARTS + 1)]
-    return [_hash(" ".join(tokens[cuts[i] : cuts[i + 1]]), size * PARTS + i) for i in range(PARTS) if cuts[i] < cuts[i + 1]]
+    return tuple((cuts[i], cuts[i + 1], size * PARTS + i) for i in range(PARTS) if cuts[i] < cuts[i + 1])
 
 
-def _lists(values: array, sizes: list[int]) -> pa.Array:
-    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes, dtype=np.int32)]).astype(np.int32)), pa.array(np.frombuffer(values, np.int64)))
+def _signed(values: array) -> np.ndarray:
+    """Digests as ``_hash`` gives them."""
+    return (np.frombuffer(values, np.uint64) ^ np.uint64(1 << 63)).view(np.int64)
+
+
+def _lists(values: np.ndarray, sizes: list[int]) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes, dtype=np.int32)]).astype(np.int32)), pa.array(values))
 
 
 def _lines(depth: int, min_tokens: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
+        digest, seen = xxhash.xxh3_64_intdigest, set()
         for b in batches:
             for lo in range(0, b.num_rows, 256):
                 part = b.slice(lo, 256)
-                rows, lead, parts, n_lead, n_parts = [], array("q"), array("q"), [], []
+                of_doc, place, tokens_, fresh_, n_lead, n_parts = [], [], [], [], [], []
+                form_, lead, parts = array("Q"), array("Q"), array("Q")
                 if len(seen) > SEEN:
                     seen.clear()
-                for doc, tag, text in zip(*(c.to_pylist() for c in part.columns)):
+                for text in part.column(2).to_pylist():
+                    before = len(place)
                     for i, line in enumerate((text or "").split("\n")):
                         tokens = masked_tokens(line)
                         size = len(tokens)
                         if size < min_tokens:
                             continue
-                        form = _hash(" ".join(tokens))
-                        fresh = form not in seen
-                        rows.append((doc, tag, i, size, form, fresh))
                         deep = size > depth
-                        if deep:
-                            parts.extend(found := part_hashes(tokens, depth))
-                        n_parts.append(len(found) if deep else 0)
+                        if deep:  # what a line and its parts say is put together once
+                            said = [" ".join(tokens[:depth]).encode("utf-8", "replace")]
+                            for first, last, seed in part_bounds(size, depth):
+                                x = " ".join(tokens[first:last]).encode("utf-8", "replace")
+                                parts.append(digest(x, seed))
+                                said.append(x)
+                            form = digest(b" ".join(said))
+                        else:
+                            form = digest(" ".join(tokens).encode("utf-8", "replace"))
+                        fresh = form not in seen
+                        place.append(i)
+                        tokens_.append(size)
+                        form_.append(form)
+                        fresh_.append(fresh)
+                        n_parts.append(len(said) - 1 if deep else 0)
                         n_lead.append(depth if fresh and deep else 0)
                         if fresh:
                             seen.add(form)
                             if deep:
-                                lead.extend(map(_hash, tokens[:depth]))
-                cols = list(zip(*rows)) or [()] * 6
-                types = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.bool_())
-                yield pa.RecordBatch.from_arrays([*(pa.array(c, t) for c, t in zip(cols, types)), _lists(lead, n_lead), _lists(parts, n_parts)], names=[x.split()[0] for x in LINES.split(", ")])
+                                lead.extend([digest(t.encode("utf-8", "replace")) for t in tokens[:depth]])
+                    of_doc.append(len(place) - before)
+                docs, tags = (pa.array(np.repeat(c.to_numpy(), of_doc), pa.int64()) for c in part.columns[:2])
+                cols = [docs, tags, pa.array(place, pa.int32()), pa.array(tokens_, pa.int32()), pa.array(_signed(form_)), pa.array(fresh_, pa.bool_()), _lists(_signed(lead), n_lead), _lists(_signed(parts), n_parts)]
+                yield pa.RecordBatch.from_arrays(cols, names=[x.split()[0] for x in LINES.split(", ")])
 
     return run
 
@@ -129,7 +150,7 @@ def _tokens_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     form.append(w["form"])
                     hashes.extend([_hash(t) for t in tokens])
                     sizes.append(len(tokens))
-            yield pa.RecordBatch.from_arrays([pa.array(form, pa.int64()), _lists(hashes, sizes)], names=["form", "hashes"])
+            yield pa.RecordBatch.from_arrays([pa.array(form, pa.int64()), _lists(np.frombuffer(hashes, np.int64), sizes)], names=["form", "hashes"])
 
 
 def leaves(lines: DataFrame, holders: DataFrame, depth: int, min_docs: int) -> DataFrame:
@@ -157,8 +178,9 @@ def templates(docs: DataFrame, lines: DataFrame, holders: DataFrame, id_col: str
     tokens = texts.join(wanted.hint("merge"), ["doc", "tag"]).select("text", "wanted").mapInArrow(_tokens_of, "form long, hashes array<long>")
     tokens = tokens.groupBy("form").agg(F.first("hashes").alias("hashes"))  # repeated rows bring a form again
     placed = written(taken.select("key", "form").join(tokens, "form").select("key", "form", F.posexplode("hashes").alias("place", "token")), "tokens")
-    counts = placed.groupBy("key", "place", "token").agg(F.count(F.lit(1)).alias("n"))
-    rows = placed.join(counts, ["key", "place", "token"]).groupBy("key", "form").agg(F.sort_array(F.collect_list(F.struct("n", "place", "token")), asc=False).alias("items"))
+    placed = placed.withColumn("slot", F.xxhash64("key", "place", "token"))  # one number: cheaper to sort than three
+    counts = placed.groupBy("slot").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    rows = placed.join(counts, "slot", "left").withColumn("n", F.coalesce("n", F.lit(1))).groupBy("key", "form").agg(F.sort_array(F.collect_list(F.struct("n", "place", "token")), asc=False).alias("items"))
     enough = F.ceil(F.size("items") * F.lit(constant))
     least = F.greatest(F.lit(2.0), F.element_at("items", enough.cast("int"))["n"] * F.lit(ALIKE))
     same = F.array_sort(F.transform(F.filter("items", lambda x: x["n"] >= F.col("least")), lambda x: F.struct(x["place"], x["token"])))

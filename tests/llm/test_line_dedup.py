@@ -145,3 +145,32 @@ def test_recall_of_planted_templates(spark, fields):
     assert sum(lines[i][1] not in got[i] for i in later) / len(later) >= 0.9
     clean = [x in got[i] for i, row in enumerate(rows) for x in row[1].split("\n") if x != lines[i][1]]
     assert sum(clean) / len(clean) >= 0.99
+
+
+def test_what_a_line_says_is_put_together_once(monkeypatch):
+    """Forms, leading tokens and parts hash as written out token by token; a line and its parts need no second joining, which counts as one digest for each."""
+    import pyarrow as pa
+
+    from loomgraph.llm import line_dedup as module
+
+    lines = ["a b", "a b c", "x1 y z w", "one two three four five six seven", "１ two three four", "é\x1cü ö 9 q r s t u v w", "r2d2"]
+    texts = ["\n".join(lines), None, "one two three four five six seven"]
+    batch = pa.RecordBatch.from_arrays([pa.array([1, 2, 3]), pa.array([4, 5, 6]), pa.array(texts)], names=["doc", "tag", "text"])
+    got = pa.Table.from_batches(list(module._lines(3, 3)(iter([batch])))).to_pylist()
+    want, seen = [], set()
+    for doc, tag, text in zip((1, 2, 3), (4, 5, 6), texts):
+        for i, line in enumerate((text or "").split("\n")):
+            tokens = [module.FIELD if any(c.isdecimal() for c in t) else t for t in line.split()]
+            if len(tokens) < 3:
+                continue
+            form, deep = module._hash(" ".join(tokens)), len(tokens) > 3
+            cuts = [3 + (len(tokens) - 3) * j // 4 for j in range(5)]
+            parts = [module._hash(" ".join(tokens[a:b]), len(tokens) * 4 + j) for j, (a, b) in enumerate(zip(cuts, cuts[1:])) if a < b] if deep else []
+            want.append({"doc": doc, "tag": tag, "line": i, "tokens": len(tokens), "form": form, "fresh": form not in seen, "lead": [module._hash(t) for t in tokens[:3]] if deep and form not in seen else [], "parts": parts})
+            seen.add(form)
+    assert got == want
+    searched = []
+    monkeypatch.setattr(module, "DIGIT", type("D", (), {"search": staticmethod(lambda x: searched.append(x))}))
+    module.masked_tokens("no number stands in this line")
+    module.masked_tokens("room 101 of 7")
+    assert searched == ["101", "7"]  # neither the line nor words of letters are searched
