@@ -40,3 +40,12 @@ def test_similar_names_by_blocks(spark, tmp_path, monkeypatch):
     df = catalogue.QUERIES["string_similarity"](spark, str(tmp_path))
     assert sorted(map(repr, map(tuple, df.collect()))) == sorted(map(repr, want))
     assert "REPARTITION_BY_NUM" in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_similar_names_in_runs(spark, tmp_path):
+    """All pairs of a brand are written in an order that a file holds as runs: far less than a byte a pair."""
+    names = ["hot bolt", "hot ring", "cold bolt", "blue plate"]
+    spark.range(12_000).selectExpr("id as p_partkey", f"element_at(array({str(names)[1:-1]}), cast(pmod(xxhash64(id), 4) + 1 as int)) as p_name", "concat('B', id % 3) as p_brand").write.parquet(f"{tmp_path}/part.parquet")
+    catalogue.QUERIES["string_similarity"](spark, str(tmp_path)).write.parquet(f"{tmp_path}/pairs")
+    assert spark.read.parquet(f"{tmp_path}/pairs").count() == 3 * 4000 * 3999 // 2
+    assert sum(f.stat().st_size for f in tmp_path.glob("pairs/*.parquet")) < 0.4 * 3 * 4000 * 3999 // 2
