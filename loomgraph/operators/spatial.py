@@ -6,8 +6,9 @@ of those keys. The nearest segment at any distance is found down a pyramid of
 grids: each point keeps the crossed cells that may hold its nearest segment, by
 least and greatest distance of the cells, and looks into their quarters next. So
 a far point meets the cells that face it, not all that lies around them. Nearest
-searches meet each place and each course once, however many points or segments
-have it; few bytes make much work here, so the joins are spread over all tasks.
+searches and adjacent lines meet each place and each course once, however many
+points or segments have it; few bytes make much work here, so the joins are spread
+over all tasks.
 
 Points and segments with a null or non-finite coordinate take no part; a segment
 may be a point; distances are rounded to six digits and ties go to the smaller
@@ -25,6 +26,7 @@ from loomgraph.functions.geometry import point_segment
 from loomgraph.session import spread, written
 
 DIGITS = 6
+LIST_LINES = 1000  # lines of a course that a row holds on average
 SALTS = 4  # a cell's points are dealt to so many tasks, and its segments copied to each
 ENDS = ("x1", "y1", "x2", "y2")
 
@@ -130,15 +132,47 @@ def nearest(points: DataFrame, lines: DataFrame, cell: float | None = None) -> D
     return p.join(best, ["x", "y"]).groupBy("point").agg(F.min("m").alias("m")).select("point", "m.line", "m.dist")
 
 
+def _beside(reach: float) -> dict[str, Column]:
+    """Columns of a segment for ``_maybe``: its direction (any for a point), its squared length, and what lies ``reach`` beside it."""
+    dx, dy = F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")
+    long = dx * dx + dy * dy
+    return {"dx": F.when(long == 0, 1.0).otherwise(dx), "dy": dy, "long": long, "beside": (reach + 2 * 10.0**-DIGITS) * F.when(long == 0, 1.0).otherwise(F.sqrt(long))}
+
+
+def _maybe(x: str, y: str) -> Column:
+    """Whether the place lies in the rectangle around the segment: a few operations that let all through that is near, so that few pairs get their exact, rounded distance. That one is too long a code for a join of many pairs."""
+    wx, wy = F.col(x) - F.col("x1"), F.col(y) - F.col("y1")
+    along = wx * F.col("dx") + wy * F.col("dy")
+    return (F.abs(wx * F.col("dy") - wy * F.col("dx")) <= F.col("beside")) & (along >= -F.col("beside")) & (along <= F.col("long") + F.col("beside"))
+
+
+def _with_lines(lines: DataFrame, group: tuple[str, ...], name: str) -> DataFrame:
+    """Each course once with the list ``name`` of its lines, in several rows where they are more than ``LIST_LINES`` on average."""
+    s = _finite(lines, ENDS).select(*group, *ENDS, "line").filter("line is not null")
+    pieces = s.groupBy(*group, *ENDS).agg(F.ceil(F.count(F.lit(1)) / LIST_LINES).alias("pieces")).filter("pieces > 1")
+    if pieces.isEmpty():  # no course is shared by many
+        return s.groupBy(*group, *ENDS).agg(F.collect_set("line").alias(name))
+    return s.join(pieces, [*group, *ENDS], "left").groupBy(*group, *ENDS, F.pmod(F.xxhash64("line"), F.coalesce("pieces", F.lit(1))).alias("piece")).agg(F.collect_set("line").alias(name)).drop("piece")
+
+
 def adjacent(lines: DataFrame, others: DataFrame, tolerance: float, group: tuple[str, ...] = ()) -> DataFrame:
-    """``line, other``: lines both of whose ends lie within ``tolerance`` of the other. Each place where lines start meets the others once; their other ends are measured then."""
-    s, o = _finite(lines, ENDS).select(*group, F.col("line").alias("of"), F.col("x1").alias("x"), F.col("y1").alias("y"), F.col("x2").alias("to_x"), F.col("y2").alias("to_y")), _finite(others, ENDS)
+    """``line, other``: lines both of whose ends lie within ``tolerance`` of the other.
+
+    Each course is measured once, however many lines have it: each place where
+    courses start meets the others once, and their other ends are measured then.
+    """
+    kept, own = (written(_with_lines(df, group, name), "courses") for df, name in ((others, "others"), (lines, "lines")))
     width = tolerance * (1 + 1e-6) + 1e-6
-    places = s.select(*group, "x", "y").distinct().select("*", F.inline(around(width)))
-    crossed = spread(o.select(*group, "line", *ENDS)).select("*", F.inline(crossed_cells(width)))
-    near = places.join(crossed, [*group, "cx", "cy"]).filter(_apart() <= tolerance).drop("cx", "cy").distinct()  # a long segment meets a place in several cells
+    places = own.select(*group, F.col("x1").alias("x"), F.col("y1").alias("y")).distinct().select("*", F.inline(around(width)))
+    side = _beside(tolerance)
+    crossed = spread(kept.select(*group, *ENDS).distinct()).withColumns(side).select("*", F.inline(crossed_cells(width)))
+    # a long segment meets a place in several cells
+    near = places.join(crossed, [*group, "cx", "cy"]).filter(_maybe("x", "y")).groupBy(*group, "x", "y", *ENDS, *side).agg(F.min(point_segment(*map(F.col, ("x", "y", *ENDS)))).alias("dist"))
+    near = near.filter(F.round("dist", DIGITS) <= tolerance).drop("dist").join(kept, [*group, *ENDS])
     keys = [*group, "x", "y", "salt"]
-    near = spread(near.withColumn("salt", F.pmod(F.xxhash64("line", *ENDS), F.lit(SALTS))), *keys)
-    starts = spread(s.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long")))), *keys)
-    there = F.round(point_segment(*map(F.col, ("to_x", "to_y", *ENDS))), DIGITS) <= tolerance
-    return near.join(starts, keys).filter(there).select(*group, F.col("of").alias("line"), F.col("line").alias("other"))
+    near = spread(near.withColumn("salt", F.pmod(F.xxhash64(*ENDS, F.col("others")[0]), F.lit(SALTS))), *keys)
+    starts = own.select(*group, F.col("x1").alias("x"), F.col("y1").alias("y"), F.col("x2").alias("to_x"), F.col("y2").alias("to_y"), "lines")
+    starts = spread(starts.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long")))), *keys)
+    met = near.join(starts, keys).filter(_maybe("to_x", "to_y")).select(*group, "lines", "others", point_segment(*map(F.col, ("to_x", "to_y", *ENDS))).alias("dist"))
+    met = met.withColumn("line", F.explode(F.when(F.round("dist", DIGITS) <= tolerance, F.col("lines"))))
+    return met.withColumn("other", F.explode("others")).select(*group, "line", "other")

@@ -79,3 +79,16 @@ def test_copies_meet_once_and_work_is_spread(spark):
     for df in (got, close, pairs):
         assert "REPARTITION_BY_NUM" in df._jdf.queryExecution().executedPlan().toString()
     assert pairs.count() == sum(max(distance(a[1:3], b[1:]), distance(a[3:], b[1:])) <= 1.0 for a in lines for b in lines)
+
+
+def test_adjacent_courses_are_measured_once(spark, monkeypatch):
+    """Lines of one course pair up after their course was measured, in rows of bounded lists."""
+    _, lines = data(5, 8.0)
+    lines = [(1000 * n + s[0], *s[1:]) for n in range(12) for s in lines] + [(20_000, -0.0, 0.0, 0.0, -0.0)]
+    want = sorted((a[0], b[0]) for a in lines for b in lines if max(distance(a[1:3], b[1:]), distance(a[3:], b[1:])) <= 1.0)
+    _, df = frames(spark, [], lines)
+    for most in (1000, 5):
+        monkeypatch.setattr(S, "LIST_LINES", most, raising=False)
+        pairs = S.adjacent(df, df, 1.0)
+        assert sorted(map(tuple, pairs.collect())) == want
+        assert pairs._jdf.queryExecution().optimizedPlan().toString().count("Generate explode") == 3  # lists of both sides, and the salt
