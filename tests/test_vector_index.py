@@ -69,3 +69,27 @@ def test_query_recall(spark):
     e = spark.read.parquet(f"{SF}/embeddings.parquet")
     want = set(hits(nearest(asked(e, 20), e.select("vec_id", "embedding"), 10)))
     assert len(want & got) >= 0.9 * len(want)
+
+
+def test_means_hold_a_strip_of_scores():
+    """The driver fits means without the scores of the whole sample at once; they are the plain ones."""
+    import tracemalloc
+
+    import numpy as np
+
+    from loomgraph.operators.vector_index import spherical_means, unit
+
+    x = unit(np.random.default_rng(4).normal(size=(8192, 8)))
+    tracemalloc.start()
+    c = spherical_means(x, 512, 2)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 8192 * 512 * 8 / 2
+    plain = x[np.linspace(0, len(x) - 1, 512).astype(int)]
+    for _ in range(2):
+        of = (x @ plain.T).argmax(1)
+        total = np.zeros_like(plain)
+        np.add.at(total, of, x)
+        assert np.bincount(of, minlength=512).all()
+        plain = unit(total)
+    assert np.allclose(c, plain)
